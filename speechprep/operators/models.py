@@ -83,7 +83,9 @@ def apply_model(
             except Exception as fault:
                 return None, str(fault) or type(fault).__name__
 
-        for columns in batches:
+        for batch in batches:
+            # One input comes as a bare series, several as a tuple of them.
+            columns = batch if isinstance(batch, tuple) else (batch,)
             done = [call(row) for row in zip(*columns)]
             yield pd.DataFrame(done, columns=["value", "error"], dtype=object)
 

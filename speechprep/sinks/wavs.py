@@ -18,6 +18,11 @@ def wav_writer(rate: int = SAMPLE_RATE, encoding: str = "float32"):
     twice leaves one whole file. A row that fails is reported; the others go on.
     """
 
+    def matrix(samples) -> np.ndarray:
+        """(channel, time), for one waveform or a list of channels."""
+        nested = len(samples) and np.ndim(samples[0]) == 1
+        return np.stack(list(samples)) if nested else np.asarray(samples)
+
     def one(path: str, samples) -> tuple[bool, str | None]:
         import uuid
 
@@ -33,7 +38,7 @@ def wav_writer(rate: int = SAMPLE_RATE, encoding: str = "float32"):
             store.create_dir(inner.rpartition("/")[0])
             draft = f"{inner}.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(draft) as stream:
-                stream.write(wav.write_wav(np.asarray(samples), rate, encoding))
+                stream.write(wav.write_wav(matrix(samples), rate, encoding))
             store.move(draft, inner)
             return True, None
         except Exception as fault:
