@@ -31,6 +31,7 @@ from speechprep.streaming.ingest import incremental_ingest
 
 from .standins import (
     AUDIO_DIR,
+    DOCUMENT,
     document_codes,
     dequantiser,
     echo,
@@ -61,7 +62,9 @@ def query(fn: Query) -> Query:
 
 def position(*keep: str) -> list:
     """Manifest rows with their position as plain columns."""
-    return ["file", F.col("pos.block").alias("doc_id"), F.col("pos.seq").alias("n"), *keep]
+    document = F.floor(F.col("pos") / DOCUMENT)
+    line = F.when(F.col("pos") < 0, 0).otherwise(F.col("pos") % DOCUMENT)
+    return ["file", document.alias("doc_id"), line.alias("n"), *keep]
 
 
 def parsed(spark: SparkSession, sf: str, mode: str = "auto") -> DataFrame:
@@ -95,16 +98,14 @@ def manifest_first_comma(spark, sf):
 def manifest_header(spark, sf):
     """First lines of each file: header, data or dropped."""
     lines = parsed(spark, sf, "first_comma")
-    firsts = lines.groupBy("file").agg(F.min_by(F.struct("line", "reason"), "pos").alias("f"))
-    return firsts.select(
-        "file", "f.line", F.coalesce("f.reason", F.lit("data")).alias("first_line_is")
+    return lines.filter("is_first").select(
+        "file", "line", F.coalesce("reason", F.lit("data")).alias("first_line_is")
     )
 
 
 @query
 def manifest_mode_select(spark, sf):
-    kept = manifest.kept(parsed(spark, sf)).withColumn("text", F.col("text"))
-    return kept.select(*position("audio", "text"))
+    return manifest.kept(parsed(spark, sf)).select(*position("audio", "text"))
 
 
 @query
@@ -229,13 +230,11 @@ def batch_names(spark, sf):
 @query
 def export_manifest(spark, sf):
     folder = new_table_path(spark, "bundle")
-    lines = named_lines(spark, sf).select(
-        text_fn.join_path(folder, F.format_string("doc_%d_%d.wav", "doc_id", "n")).alias("path"),
-        audio_fn.silence(10).alias("samples"),
-        "doc_id",
+    docs = table(spark, sf, "documents").select(
+        text_fn.join_path(folder, F.format_string("doc_%d.wav", "doc_id")).alias("path"),
+        F.when(F.col("lang") != "de", audio_fn.silence(10)).alias("samples"),
     )
-    firsts = lines.groupBy("doc_id").agg(F.min_by(F.struct("path", "samples"), "path").alias("f"))
-    return table_sink.export_manifest(write_wavs(firsts.select("f.*")))
+    return table_sink.export_manifest(write_wavs(docs))
 
 
 # --- projections and filters -----------------------------------------------------
@@ -431,8 +430,7 @@ def top_tokens(spark, sf):
 @query
 def stage_funnel(spark, sf):
     kept = manifest.kept(parsed(spark, sf))
-    encode = lambda df: with_codes(df.withColumn("text", F.col("text")))
-    return training.stage_funnel(kept, inventory(spark, sf), encode, AUDIO_DIR)
+    return training.stage_funnel(kept, inventory(spark, sf), with_codes, AUDIO_DIR)
 
 
 @query
@@ -722,6 +720,27 @@ def apply_encoder(spark, sf):
     return quiet(spark, sf).select("vec_id", *[ints(F.col(c)).alias(c) for c in ("l1", "l2", "l3")])
 
 
+@query
+def encode_files(spark, sf):
+    """WAV files coded where their rows are; documents without one are silence."""
+    folder = wav_folder(spark, sf)
+    items = table(spark, sf, "documents").select(
+        "doc_id", text_fn.join_path(folder, F.format_string("vec_%d.wav", "doc_id")).alias("path")
+    )
+    coded = training.encode_files(quantiser)(items)
+    return coded.select("doc_id", ints(F.col("codes")).alias("codes"))
+
+
+@query
+def encode_samples(spark, sf):
+    waves = waveforms(spark, sf)
+    made = tables.rows_to_table(
+        waves, F.col("vec_id").cast("string"), F.col("samples"), F.lit(SAMPLE_RATE)
+    )
+    coded = training.encode_samples(quantiser)(made)
+    return coded.select("text", ints(F.col("codes")).alias("codes"))
+
+
 @query
 def apply_decoder(spark, sf):
     decoded = models.apply_decoder(quiet(spark, sf), dequantiser)

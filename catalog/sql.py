@@ -237,6 +237,21 @@ CTES = {
             lambda x: cast(greatest(least(floor((cast(x as double) + 1) * 2047.5), 4095), 0)
                 as integer)) as q
         from (select *, cast((len(embedding) + 6) // 7 as integer) as t from embeddings)""",
+    "wave_quantised": f"""
+        select vec_id, t, list_transform(list_concat(samples, list_transform(
+                range(7 * t - len(samples)), lambda i: cast(0 as float))),
+            lambda x: cast(greatest(least(floor((cast(x as double) + 1) * 2047.5), 4095), 0)
+                as integer)) as q
+        from (select *, cast((len(samples) + 6) // 7 as integer) as t from waves)""",
+    "wave_codes": codes_of(
+        "(select vec_id, t, q[1:t] as l1, q[t + 1:3 * t] as l2, q[3 * t + 1:7 * t] as l3"
+        " from wave_quantised)",
+        "vec_id",
+    ),
+    # One second of zeros: 24,000 samples of code 2047, the last frame padded.
+    "silent": f"""
+        select array_to_string(list_transform(range(3429 * 7),
+            lambda i: {OFFSET} + (i % 7) * {CODEBOOK} + 2047), ',') as codes""",
     # Prompts.
     "prompts": """
         select conv_id, turn, case when role <> 'system' then role end as voice, text,
@@ -406,7 +421,7 @@ SQL = {
     " || '.wav' from orders",
     "batch_names": "select conv_id, turn, 'batch_' || printf('%03d', turn + 1) || '_'"
     " || replace(substr(text, 1, 20), ' ', '_') || '.wav' as file_name from conversations",
-    "export_manifest": "select 'doc_' || doc_id || '_0.wav' as file_name from documents",
+    "export_manifest": "select 'doc_' || doc_id || '.wav' as file_name from documents where lang <> 'de'",
     "bind_columns": "select name as audio, sentence as text from named",
     "filter_wav": "select doc_id, n, name from named where lang <> 'de'",
     "filter_nonempty": f"""
@@ -557,6 +572,11 @@ SQL = {
     " from doc_words",
     "apply_encoder": f"select vec_id, {ints('q[1:t]')} as l1, {ints('q[t + 1:3 * t]')} as l2,"
     f" {ints('q[3 * t + 1:7 * t]')} as l3 from quantised",
+    "encode_files": f"""
+        select doc_id, coalesce({ints('w.codes')}, s.codes) as codes
+        from documents left join wave_codes w on vec_id = doc_id, silent s""",
+    "encode_samples": f"select cast(vec_id as varchar) as text, {ints('codes')} as codes"
+    " from wave_codes",
     "apply_decoder": "select vec_id, "
     + micros("list_transform(q, lambda c: cast(c / 2047.5 - 1 as float))")
     + " as samples from quantised",

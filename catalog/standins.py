@@ -19,6 +19,8 @@ from speechprep.sources.tables import load_table, spread
 
 HEADER = "uuid,sentence"
 AUDIO_DIR = "/audio"
+# Places of one document before the next begins.
+DOCUMENT = 2**31
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -105,7 +107,7 @@ def named_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """``(file, pos, line)``. Two-digit sources have a header; the first half of
+    """``(file, pos, line)``, placed by document and line. Two-digit sources have a header; the first half of
     those quote their sentences. A one-word sentence is left out of its line, and a
     line of a table has no comma of its own."""
     s, name, source = F.col("sentence"), F.col("name"), F.col("source")
@@ -118,13 +120,13 @@ def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     data = named_lines(spark, sf).select(
         source.alias("file"),
-        F.struct(F.col("doc_id").alias("block"), F.col("n").alias("seq")).alias("pos"),
+        (F.col("doc_id") * DOCUMENT + F.col("n")).alias("pos"),
         line.alias("line"),
     )
     sources = load_table(spark, f"{sf}/documents.parquet").select("source").distinct()
     headers = sources.filter(F.length("source") == 5).select(
         source.alias("file"),
-        F.struct(F.lit(-1).cast("long").alias("block"), F.lit(0).alias("seq")).alias("pos"),
+        F.lit(-1).cast("long").alias("pos"),
         F.lit(HEADER).alias("line"),
     )
     return data.union(headers)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..constants import BASE_SETTINGS, LABEL_PAD, PAD, SETTINGS
 from ..constants import presets as preset_table
 from ..functions import sequences as fn
+from ..session import settled
+from .once import once
 from .rows import row_index
 
 COLLATED = {"input_ids": PAD, "attention_mask": 0, "labels": LABEL_PAD}
@@ -67,23 +69,21 @@ def pad(
 ) -> DataFrame:
     """Pad arrays to the longest row of their batch, each with its own fill value.
 
-    The widths are joined back rather than taken from a window: a batch that holds
-    most of the rows is then split by the adaptive skew join.
+    The widths are joined back rather than taken from a window. With few batches
+    they are broadcast and no row moves; with many, a batch that holds most of the
+    rows is split by the adaptive skew join.
     """
     lead = next(iter(cols))
-    widths = batch_max_len(df, batch, lead)
-    joined = df.join(widths, batch)
-    return joined.withColumns(
-        {
-            c: fn.padded(F.col(c), fill, F.col("max_len"), side)
-            for c, fill in cols.items()
-        }
-    ).drop("max_len")
+    widths = settled(batch_max_len(df, batch, lead), "widths")
+    padded = {
+        c: fn.padded(F.col(c), fill, F.col("max_len"), side) for c, fill in cols.items()
+    }
+    return once(df.join(widths, batch), **padded).drop("max_len")
 
 
 def left_pad(df: DataFrame, batch: str, ids: str = "input_ids") -> DataFrame:
     """Prompt matrix rows: pad id and mask 0 in front, mask 1 over the prompt."""
-    masked = df.withColumn("attention_mask", fn.ones(F.col(ids)))
+    masked = once(df, attention_mask=fn.ones(F.col(ids)))
     return pad(masked, batch, {ids: PAD, "attention_mask": 0}, side="left")
 
 

@@ -9,6 +9,7 @@ from ..constants import AUDIO_OFFSET, CODEBOOK, FRAME, FRAME_LAYOUT, TEXT_VOCAB_
 from ..constants import control_tokens
 from ..functions import codes as fn
 from ..functions.slots import in_slot_codes
+from ..session import settled
 from .once import once
 
 
@@ -21,7 +22,10 @@ def crop_after_marker(df: DataFrame, ids: str = "ids") -> DataFrame:
 def batch_crop_positions(
     df: DataFrame, batch: str, row: str, ids: str = "ids"
 ) -> DataFrame:
-    """``(batch, crop_at)``: the marker column of the last row that has a marker."""
+    """``(batch, crop_at)``: the marker column of the last row that has a marker.
+
+    ``row`` is the row's number in its batch.
+    """
     marked = once(df.select(batch, row, ids), _at=fn.last_marker(F.col(ids)))
     return (
         marked.filter(F.col("_at").isNotNull())
@@ -32,7 +36,7 @@ def batch_crop_positions(
 
 def crop_batchwise(df: DataFrame, batch: str, row: str, ids: str = "ids") -> DataFrame:
     """Crop every row of a batch at one column, as a padded matrix would be."""
-    crops = batch_crop_positions(df, batch, row, ids)
+    crops = settled(batch_crop_positions(df, batch, row, ids), "crops")
     joined = df.join(crops, batch, "left")
     return once(joined, **{ids: fn.after(F.col(ids), F.col("crop_at"))}).drop("crop_at")
 

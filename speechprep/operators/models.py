@@ -102,10 +102,10 @@ def apply_tokenizer(
     return apply_model(df, factory, [text], out, "array<int>")
 
 
-def apply_encoder(df: DataFrame, factory, samples: str = "samples") -> DataFrame:
-    """Waveform to three code layers ``l1, l2, l3``."""
+def apply_encoder(df: DataFrame, factory, *inputs: str) -> DataFrame:
+    """Waveform (or what the factory's model takes) to code layers ``l1, l2, l3``."""
     layers = "struct<l1: array<int>, l2: array<int>, l3: array<int>>"
-    coded = apply_model(df, factory, [samples], "_layers", layers)
+    coded = apply_model(df, factory, list(inputs) or ["samples"], "_layers", layers)
     return coded.withColumns({n: F.col(f"_layers.{n}") for n in ("l1", "l2", "l3")}).drop(
         "_layers"
     )

@@ -92,9 +92,14 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 def top_tokens(
     tokens: DataFrame, order: str, k: int = COMMON_TOKENS, pos: str = "pos"
 ) -> DataFrame:
-    """The ``k`` commonest tokens; a tie goes to the token met first."""
+    """The ``k`` commonest tokens; a tie goes to the token met first.
+
+    ``order`` is the text's number. Text and place make one decimal, which a hash
+    aggregate can hold; the minimum of a struct would sort all tokens.
+    """
+    place = F.col(order).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(12,0)")
     counted = tokens.groupBy("token").agg(
-        F.count("*").alias("n"), F.min(F.struct(order, pos)).alias("_met")
+        F.count("*").alias("n"), F.min(place + F.col(pos)).alias("_met")
     )
     return counted.orderBy(F.desc("n"), "_met").limit(k).select("token", "n")
 

@@ -7,15 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import SAMPLE_RATE
 from ..functions.text import join_path
-from ..operators.frames import collapse_frames
+from ..operators.frames import collapse_frames, interleave
+from ..operators.models import apply_encoder
 from ..operators.rows import cap_rows, existing_audio, funnel, has_codes, keep_columns
 from ..operators.sequences import speaker_text, train_sequence
 from ..operators.vocab import audit_sample, vocab_coverage
+from ..sources.audio_files import from_path, from_samples
+from ..sources.tables import sample_rate
 
 Step = Callable[[DataFrame], DataFrame]
 
 
+def encode_files(encoder, rate: int = SAMPLE_RATE, on_error: str = "silence") -> Step:
+    """Step that adds ``codes`` of the file at each row's ``path``, read on demand.
+
+    An unreadable file is coded as silence, or gives null codes with any other
+    ``on_error``; such rows then drop out.
+    """
+
+    def step(df: DataFrame) -> DataFrame:
+        coded = apply_encoder(df, from_path(encoder, rate, on_error), "path")
+        return interleave(coded).drop("l1", "l2", "l3", "error")
+
+    return step
+
+
+def encode_samples(encoder, rate: int = SAMPLE_RATE) -> Step:
+    """Step that adds ``codes`` of each row's ``audio``, by the row's own rate."""
+
+    def step(df: DataFrame) -> DataFrame:
+        rows = df.withColumns(
+            {"_samples": F.col("audio.array"), "_rate": sample_rate(df, default=rate)}
+        ).drop("audio")
+        coded = apply_encoder(rows, from_samples(encoder, rate), "_samples", "_rate")
+        return interleave(coded).drop("l1", "l2", "l3", "error", "_samples", "_rate")
+
+    return step
+
+
 def prepare_table(df: DataFrame, encode: Step, tokenise: Step) -> DataFrame:
     """Training rows of a table with text and audio.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "speechprep") -> SparkSession:
@@ -33,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a table of one short row per key and read it back.
+
+    Its size is then known when the join is planned: Spark broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle above. Before
+    that it would have to guess, and would move the large side for a small table.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/speechprep/{name}-{uuid.uuid4().hex}"

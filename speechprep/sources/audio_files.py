@@ -24,6 +24,27 @@ def audio_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_bytes(name: str) -> bytes:
+    """A file's bytes, from a mounted path or any store that has a URI."""
+    from pyarrow import fs
+
+    if "://" in name or name.startswith("file:"):
+        store, inner = fs.FileSystem.from_uri(name)
+    else:
+        store, inner = fs.LocalFileSystem(), name
+    with store.open_input_stream(inner) as stream:
+        return stream.read()
+
+
+def waveform(content: bytes, rate: int) -> tuple[np.ndarray, int]:
+    """Mono samples at ``rate``, and the rate they had in the file."""
+    channels, source_rate = wav.read_wav(content)
+    samples = wav.resample(wav.mono(channels), source_rate, rate)
+    if not len(samples):
+        raise ValueError("no samples")
+    return samples, source_rate
+
+
 def decoder(rate: int = SAMPLE_RATE, on_error: str = "silence"):
     """Column UDF: file bytes -> mono samples at ``rate``.
 
@@ -35,11 +56,7 @@ def decoder(rate: int = SAMPLE_RATE, on_error: str = "silence"):
         try:
             if content is None:
                 raise FileNotFoundError("no such file")
-            channels, source_rate = wav.read_wav(content)
-            samples = wav.resample(wav.mono(channels), source_rate, rate)
-            if not len(samples):
-                raise ValueError("no samples")
-            return samples, source_rate, True, None
+            return *waveform(content, rate), True, None
         except Exception as fault:
             empty = np.zeros(rate, np.float32) if on_error == "silence" else None
             return empty, None, False, str(fault) or type(fault).__name__
@@ -54,19 +71,48 @@ def decoder(rate: int = SAMPLE_RATE, on_error: str = "silence"):
     return decode
 
 
+def from_path(encoder, rate: int = SAMPLE_RATE, on_error: str = "silence"):
+    """Factory of an encoder that takes a path: read, decode and encode in one go.
+
+    Neither bytes nor samples leave the Python worker; only codes do.
+    """
+
+    def build():
+        encode = encoder()
+
+        def run(path: str):
+            try:
+                samples, _ = waveform(read_bytes(path), rate)
+            except Exception:
+                if on_error != "silence":
+                    raise
+                samples = np.zeros(rate, np.float32)
+            return encode(samples)
+
+        return run
+
+    return build
+
+
+def from_samples(encoder, rate: int = SAMPLE_RATE):
+    """Factory of an encoder that takes samples and the rate of their row."""
+
+    def build():
+        encode = encoder()
+        return lambda samples, own: encode(
+            wav.resample(np.asarray(samples, np.float32), int(own), rate)
+        )
+
+    return build
+
+
 @F.pandas_udf(T.BinaryType())
 def content_at(path: pd.Series) -> pd.Series:
     """A file's bytes, read where the row is; null when it cannot be read."""
-    from pyarrow import fs
 
     def read(name: str) -> bytes | None:
         try:
-            if "://" in name or name.startswith("file:"):
-                store, inner = fs.FileSystem.from_uri(name)
-            else:
-                store, inner = fs.LocalFileSystem(), name
-            with store.open_input_stream(inner) as stream:
-                return stream.read()
+            return read_bytes(name)
         except Exception:
             return None
 

@@ -1,8 +1,8 @@
 """Manifests: text lines naming an audio file and its sentence.
 
-A *lines* table has ``file`` (which manifest), ``pos`` (an orderable position
-inside it) and ``line``. ``read_lines`` makes one from text files; the parsers
-take any.
+A *lines* table has ``file`` (which manifest), ``pos`` (its place there, a number
+that grows down the file) and ``line``. ``read_lines`` makes one from text files;
+the parsers take any.
 """
 
 from __future__ import annotations
@@ -12,25 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_audio_name, strip
 from ..operators.once import once
-
-# A per-file verdict is one short row; this many fit in a broadcast with ease.
-MAX_BROADCAST_FILES = 500_000
+from ..session import settled
 
 BAD_EXTENSION = "bad_extension"
 NO_COMMA = "no_comma"
 EMPTY_FIELD = "empty_field"
 MISSING_FILE = "missing_file"
 ROW_ERROR = "row_error"
+RESULTS = ["audio", "text", "reason"]
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, pos, line)`` of text files; a byte-order mark is not part of a line."""
+    # A file is read in blocks, and the row numbers grow inside a block. Both in
+    # one decimal keep the minimum of positions a hash aggregate.
+    block = F.col("_metadata.file_block_start").cast("decimal(38,0)")
+    place = block * F.lit(10**19).cast("decimal(20,0)") + F.monotonically_increasing_id()
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-        ).alias("pos"),
+        place.cast("decimal(38,0)").alias("pos"),
         F.col("value").alias("line"),
     )
 
@@ -108,25 +108,30 @@ def _record(columns: list[str]) -> Column:
     )
 
 
-def file_verdicts(lines: DataFrame, columns: list[str], header: str) -> DataFrame:
+def file_verdicts(
+    lines: DataFrame, fields: list[str], header: str, mode: str = "auto"
+) -> DataFrame:
     """``(file, first_pos, strict)``: may this file be read by strict CSV rules?
 
-    It may when it starts with the header and no row has more fields than that.
-    One over-long row sends the whole file to the first-comma rule.
+    In ``auto`` mode it may when it starts with the header and no row has more
+    fields than that. One over-long row sends the whole file to the first-comma
+    rule.
     """
+    header_pos = F.min(F.when(strip(F.col("line")) == header, F.col("pos")))
+    first = F.min("pos").alias("first_pos")
+    if mode != "auto":
+        found = lines.groupBy("file").agg(first)
+        return found.withColumn("strict", F.lit(mode == "strict"))
     return (
-        once(lines, _fields=_fields(F.col("line"), columns))
-        .withColumn("_over", _record(columns)["_over"])
+        once(lines, _fields=_fields(F.col("line"), fields))
+        .withColumn("_over", _record(fields)["_over"])
         .groupBy("file")
-        .agg(
-            F.min("pos").alias("first_pos"),
-            F.min_by("line", "pos").alias("_head"),
-            F.max("_over").alias("_over"),
-        )
+        .agg(first, header_pos.alias("_header"), F.max("_over").alias("_over"))
         .select(
             "file",
             "first_pos",
-            (~F.col("_over") & (strip(F.col("_head")) == header)).alias("strict"),
+            F.coalesce(~F.col("_over") & (F.col("_header") == F.col("first_pos")), F.lit(False))
+            .alias("strict"),
         )
     )
 
@@ -137,51 +142,41 @@ def parse_lines(
     audio: str = "uuid",
     mode: str = "auto",
     columns: list[str] | None = None,
-    files: int | None = None,
 ) -> DataFrame:
-    """Every line with ``audio``, ``text``, ``reason`` and ``parsed`` (which rule).
+    """Every line with ``audio``, ``text``, ``reason``, ``is_first`` and ``strict``.
 
-    ``files`` is the number of manifest files when known: the verdicts are
-    broadcast only below a bound; otherwise Spark picks the join.
+    ``mode`` is ``auto`` (each file by its own verdict), ``strict`` or
+    ``first_comma``. ``columns`` are the header's names in file order.
     """
     names = columns or [audio, text]
-    header = ",".join(names)
     roles = {audio: "audio", text: "text"}
     fields = [roles.get(n, n) for n in names]
-    verdicts = file_verdicts(lines, fields, header)
-    if mode != "auto":
-        verdicts = verdicts.withColumn("strict", F.lit(mode == "strict"))
-    if files is not None and files <= MAX_BROADCAST_FILES:
-        verdicts = F.broadcast(verdicts)
-    known = lines.join(verdicts, "file")
-    is_first = F.col("pos") == F.col("first_pos")
+    verdicts = settled(file_verdicts(lines, fields, ",".join(names), mode), "verdicts")
+    known = lines.join(verdicts, "file").withColumn(
+        "is_first", F.col("pos") == F.col("first_pos")
+    )
     # The fallback knows only the plain two-column header, audio name first.
-    loose = classify_first_comma(known, is_first, f"{audio},{text}")
-    strict = classify_strict(known, fields, is_first)
+    plain = f"{audio},{text}"
     if mode == "first_comma":
-        parsed = loose
+        parsed = classify_first_comma(known, F.col("is_first"), plain)
     elif mode == "strict":
-        parsed = strict
+        parsed = classify_strict(known, fields, F.col("is_first"))
     else:
-        both = classify_strict(
-            loose.withColumn("_loose", F.struct("audio", "text", "reason")),
-            fields,
-            is_first,
-        )
-        pick = lambda name: F.when(F.col("strict"), F.col(name)).otherwise(
-            F.col(f"_loose.{name}")
+        loose = classify_first_comma(known, F.col("is_first"), plain)
+        kept_loose = loose.withColumnsRenamed({n: f"_{n}" for n in RESULTS})
+        both = classify_strict(kept_loose, fields, F.col("is_first"))
+        parsed = both.select(
+            "file",
+            "pos",
+            "line",
+            "is_first",
+            "strict",
+            *[
+                F.when(F.col("strict"), F.col(n)).otherwise(F.col(f"_{n}")).alias(n)
+                for n in RESULTS
+            ],
         )
-        parsed = both.withColumns({n: pick(n) for n in ("audio", "text", "reason")})
-        parsed = parsed.drop("_loose")
-    return parsed.select(
-        "file",
-        "pos",
-        "line",
-        "audio",
-        "text",
-        "reason",
-        F.when(F.col("strict"), "strict").otherwise("first_comma").alias("parsed"),
-    )
+    return parsed.select("file", "pos", "line", *RESULTS, "is_first", "strict")
 
 
 def kept(parsed: DataFrame) -> DataFrame:
@@ -203,8 +198,7 @@ def read_manifest(
     columns: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)`` of manifest files, each file parsed by its own rule."""
-    lines = read_lines(spark, path)
-    parsed = parse_lines(lines, text, audio, mode, columns, len(lines.inputFiles()))
+    parsed = parse_lines(read_lines(spark, path), text, audio, mode, columns)
     return kept(parsed), rejected(parsed)
 
 
