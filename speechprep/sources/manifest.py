@@ -7,6 +7,8 @@ the parsers take any.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ NO_COMMA = "no_comma"
 EMPTY_FIELD = "empty_field"
 MISSING_FILE = "missing_file"
 ROW_ERROR = "row_error"
+# More than any row number, so that block and row number share one decimal.
+ROW_NUMBERS = Decimal(10**19)
 RESULTS = ["audio", "text", "reason"]
 
 
@@ -27,7 +31,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # A file is read in blocks, and the row numbers grow inside a block. Both in
     # one decimal keep the minimum of positions a hash aggregate.
     block = F.col("_metadata.file_block_start").cast("decimal(38,0)")
-    place = block * F.lit(10**19).cast("decimal(20,0)") + F.monotonically_increasing_id()
+    place = block * F.lit(ROW_NUMBERS) + F.monotonically_increasing_id()
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         place.cast("decimal(38,0)").alias("pos"),
