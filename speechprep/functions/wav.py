@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import struct
-from functools import lru_cache
 
 import numpy as np
 
@@ -72,9 +71,14 @@ def mono(channels: np.ndarray) -> np.ndarray:
     return channels.mean(axis=0, dtype=np.float32)
 
 
-@lru_cache(maxsize=32)
+# Filters already made in this worker, by rate pair.
+_TAPS: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+
+
 def _taps(old: int, new: int) -> tuple[np.ndarray, int]:
     """One row of filter taps per output phase, and the reach in input samples."""
+    if (old, new) in _TAPS:
+        return _TAPS[old, new]
     cutoff = min(old, new) * ROLLOFF
     reach = math.ceil(ZERO_CROSSINGS * old / cutoff)
     inputs = np.arange(-reach, reach + old) / old
@@ -83,7 +87,8 @@ def _taps(old: int, new: int) -> tuple[np.ndarray, int]:
     window = np.where(
         np.abs(t) < ZERO_CROSSINGS, np.cos(np.pi * t / (2 * ZERO_CROSSINGS)) ** 2, 0
     )
-    return np.sinc(t) * window * cutoff / old, reach
+    _TAPS[old, new] = np.sinc(t) * window * cutoff / old, reach
+    return _TAPS[old, new]
 
 
 def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import TRAINING_COLUMNS
 from ..session import new_table_path
 
-# Up to this cap each task keeps its own top rows; above it rows are numbered.
-TOP_ROWS = 10_000
+# Up to this cap each task keeps its own first rows and one task merges them, which
+# is cap x tasks rows at most; above it the rows are numbered over all tasks.
+TOP_ROWS = 1_000
 
 
 def has_codes(df: DataFrame, codes: str = "codes") -> DataFrame:

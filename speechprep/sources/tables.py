@@ -33,12 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     from pyarrow import fs
 
-    sizes = []
-    for file in files:
+    def size(file: str) -> int:
         store, path = fs.FileSystem.from_uri(file)
-        sizes.append(store.get_file_info(path).size or 0)
-    small = sum(sizes) < SMALL_BYTES_PER_CORE * cores
-    return df.repartition(cores) if small else df
+        return store.get_file_info(path).size
+
+    try:
+        total = sum(map(size, files))
+    except Exception:  # a store this driver cannot ask: leave the rows alone
+        return df
+    return df.repartition(cores) if total < SMALL_BYTES_PER_CORE * cores else df
 
 
 def sample_rate(df: DataFrame, audio: str = "audio", default: int = 24000) -> Column:
