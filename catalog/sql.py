@@ -618,3 +618,24 @@ SQL = {
         from documents left join sounds using (doc_id)""",
 }
 SQL = {name: sql(body) for name, body in SQL.items()}
+
+# Columns that are 32-bit in Spark; DuckDB counts and places are 64-bit.
+INTEGERS = {
+    "prompt_block_split": ["idx"],
+    "filter_wav": ["n"],
+    "filter_has_codes": ["n"],
+    "audio_path": ["n"],
+    "prompt_nonblank": ["n"],
+    "attach_audio": ["bytes", "n_samples"],
+    "vocab_lookup": ["pos"],
+    "resolve_params": ["max_new_tokens"],
+    "frame_runs": ["frame", *[f"c{k}" for k in range(7)]],
+    "batch_max_len": ["max_len"],
+    "batch_crop_pos": ["crop_at"],
+    "collapse_frames": ["removed"],
+    "map_rows": ["lines"],
+    "safe_map": ["lines"],
+}
+for name, columns in INTEGERS.items():
+    casts = ", ".join(f"cast({c} as integer) as {c}" for c in columns)
+    SQL[name] = f"select * replace ({casts}) from ({SQL[name]})"
