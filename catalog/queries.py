@@ -47,7 +47,6 @@ from .standins import (
     vocab as vocabulary,
     waveforms,
     with_codes,
-    with_layers,
     without_top_p,
 )
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AUDIT_TEXTS, COMMON_TOKENS, START_OF_TEXT
 from ..functions.text import coverage_flag, words
+from .once import once
 from .rows import cap_rows
 
 # A vocabulary of at most this many entries is sent to every executor.
@@ -47,7 +48,9 @@ def tokenise(
     lead = F.array(*([F.lit(START_OF_TEXT)] if special else [])).cast("array<int>")
     if len(entries) <= max_broadcast:
         encode = _word_encoder(df, {e["token"]: e["id"] for e in entries}, unk)
-        return df.withColumn(out, F.concat(lead, encode(words(F.col(text)))))
+        return once(df.withColumn("_ids", encode(text)), **{out: F.concat(lead, "_ids")}).drop(
+            "_ids"
+        )
     if row is None:
         raise ValueError("a vocabulary above the bound needs a unique row column")
     return _tokenise_by_join(df, vocab, text, out, unk, lead, row)
@@ -56,13 +59,15 @@ def tokenise(
 def _word_encoder(df: DataFrame, ids: dict[str, int], unk: int):
     shared = df.sparkSession.sparkContext.broadcast(ids)
 
-    @F.pandas_udf("array<int>")
-    def encode(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = shared.value.get
-        for rows in found:
-            yield rows.map(
-                lambda ws: None if ws is None else [get(w, unk) for w in ws]
-            )
+        for batch in texts:
+            ids = [
+                None if t is None else [get(w, unk) for w in t.split()]
+                for t in batch.to_pylist()
+            ]
+            yield pa.array(ids, pa.list_(pa.int32()))
 
     return encode
 

@@ -175,3 +175,33 @@ def test_funnel_counts_rows_that_pass_all_stages_so_far(spark):
     df = spark.createDataFrame([(1, True), (2, None), (3, False), (4, True)], "n int, ok boolean")
     row = funnel(df, all=F.lit(True), ok=F.col("ok"), large=F.col("n") > 3).first()
     assert tuple(row) == (4, 2, 1)
+
+
+def test_a_hot_batch_is_split_by_the_skew_join(spark):
+    """A third of all rows in one batch: its partition of the join is divided."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(60_000).repartition(8).selectExpr(
+            "if(id % 3 = 0, -1, id div 4) as batch",
+            "transform(sequence(0, id % 40), x -> cast(id * 7 + x as int)) as input_ids",
+        )
+        padded = batching.left_pad(rows, "batch")
+        got = padded.groupBy("batch").agg(
+            F.count("*").alias("n"), F.count_distinct(F.size("input_ids")).alias("sizes")
+        )
+        assert got.filter("sizes > 1").count() == 0
+        assert got.filter("batch = -1").first().n == 20_000
+        final = padded.collect() and padded._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
