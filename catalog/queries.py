@@ -452,7 +452,8 @@ def batch_plan(spark, sf):
 @query
 def row_index(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    return rows.row_index(orders, "o_orderdate", "o_orderkey").select("idx", "o_orderkey", "o_custkey")
+    numbered = rows.row_index(orders, "o_orderdate", "o_orderkey")
+    return numbered.select("idx", "o_orderkey", "o_custkey")
 
 
 @query
@@ -559,7 +560,8 @@ def prompt_rows(spark, sf):
 
 @query
 def prompt_sequence(spark, sf):
-    return prompt_rows(spark, sf).select("conv_id", "turn", ints(F.col("input_ids")).alias("input_ids"))
+    built = prompt_rows(spark, sf)
+    return built.select("conv_id", "turn", ints(F.col("input_ids")).alias("input_ids"))
 
 
 @query
@@ -583,7 +585,8 @@ def first_channel(spark, sf):
     waves = waveforms(spark, sf)
     flipped = F.transform("samples", lambda v: -v)
     channels = waves.withColumn("channels", F.array("samples", flipped))
-    return channels.select("vec_id", micros(audio_fn.first_channel(F.col("channels"))).alias("samples"))
+    first = audio_fn.first_channel(F.col("channels"))
+    return channels.select("vec_id", micros(first).alias("samples"))
 
 
 @query
@@ -611,7 +614,8 @@ def as_float(spark, sf):
 
 @query
 def preview(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text_fn.preview(F.col("text")).alias("preview"))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", text_fn.preview(F.col("text")).alias("preview"))
 
 
 # --- token streams -----------------------------------------------------------------
@@ -656,10 +660,11 @@ def whole_frames(spark, sf):
 @query
 def classify_token(spark, sf):
     """Line items as token ids from all parts of the id space, counted by class."""
+    audio = (F.col("l_orderkey") * 31 + F.col("l_partkey")) % (FRAME * CODEBOOK + 500)
     token = (
         F.when(F.col("l_linenumber") == 1, 128000 + F.col("l_suppkey") % 300)
         .when(F.col("l_linenumber") == 2, F.col("l_partkey"))
-        .otherwise(AUDIO_OFFSET + (F.col("l_orderkey") * 31 + F.col("l_partkey")) % (FRAME * CODEBOOK + 500))
+        .otherwise(AUDIO_OFFSET + audio)
         .cast("int")
     )
     items = table(spark, sf, "lineitem").select(token.alias("token"))

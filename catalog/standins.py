@@ -176,7 +176,7 @@ def quantiser():
         t = -(-len(x) // FRAME)
         x = np.pad(x, (0, FRAME * t - len(x)))
         q = np.clip(np.floor((x + 1) * 2047.5), 0, CODEBOOK - 1).astype(int)
-        return {"l1": q[:t].tolist(), "l2": q[t : 3 * t].tolist(), "l3": q[3 * t :].tolist()}
+        return {"l1": q[:t], "l2": q[t : 3 * t], "l3": q[3 * t :]}
 
     return encode
 

@@ -25,7 +25,7 @@ def is_blank(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words of the whole text."""
-    return F.filter(F.split(strip(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    return F.array_remove(F.split(strip(text), r"(?U)[\s\x1c-\x1f]+"), "")
 
 
 def is_audio_name(name: Column) -> Column:
@@ -41,6 +41,11 @@ def join_path(folder: Column | str, name: Column) -> Column:
     return F.when(name.startswith("/"), name).otherwise(F.concat(base, name))
 
 
+def plain_path(path: Column) -> Column:
+    """A local path without ``file:``; any other path as it is."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def speaker_prefix(speaker: Column, text: Column) -> Column:
     return F.concat(F.coalesce(speaker, F.lit("None")), F.lit(": "), text)
 

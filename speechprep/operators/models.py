@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Array elements that one Arrow batch of model output may hold: a few codes of
+# input can become a long waveform.
+CHUNK_VALUES = 8_000_000
+
+
 def filter_rows(df: DataFrame, keep: Column | Callable[..., bool], *inputs: str) -> DataFrame:
     """Keep rows by a Column, or by a Python test of the named columns."""
     if isinstance(keep, Column):
@@ -68,6 +73,13 @@ def apply_model(
     """
     shape = f"value {schema}, error string"
 
+    def size(value) -> int:
+        parts = value.values() if isinstance(value, dict) else [value]
+        return sum(len(part) for part in parts if hasattr(part, "__len__"))
+
+    def frame(done: list) -> pd.DataFrame:
+        return pd.DataFrame(done, columns=["value", "error"], dtype=object)
+
     @F.pandas_udf(shape)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         model = factory()
@@ -86,8 +98,14 @@ def apply_model(
         for batch in batches:
             # One input comes as a bare series, several as a tuple of them.
             columns = batch if isinstance(batch, tuple) else (batch,)
-            done = [call(row) for row in zip(*columns)]
-            yield pd.DataFrame(done, columns=["value", "error"], dtype=object)
+            done, held = [], 0
+            for row in zip(*columns):
+                done.append(call(row))
+                held += size(done[-1][0])
+                if held >= CHUNK_VALUES:
+                    yield frame(done)
+                    done, held = [], 0
+            yield frame(done)
 
     called = df.withColumn("_called", run(*[F.col(c) for c in inputs]))
     return called.withColumns(

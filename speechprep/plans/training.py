@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SAMPLE_RATE
-from ..functions.text import join_path
+from ..functions.text import join_path, plain_path
 from ..operators.frames import collapse_frames, interleave
 from ..operators.models import apply_encoder
 from ..operators.rows import cap_rows, existing_audio, funnel, has_codes, keep_columns
@@ -60,6 +60,11 @@ def prepare_table(df: DataFrame, encode: Step, tokenise: Step) -> DataFrame:
     return keep_columns(built)
 
 
+def located(rows: DataFrame, audio_dir: str) -> DataFrame:
+    """Add ``path`` of each row's audio, named as the inventory names it."""
+    return rows.withColumn("path", plain_path(join_path(audio_dir, F.col("audio"))))
+
+
 def manifest_rows(
     rows: DataFrame,
     inventory: DataFrame,
@@ -71,8 +76,7 @@ def manifest_rows(
     The cap comes before the check, so missing files take places under the cap.
     """
     capped = cap_rows(rows, max_samples, "file", "pos")
-    placed = capped.withColumn("path", join_path(audio_dir, F.col("audio"))).drop("audio")
-    return existing_audio(placed, inventory)
+    return existing_audio(located(capped, audio_dir).drop("audio"), inventory)
 
 
 def prepare_manifest(
@@ -99,8 +103,7 @@ def stage_funnel(
 ) -> DataFrame:
     """How many manifest rows pass each stage, counted in one pass."""
     known = inventory.select("path", F.lit(True).alias("_found")).distinct()
-    placed = rows.withColumn("path", join_path(audio_dir, F.col("audio")))
-    coded = encode(placed.join(known, "path", "left"))
+    coded = encode(located(rows, audio_dir).join(known, "path", "left"))
     unlike = collapse_frames(coded.withColumn("_unlike", F.col("codes")), "_unlike")
     return funnel(
         unlike,

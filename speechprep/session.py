@@ -35,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a table of one short row per key and read it back.
+    """Write a table to the shared folder and read it back.
 
-    Its size is then known when the join is planned: Spark broadcasts it below
-    ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle above. Before
-    that it would have to guess, and would move the large side for a small table.
+    Its rows are then fixed, and its size is known when a join is planned: Spark
+    broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and joins by
+    shuffle above. Before that it would have to guess, and would move the large
+    side for a small table.
     """
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)

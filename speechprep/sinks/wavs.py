@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..constants import SAMPLE_RATE
 from ..functions import wav
+from ..functions.files import write_bytes
 
 
 def wav_writer(rate: int = SAMPLE_RATE, encoding: str = "float32"):
     """Column UDF: path and samples -> ``(ok, error)`` after writing the file.
 
-    A file is written under a name of its own and then moved, so a task that runs
-    twice leaves one whole file. A row that fails is reported; the others go on.
+    A row that fails is reported; the others go on.
     """
 
     def matrix(samples) -> np.ndarray:
@@ -24,22 +24,10 @@ def wav_writer(rate: int = SAMPLE_RATE, encoding: str = "float32"):
         return np.stack(list(samples)) if nested else np.asarray(samples)
 
     def one(path: str, samples) -> tuple[bool, str | None]:
-        import uuid
-
-        from pyarrow import fs
-
         try:
             if samples is None:
                 raise ValueError("no samples")
-            if "://" in path or path.startswith("file:"):
-                store, inner = fs.FileSystem.from_uri(path)
-            else:
-                store, inner = fs.LocalFileSystem(), path
-            store.create_dir(inner.rpartition("/")[0])
-            draft = f"{inner}.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(draft) as stream:
-                stream.write(wav.write_wav(matrix(samples), rate, encoding))
-            store.move(draft, inner)
+            write_bytes(path, wav.write_wav(matrix(samples), rate, encoding))
             return True, None
         except Exception as fault:
             return False, str(fault) or type(fault).__name__

@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import SAMPLE_RATE
 from ..functions import wav
+from ..functions.files import read_bytes
+from ..functions.text import plain_path
 
+# Bytes of audio that one Arrow batch may hold when rows are made from paths.
+CHUNK_BYTES = 64 << 20
 DECODED = "samples array<float>, source_rate int, decode_ok boolean, error string"
 
 
 def audio_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, modificationTime)`` of the files; contents stay unread."""
+    """``(path, length, modificationTime)`` of the files; contents stay unread.
+
+    Local files are named without ``file:``, as ``plain_path`` names them.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path", "length", "modificationTime")
+        .select(plain_path(F.col("path")).alias("path"), "length", "modificationTime")
     )
 
 
-def read_bytes(name: str) -> bytes:
-    """A file's bytes, from a mounted path or any store that has a URI."""
-    from pyarrow import fs
-
-    if "://" in name or name.startswith("file:"):
-        store, inner = fs.FileSystem.from_uri(name)
-    else:
-        store, inner = fs.LocalFileSystem(), name
-    with store.open_input_stream(inner) as stream:
-        return stream.read()
-
-
 def waveform(content: bytes, rate: int) -> tuple[np.ndarray, int]:
     """Mono samples at ``rate``, and the rate they had in the file."""
     channels, source_rate = wav.read_wav(content)
@@ -106,19 +104,6 @@ def from_samples(encoder, rate: int = SAMPLE_RATE):
     return build
 
 
-@F.pandas_udf(T.BinaryType())
-def content_at(path: pd.Series) -> pd.Series:
-    """A file's bytes, read where the row is; null when it cannot be read."""
-
-    def read(name: str) -> bytes | None:
-        try:
-            return read_bytes(name)
-        except Exception:
-            return None
-
-    return path.map(read)
-
-
 def decode_audio(
     spark: SparkSession, path: str, rate: int = SAMPLE_RATE, on_error: str = "silence"
 ) -> DataFrame:
@@ -143,8 +128,32 @@ def decoded(
 
 
 def attach_audio(df: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``content``: each row reads its own file, so no bytes are shuffled."""
-    return df.withColumn("content", content_at(F.col(path)))
+    """Add ``content``: each row reads its own file, so no bytes are shuffled.
+
+    An unreadable file is null. Rows leave the task as soon as they hold a chunk
+    of bytes, whatever their number.
+    """
+    schema = T.StructType([*df.schema, T.StructField("content", T.BinaryType())])
+
+    def read(name: str) -> bytes | None:
+        try:
+            return read_bytes(name)
+        except Exception:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, contents = 0, 0, []
+            for at, name in enumerate(batch.column(path).to_pylist(), 1):
+                contents.append(read(name))
+                held += len(contents[-1] or b"")
+                if held >= CHUNK_BYTES or at == batch.num_rows:
+                    part = batch.slice(start, at - start)
+                    columns = [*part.columns, pa.array(contents, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "content"])
+                    start, held, contents = at, 0, []
+
+    return df.mapInArrow(run, schema)
 
 
 def resampler(target: int = SAMPLE_RATE):

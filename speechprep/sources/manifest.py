@@ -201,8 +201,14 @@ def read_manifest(
     mode: str = "auto",
     columns: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)`` of manifest files, each file parsed by its own rule."""
-    parsed = parse_lines(read_lines(spark, path), text, audio, mode, columns)
+    """``(rows, rejects)`` of manifest files, each file parsed by its own rule.
+
+    Row numbers depend on how files are cut into blocks, which may differ between
+    jobs when executors come and go. So the lines are written once with their
+    positions, and verdicts, caps and order all refer to that table.
+    """
+    lines = settled(read_lines(spark, path), "lines")
+    parsed = parse_lines(lines, text, audio, mode, columns)
     return kept(parsed), rejected(parsed)
 
 

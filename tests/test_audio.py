@@ -97,6 +97,34 @@ def test_missing_file_is_null_content_and_silence(spark, folder):
     assert len(rows[1].samples) == 24000
 
 
+@pytest.mark.parametrize("chunk", [1, 10**9])
+def test_contents_leave_in_chunks(spark, folder, monkeypatch, chunk):
+    monkeypatch.setattr(audio_files, "CHUNK_BYTES", chunk)
+    names = ["good", "none", "broken", "stereo"] * 3
+    df = spark.createDataFrame([(n, f"file:{folder}/{n}.wav") for n in names], "n string, path string")
+    got = sorted((r.n, r.content and len(r.content)) for r in audio_files.attach_audio(df).collect())
+    sizes = {"good": 32044, "none": None, "broken": 8, "stereo": 64044}
+    assert got == sorted((n, sizes[n]) for n in names)
+
+
+@pytest.mark.parametrize("values", [1, 3, 10**9])
+def test_model_output_leaves_in_chunks(spark, monkeypatch, values):
+    monkeypatch.setattr(models, "CHUNK_VALUES", values)
+    repeat = lambda: lambda n: [n] * (n % 3)
+    done = models.apply_model(spark.range(20).coalesce(2), repeat, ["id"], "out", "array<long>")
+    assert all(r.out == [r.id] * (r.id % 3) for r in done.collect()) and done.count() == 20
+
+
+def test_names_with_blanks_and_accents(spark, tmp_path):
+    paths = [f"{tmp_path}/tiếng việt 1.wav", f"file://{tmp_path}/a b#%20.wav"]
+    df = spark.createDataFrame([(p, [0.5]) for p in paths], "path string, samples array<float>")
+    assert all(r.ok for r in write_wavs(df).collect())
+    found = audio_files.audio_inventory(spark, str(tmp_path))
+    assert {r.path for r in found.collect()} == {p.removeprefix("file://") for p in paths}
+    rows = audio_files.attach_audio(found.select("path")).collect()
+    assert all(len(r.content) == 48 for r in rows)
+
+
 def test_write_reports_each_row(spark, tmp_path):
     rows = [(f"{tmp_path}/a/x.wav", [0.5, -0.5]), (f"{tmp_path}/a/y.wav", None), ("/proc/no/z.wav", [0.0])]
     done = write_wavs(spark.createDataFrame(rows, "path string, samples array<float>"))
@@ -160,21 +188,27 @@ def test_manifest_flow_reads_audio_late(spark, folder):
     rows = [("m", 0, "good.wav", "hello"), ("m", 1, "none.wav", "x"), ("m", 2, "broken.wav", "y"),
             ("m", 3, "stereo.wav", "z")]
     df = spark.createDataFrame(rows, "file string, pos long, audio string, text string")
-    inventory = audio_files.audio_inventory(spark, folder).select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path")
-    )
+    inventory = audio_files.audio_inventory(spark, folder)
     tokenise = lambda d: models.apply_tokenizer(d, lambda: lambda t: [len(t)]).drop("error")
-    run = lambda **o: training.prepare_manifest(
-        df, inventory, training.encode_files(quantiser, **o), tokenise, folder, max_samples=3
+    run = lambda where=folder, **o: training.prepare_manifest(
+        df, inventory, training.encode_files(quantiser, **o), tokenise, where, max_samples=3
     )
     built = {r.input_ids[1]: r for r in run().collect()}
     assert set(built) == {5, 1} and built[5].labels == built[5].input_ids
     assert len(built[1].input_ids) == 6 + 7 + 2 - 0  # silence is one frame after the collapse
-    assert run(on_error="null").count() == 1
+    assert run(on_error="null").count() == 1 and run("file://" + folder).count() == 2
     funnel = training.stage_funnel(df, inventory, training.encode_files(quantiser), folder).first()
     assert tuple(funnel) == (4, 3, 3, 3, 3)
 
 
+def test_audit_of_the_first_texts_under_the_cap(spark):
+    rows = [("m", n, f"{n}.wav", "a b" if n < 2 else "c") for n in range(5)]
+    df = spark.createDataFrame(rows, "file string, pos long, audio string, text string")
+    known = spark.createDataFrame([("a",)], "token string")
+    row = training.audit(df, known, max_samples=3).first()
+    assert (row.total_texts_analyzed, row.total_tokens, row.unk_tokens) == (3, 5, 3)
+
+
 def test_table_flow_uses_each_rows_own_rate(spark):
     rows = [("ann", "a", SINE.tolist(), 16000), ("bob", "b", SINE.tolist(), 24000)]
     df = spark.createDataFrame(rows, "source string, text string, s array<float>, r int")
