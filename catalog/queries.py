@@ -160,6 +160,17 @@ def audio_inventory(spark, sf):
     return found.select(base_name(), "length")
 
 
+@query
+def audio_sizes(spark, sf):
+    """Each row asks for its own file."""
+    folder = wav_folder(spark, sf)
+    name = F.format_string("vec_%d.wav", "doc_id")
+    items = table(spark, sf, "documents").select(
+        "doc_id", text_fn.join_path(folder, name).alias("path")
+    )
+    return audio_files.sized(items).select("doc_id", "length")
+
+
 @query
 def audio_decode(spark, sf):
     decoded = audio_files.decode_audio(spark, wav_folder(spark, sf))

@@ -402,6 +402,8 @@ SQL = {
     " 24000 as sampling_rate from waves",
     "audio_inventory": "select 'vec_' || vec_id || '.wav' as file_name,"
     " 44 + 4 * len(samples) as length from waves",
+    "audio_sizes": "select doc_id, 44 + 4 * len(embedding) as length from documents"
+    " left join embeddings on vec_id = doc_id",
     "audio_decode": f"select 'vec_' || vec_id || '.wav' as file_name, {micros('samples')} as samples,"
     " 24000 as source_rate, true as decode_ok from waves",
     "pcm_mono": "select 'vec_' || vec_id || '.wav' as file_name, "

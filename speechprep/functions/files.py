@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
+# Stores already opened in this worker: (file system, path of its root).
+_STORES: dict[str, tuple] = {}
 
 
 def locate(name: str):
@@ -13,7 +14,20 @@ def locate(name: str):
         return fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
     if "://" not in name:
         return fs.LocalFileSystem(), name
-    return fs.FileSystem.from_uri(quote(name, safe="/:@?=&"))
+    scheme, _, rest = name.partition("://")
+    host, _, inner = rest.partition("/")
+    root = f"{scheme}://{host}/"
+    if root not in _STORES:
+        _STORES[root] = fs.FileSystem.from_uri(root)
+    store, base = _STORES[root]
+    return store, f"{base.rstrip('/')}/{inner}"
+
+
+def file_size(name: str) -> int | None:
+    """Bytes of a file; none when there is no such file."""
+    store, path = locate(name)
+    found = store.get_file_info(path)
+    return found.size if found.is_file else None
 
 
 def read_bytes(name: str) -> bytes:

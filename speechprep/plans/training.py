@@ -14,7 +14,7 @@ from ..operators.models import apply_encoder
 from ..operators.rows import cap_rows, existing_audio, funnel, has_codes, keep_columns
 from ..operators.sequences import speaker_text, train_sequence
 from ..operators.vocab import audit_sample, vocab_coverage
-from ..sources.audio_files import from_path, from_samples
+from ..sources.audio_files import from_path, from_samples, sized
 from ..sources.tables import sample_rate
 
 Step = Callable[[DataFrame], DataFrame]
@@ -67,21 +67,25 @@ def located(rows: DataFrame, audio_dir: str) -> DataFrame:
 
 def manifest_rows(
     rows: DataFrame,
-    inventory: DataFrame,
+    inventory: DataFrame | None = None,
     audio_dir: str = "",
     max_samples: int | None = None,
 ) -> DataFrame:
     """``(file, pos, path, text)`` of capped manifest rows whose file exists.
 
     The cap comes before the check, so missing files take places under the cap.
+    Without an inventory each row asks for its own file.
     """
     capped = cap_rows(rows, max_samples, "file", "pos")
-    return existing_audio(located(capped, audio_dir).drop("audio"), inventory)
+    placed = located(capped, audio_dir).drop("audio")
+    if inventory is None:
+        return sized(placed).filter(F.col("length").isNotNull()).drop("length")
+    return existing_audio(placed, inventory)
 
 
 def prepare_manifest(
     rows: DataFrame,
-    inventory: DataFrame,
+    inventory: DataFrame | None,
     encode: Step,
     tokenise: Step,
     audio_dir: str = "",

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..constants import SAMPLE_RATE
 from ..functions import wav
-from ..functions.files import read_bytes
+from ..functions.files import file_size, read_bytes
 from ..functions.text import plain_path
 
 # Bytes of audio that one Arrow batch may hold when rows are made from paths.
@@ -24,6 +24,8 @@ DECODED = "samples array<float>, source_rate int, decode_ok boolean, error strin
 def audio_inventory(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, modificationTime)`` of the files; contents stay unread.
 
+    Spark's driver holds the list of a folder's files; for many millions of them use
+    ``sized``, or an inventory table that the store itself keeps.
     Local files are named without ``file:``, as ``plain_path`` names them.
     """
     return (
@@ -34,6 +36,21 @@ def audio_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@F.arrow_udf(T.LongType())
+def length_at(path: pa.Array) -> pa.Array:
+    """Size of the file at each path, asked for in the row's own task; null if none."""
+    names = path.to_pylist()
+    return pa.array([None if n is None else file_size(n) for n in names], pa.int64())
+
+
+def sized(df: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``length`` of each row's file; null when it is missing.
+
+    Unlike an inventory this lists no folder, so no file list grows on the driver.
+    """
+    return df.withColumn("length", length_at(F.col(path)))
+
+
 def waveform(content: bytes, rate: int) -> tuple[np.ndarray, int]:
     """Mono samples at ``rate``, and the rate they had in the file."""
     channels, source_rate = wav.read_wav(content)

@@ -45,6 +45,20 @@ def test_round_trip_and_mono():
         assert np.abs(wav.mono(samples)).max() <= error
 
 
+def test_extensible_and_double_files():
+    plain = pcm([0, 16384], 16)
+    form = struct.pack("<HHIIHHHHIH14x", wav.EXTENSIBLE, 1, 8000, 16000, 2, 16, 22, 16, 0, wav.PCM)
+    tail = plain[plain.index(b"data") :]
+    inner = b"WAVEfmt " + struct.pack("<I", len(form)) + form + tail
+    wide = b"RIFF" + struct.pack("<I", len(inner)) + inner
+    assert wav.read_wav(wide)[0].tolist() == [[0, 0.5]]
+    body = np.array([0.25, -0.5], "<f8").tobytes()
+    form = struct.pack("<HHIIHH", wav.IEEE_FLOAT, 1, 8000, 64000, 8, 64)
+    inner = b"WAVEfmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", 16) + body
+    double = b"RIFF" + struct.pack("<I", len(inner)) + inner
+    assert wav.read_wav(double)[0].tolist() == [[0.25, -0.5]]
+
+
 @pytest.mark.parametrize("bad", [b"", b"RIFF", b"x" * 100, pcm([1], 16)[:30], pcm([1], 16, kind=7)])
 def test_undecodable(bad):
     with pytest.raises(Exception):
@@ -197,6 +211,8 @@ def test_manifest_flow_reads_audio_late(spark, folder):
     assert set(built) == {5, 1} and built[5].labels == built[5].input_ids
     assert len(built[1].input_ids) == 6 + 7 + 2 - 0  # silence is one frame after the collapse
     assert run(on_error="null").count() == 1 and run("file://" + folder).count() == 2
+    asked = training.manifest_rows(df, None, folder)
+    assert sorted(r.text for r in asked.collect()) == ["hello", "y", "z"]
     funnel = training.stage_funnel(df, inventory, training.encode_files(quantiser), folder).first()
     assert tuple(funnel) == (4, 3, 3, 3, 3)
 
