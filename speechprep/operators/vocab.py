@@ -120,7 +120,7 @@ def vocab_coverage(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataF
     Tokens are counted before the join, so the join sees each distinct token once
     and a token that fills a third of the corpus is one row.
     """
-    counts = token_counts(tokens_of(df, text))
+    counts = token_counts(df.select(F.explode(words(F.col(text))).alias("token")))
     known = vocab.select("token", F.lit(True).alias("_known")).distinct()
     token_part = counts.join(known, "token", "left").select(
         F.lit(0).cast("long").alias("texts"),
