@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from speechprep.llm.common import table
 from speechprep.llm.exact_dedup import exact_dedup
 from speechprep.llm.mixing import mix_sources
+from speechprep.llm.quality_rules import quality_rules
 from speechprep.llm.sharding import shard_by_bytes
+from speechprep.llm.token_counts import token_counts
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +23,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix_sources(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op6_token_counts, op9_quality_rules, op10_mixing)}
