@@ -12,6 +12,7 @@ from speechprep.llm.exact_dedup import exact_dedup
 from speechprep.llm.mixing import mix_sources
 from speechprep.llm.quality_rules import quality_rules
 from speechprep.llm.sharding import shard_by_bytes
+from speechprep.llm.simhash import hex_digits, simhash_groups
 from speechprep.llm.token_counts import token_counts
 
 
@@ -28,6 +29,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -37,4 +43,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op6_token_counts, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op6_token_counts, op8_simhash, op9_quality_rules, op10_mixing)}
