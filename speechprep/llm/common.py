@@ -40,7 +40,8 @@ def positioned(df: DataFrame, order: list[str], measures: list[str], name: str)
     Rows are dealt by range on ``order`` and written to the shared folder in that order. One row per
     written partition carries its count and sums; their prefix sums (as many rows as partitions) are
     added to the running counts and sums inside each partition. ``order`` must tell all rows apart that
-    are not alike in every column. Adds ``idx`` (from 0) and ``before_<measure>`` (sum over earlier rows).
+    are not alike in every column. Adds ``idx`` (from 0), ``before_<measure>`` (sum over earlier rows) and
+    ``total_<measure>`` (over all).
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -54,9 +55,11 @@ def positioned(df: DataFrame, order: list[str], measures: list[str], name: str)
     sums = [F.sum(m).alias(f"sum_{m}") for m in measures]
     totals = written.groupBy("part_").agg(F.count("*").alias("rows_"), *sums)
     earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
         "part_",
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"off_{c}") for c in totals.columns[1:]],
+        *[F.sum(f"sum_{m}").over(everything).alias(f"total_{m}") for m in measures],
     )
     within = Window.partitionBy("part_").orderBy("seq_").rowsBetween(Window.unboundedPreceding, -1)
     here = {"in_rows_": F.count("*").over(within)} | {
@@ -68,6 +71,7 @@ def positioned(df: DataFrame, order: list[str], measures: list[str], name: str)
         *df.columns,
         (F.col("off_rows_") + F.col("in_rows_")).alias("idx"),
         *[(F.col(f"off_sum_{m}") + F.col(f"in_{m}")).alias(f"before_{m}") for m in measures],
+        *[f"total_{m}" for m in measures],
     )
 
 

@@ -27,10 +27,9 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
         F.xxhash64(text).alias("tie_"),
     )
     line = positioned(rows, ["doc_id", "text_crc32", "size", "tie_"], ["size"], "shard-line")
-    total = F.broadcast(line.agg(F.sum("size").alias("total_")))  # one row
     middle = (2 * F.col("before_size") + F.col("size")).cast("decimal(38,0)")
-    cut = F.floor(middle * F.lit(shards) / (2 * F.col("total_")).cast("decimal(38,0)"))
-    placed = line.crossJoin(total).withColumn("shard", F.least(cut, F.lit(shards - 1)).cast("int"))
+    cut = F.floor(middle * F.lit(shards) / (2 * F.col("total_size")).cast("decimal(38,0)"))
+    placed = line.withColumn("shard", F.least(cut, F.lit(shards - 1)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("idx").alias("first_"))
     return placed.join(F.broadcast(first), "shard").select(  # one row per shard
         "doc_id", "size", "text_crc32",
