@@ -33,7 +33,7 @@ MARK = "▁"
 #: Words: a run of spaces with what follows it, or what follows no space; line breaks stand alone.
 WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: How many words are sent to the tasks, and how long they may be; a task remembers so many more.
-SENT, SENT_CHARS, REMEMBERED = 200_000, 48, 600_000
+SENT, SENT_CHARS, REMEMBERED = 200_000, 48, 900_000
 #: Words that a task counts before it hands its counts on.
 COUNTED = 400_000
 MOST_PIECES = 1_000_000
@@ -88,6 +88,8 @@ class Pieces:
             if "\n" in piece or MARK in piece.lstrip(MARK):
                 raise ValueError(f"a piece crosses words: {piece!r}")
         self.longest = max(map(len, self.table))
+        #: Beginnings of pieces that are no pieces themselves.
+        self.partial = {p[:k] for p in self.table for k in range(1, len(p))} - self.table.keys()
 
 
 def pack(pieces: Pieces, codes: list[int]) -> bytes:
@@ -103,18 +105,29 @@ def pack(pieces: Pieces, codes: list[int]) -> bytes:
 
 def fold(pieces: Pieces, word: str) -> list[int]:
     """Viterbi over one word: the best sum of weights; of equal sums the latest start of the last piece."""
-    get, longest = pieces.table.get, pieces.longest
-    best: list[tuple] = [([], 0, 0)]
-    for end in range(1, len(word) + 1):
-        edges = []
-        for start in range(max(0, end - longest), end):
-            if found := get(word[start:end]):
-                here = [key - start for key in found[1]]
-                edges.append((sorted(best[start][0] + here, reverse=True), start, found[0]))
+    get, partial, n = pieces.table.get, pieces.partial, len(word)
+    best: list = [([], 0, 0)] + [None] * n
+    for start in range(n):
+        weight = best[start][0]
+        for end in range(start + 1, n + 1):
+            part = word[start:end]
+            if found := get(part):
+                sums = weight
+                if found[1]:
+                    here = [key - start for key in found[1]] if start else found[1]
+                    sums = sorted(weight + here, reverse=True) if weight else here
+                edge = (sums, start, found[0])
             elif end - start == 1:
-                edges.append((best[start][0], start, -1 - ord(word[start])))
-        best.append(max(edges) if len(edges) > 1 else edges[0])
-    codes, at = [], len(word)
+                edge = (weight, start, -1 - ord(part))
+            elif part in partial:
+                continue
+            else:
+                break
+            if best[end] is None or edge > best[end]:
+                best[end] = edge
+            if end - start == 1 and not found and part not in partial:
+                break
+    codes, at = [], n
     while at:
         codes.append(best[at][2])
         at = best[at][1]
@@ -175,7 +188,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            items = iter(seen.items())
+            items = iter([(w, n) for w, n in seen.items() if len(w) <= SENT_CHARS])
             while some := list(islice(items, 50_000)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"]
@@ -184,7 +197,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(w for w in split_words(text.as_py() or "") if len(w) <= SENT_CHARS)
+                seen.update(split_words(text.as_py() or ""))
                 if len(seen) > COUNTED:
                     yield from out()
         yield from out()
