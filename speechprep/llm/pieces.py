@@ -15,6 +15,7 @@ lists together in order, and compare from the front. The best sum is what the me
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -88,12 +89,15 @@ class Pieces:
             if "\n" in piece or MARK in piece.lstrip(MARK):
                 raise ValueError(f"a piece crosses words: {piece!r}")
         self.longest = max(map(len, self.table))
-        #: Beginnings of pieces that are no pieces themselves.
-        self.partial = {p[:k] for p in self.table for k in range(1, len(p))} - self.table.keys()
+        #: Pieces and beginnings of pieces: id (-1 for no piece), weight, and whether some piece goes on from here.
+        going = {p[:k] for p in self.table for k in range(1, len(p))}
+        self.steps = {p: (*self.table.get(p, (-1, [])), p in going) for p in going | self.table.keys()}
 
 
 def pack(pieces: Pieces, codes: list[int]) -> bytes:
     """Ids as little-endian 32-bit numbers; a code below 0 is a character to be spelt in bytes."""
+    if min(codes, default=0) >= 0:
+        return struct.pack(f"<{len(codes)}i", *codes)
     ids = []
     for code in codes:
         if code >= 0:
@@ -105,27 +109,21 @@ def pack(pieces: Pieces, codes: list[int]) -> bytes:
 
 def fold(pieces: Pieces, word: str) -> list[int]:
     """Viterbi over one word: the best sum of weights; of equal sums the latest start of the last piece."""
-    get, partial, n = pieces.table.get, pieces.partial, len(word)
+    get, n = pieces.steps.get, len(word)
     best: list = [([], 0, 0)] + [None] * n
     for start in range(n):
         weight = best[start][0]
         for end in range(start + 1, n + 1):
-            part = word[start:end]
-            if found := get(part):
+            code, more, goes_on = get(word[start:end]) or (-1, [], False)
+            if code >= 0 or end - start == 1:
                 sums = weight
-                if found[1]:
-                    here = [key - start for key in found[1]] if start else found[1]
+                if more:
+                    here = [key - start for key in more] if start else more
                     sums = sorted(weight + here, reverse=True) if weight else here
-                edge = (sums, start, found[0])
-            elif end - start == 1:
-                edge = (weight, start, -1 - ord(part))
-            elif part in partial:
-                continue
-            else:
-                break
-            if best[end] is None or edge > best[end]:
-                best[end] = edge
-            if end - start == 1 and not found and part not in partial:
+                edge = (sums, start, code if code >= 0 else -1 - ord(word[start]))
+                if best[end] is None or edge > best[end]:
+                    best[end] = edge
+            if not goes_on:
                 break
     codes, at = [], n
     while at:
