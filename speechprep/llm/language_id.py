@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechprep.llm.common import chosen_by_hash
 from speechprep.llm.hashed_text import gram_counts
 
 ORDERS, GRAM_BITS = (1, 2, 3), 15
@@ -103,8 +104,7 @@ def _sample(rows: DataFrame, per_language: int) -> DataFrame:
     per_language = min(per_language, FITTED // max(1, len(frequent)))
     narrow = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("fit")).alias("h"))
     narrow = narrow.filter(F.col("lang").isin(frequent) if frequent else F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = narrow.withColumn("r", rank).filter(F.col("r") <= per_language).select("doc_id", "lang", "h").distinct()
+    chosen = chosen_by_hash(narrow, "lang", per_language).distinct()
     # At most FITTED rows of two numbers and a name.
     return rows.join(F.broadcast(chosen), ["doc_id", "lang"])
 

@@ -10,9 +10,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechprep.llm.common import chosen_by_hash
 from speechprep.llm.hashed_text import gram_counts
 from speechprep.session import settled
 
@@ -85,8 +86,7 @@ def fit_quality(
         F.col("doc_id").cast("long").alias("key"), F.col(grade_col).cast("int").alias("grade")
     ).dropna()
     graded = graded.groupBy("key").agg(F.min("grade").alias("grade")).withColumn("h", F.xxhash64("key", F.lit("fit")))
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy("h", "key"))
-    chosen = settled(graded.withColumn("r", rank).filter(F.col("r") <= per_grade).drop("r"), "rated")
+    chosen = settled(chosen_by_hash(graded, "grade", per_grade), "rated")
     texts = df.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most per_grade rows of each grade.
     rated = texts.join(F.broadcast(chosen), "key").dropDuplicates(["key"])
