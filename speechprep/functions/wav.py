@@ -71,23 +71,31 @@ def mono(channels: np.ndarray) -> np.ndarray:
     return channels.mean(axis=0, dtype=np.float32)
 
 
-# Filters already made in this worker, by rate pair.
-_TAPS: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+# Filters made last in this worker, by rate pair; and how many to hold.
+_TAPS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
+_HELD = 16
+# Rates beyond this are taken for damage.
+MAX_RATE = 768_000
+# Output samples worked on at once.
+_BLOCK = 65_536
 
 
-def _taps(old: int, new: int) -> tuple[np.ndarray, int]:
-    """One row of filter taps per output phase, and the reach in input samples."""
+def _taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The non-zero filter taps of each output phase, the input where they start, and their reach."""
     if (old, new) in _TAPS:
         return _TAPS[old, new]
     cutoff = min(old, new) * ROLLOFF
     reach = math.ceil(ZERO_CROSSINGS * old / cutoff)
-    inputs = np.arange(-reach, reach + old) / old
-    outputs = np.arange(new) / new
-    t = (inputs[None, :] - outputs[:, None]) * cutoff
+    phases = np.arange(new)
+    starts = phases * old // new - reach
+    inputs = starts[:, None] + np.arange(2 * reach + 2)[None, :]
+    t = (inputs / old - phases[:, None] / new) * cutoff
     window = np.where(
         np.abs(t) < ZERO_CROSSINGS, np.cos(np.pi * t / (2 * ZERO_CROSSINGS)) ** 2, 0
     )
-    _TAPS[old, new] = np.sinc(t) * window * cutoff / old, reach
+    while len(_TAPS) >= _HELD:
+        del _TAPS[next(iter(_TAPS))]
+    _TAPS[old, new] = np.sinc(t) * window * cutoff / old, starts, reach
     return _TAPS[old, new]
 
 
@@ -95,12 +103,20 @@ def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     """Band-limited resampling; ``ceil(n * target / rate)`` samples come out."""
     if rate == target:
         return samples
+    if not 0 < rate <= MAX_RATE:
+        raise ValueError(f"sampling rate {rate}")
     common = math.gcd(rate, target)
     old, new = rate // common, target // common
-    taps, reach = _taps(old, new)
-    steps = len(samples) // old + 1
-    padded = np.zeros(2 * reach + steps * old, np.float64)
+    taps, starts, reach = _taps(old, new)
+    width = taps.shape[1]
+    n = math.ceil(len(samples) * new / old)
+    padded = np.zeros(reach + len(samples) + old + width, np.float64)
     padded[reach : reach + len(samples)] = samples
-    views = np.lib.stride_tricks.sliding_window_view(padded, taps.shape[1])[::old]
-    out = (views[:steps] @ taps.T).reshape(-1)
-    return out[: math.ceil(len(samples) * new / old)].astype(np.float32)
+    views = np.lib.stride_tricks.sliding_window_view(padded, width)
+    out = np.empty(n, np.float32)
+    for at in range(0, n, _BLOCK):
+        k = np.arange(at, min(n, at + _BLOCK))
+        phase = k % new
+        here = views[k // new * old + starts[phase] + reach]
+        out[at : at + _BLOCK] = np.einsum("ij,ij->i", here, taps[phase])
+    return out

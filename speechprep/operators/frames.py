@@ -57,21 +57,25 @@ def frame_runs(
 ) -> DataFrame:
     """Collapse repeats in long form, however many frames one row may have.
 
-    Frames of a row are dealt to stretches of consecutive positions, and the last
-    frame of each stretch is lent to the next one. So a window never covers more
+    Frames of a row are dealt to stretches of positions, and the last frame of each
+    stretch is lent to the next one that has frames. So a window never covers more
     than a stretch, and a row that holds most of the table is worked on in parallel.
+    Frame numbers may start anywhere and have gaps; a null code is a code of its own.
     """
-    at = F.col(frame)
-    home = F.floor(at / stretch)
-    ends = at % stretch == stretch - 1
-    dealt = df.withColumn(
-        "_stretch",
-        F.explode(F.when(ends, F.array(home, home + 1)).otherwise(F.array(home))),
+    dealt = df.withColumn("_stretch", F.floor(F.col(frame) / stretch))
+    code = F.struct(F.col(first).alias("c"))
+    lasts = dealt.groupBy(row, "_stretch").agg(F.max_by(code, frame).alias("_last"))
+    lent = lasts.select(
+        F.col(row).alias("_row"),
+        F.col("_stretch").alias("_at"),
+        F.lag("_last").over(Window.partitionBy(row).orderBy("_stretch")).alias("_lent"),
     )
-    before = F.lag(first).over(Window.partitionBy(row, "_stretch").orderBy(frame))
+    inside = F.lag(code).over(Window.partitionBy(row, "_stretch").orderBy(frame))
+    placed = dealt.withColumn("_inside", inside)
+    same = F.col(row).eqNullSafe(F.col("_row")) & (F.col("_stretch") == F.col("_at"))
+    before = F.coalesce("_inside", "_lent")
     return (
-        dealt.withColumn("_before", before)
-        .filter(F.col("_stretch") == home)
-        .filter((at == 0) | (F.col(first) != F.col("_before")))
-        .drop("_stretch", "_before")
+        placed.join(lent, same)
+        .filter(before.isNull() | ~F.col(first).eqNullSafe(before["c"]))
+        .select(*df.columns)
     )

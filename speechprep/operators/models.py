@@ -107,6 +107,8 @@ def apply_model(
                     done, held = [], 0
             yield frame(done)
 
+    # Not deterministic: a later filter on the result must not run the model once more.
+    run = run.asNondeterministic()
     called = df.withColumn("_called", run(*[F.col(c) for c in inputs]))
     return called.withColumns(
         {out: F.col("_called.value"), "error": F.col("_called.error")}

@@ -51,13 +51,13 @@ def prepare_table(df: DataFrame, encode: Step, tokenise: Step) -> DataFrame:
     """Training rows of a table with text and audio.
 
     ``encode`` adds ``codes`` (null for a failed row); ``tokenise`` adds
-    ``text_ids`` made of ``prompt``. Both stay in the row's own task, so nothing
+    ``text_ids`` made of ``prompt`` (null for a failed row). Rows without either are left out. Both stay in the row's own task, so nothing
     is shuffled here.
     """
     valid = has_codes(encode(df))
     unlike = has_codes(collapse_frames(valid, removed=None))
-    built = train_sequence(tokenise(speaker_text(unlike)))
-    return keep_columns(built)
+    named = tokenise(speaker_text(unlike)).filter(F.col("text_ids").isNotNull())
+    return keep_columns(train_sequence(named))
 
 
 def located(rows: DataFrame, audio_dir: str) -> DataFrame:

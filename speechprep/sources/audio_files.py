@@ -83,7 +83,8 @@ def decoder(rate: int = SAMPLE_RATE, on_error: str = "silence"):
             columns=["samples", "source_rate", "decode_ok", "error"],
         ).astype({"source_rate": "Int32", "decode_ok": bool})
 
-    return decode
+    # Not deterministic: a filter on decode_ok must not decode once more.
+    return decode.asNondeterministic()
 
 
 def from_path(encoder, rate: int = SAMPLE_RATE, on_error: str = "silence"):
