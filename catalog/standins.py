@@ -15,7 +15,7 @@ from speechprep.constants import START_OF_SPEECH
 from speechprep.functions.text import words
 from speechprep.operators.frames import interleave
 from speechprep.operators.once import once
-from speechprep.sources.tables import load_table, spread
+from speechprep.sources.tables import load_table
 
 HEADER = "uuid,sentence"
 AUDIO_DIR = "/audio"
@@ -24,7 +24,10 @@ DOCUMENT = 2**31
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(load_table(spark, f"{sf}/{name}.parquet"))
+    """A test table as it lies, or dealt to ``catalog.partitions`` where that is set, as the bench does."""
+    df = load_table(spark, f"{sf}/{name}.parquet")
+    parts = spark.conf.get("catalog.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def ints(values: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TRAINING_COLUMNS
-from ..session import new_table_path
+from ..session import settled
 
 # Up to this cap each task keeps its own first rows and one task merges them, which
 # is cap x tasks rows at most; above it the rows are numbered over all tasks.
@@ -26,32 +26,28 @@ def keep_columns(df: DataFrame, keep: list[str] = TRAINING_COLUMNS) -> DataFrame
 def row_index(df: DataFrame, *order: str | Column, name: str = "idx") -> DataFrame:
     """Add a dense 0-based position in the given total order.
 
-    The rows are sorted over all tasks into a table in the shared folder. A row's
-    position is then its place in its file plus the rows of the files before, so
-    no task ever sees more than its own range, and a lost executor changes nothing.
+    The rows are sorted over all tasks into a table in the shared folder, each with the
+    task that wrote it and its place there. A row's position is that place plus the rows
+    of the tasks before, so no task ever sees more than its own range, and a lost
+    executor changes nothing.
     """
-    spark = df.sparkSession
-    path = new_table_path(spark, "ordered")
-    df.orderBy(*order).write.parquet(path)
-    return _numbered(spark.read.schema(df.schema).parquet(path), name)
-
-
-def _numbered(table: DataFrame, name: str) -> DataFrame:
-    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*-c(\d+)", 1)
-    piece = F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*-c(\d+)", 2)
-    key = F.struct(file.cast("int").alias("part"), piece.cast("int").alias("piece"))
-    # One row per written file: the counts come from the parquet footers.
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = settled(
+        df.orderBy(*order).withColumns(
+            {"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
+        ),
+        "ordered",
+    )
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        table.select(key.alias("_file"))
-        .groupBy("_file")
+        placed.groupBy("_task")
         .count()
-        .select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_at"))
+        .select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_at"))
     )
-    return (
-        table.select("*", key.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        .join(F.broadcast(offsets), "_file")
-        .select(*table.columns, (F.col("_at") + F.col("_row")).alias(name))
+    # The lower 33 bits of the generated id count inside the task.
+    place = F.col("_place").bitwiseAND(F.lit(2**33 - 1))
+    # One row per task that wrote.
+    return placed.join(F.broadcast(offsets), "_task").select(
+        *df.columns, (F.col("_at") + place).alias(name)
     )
 
 

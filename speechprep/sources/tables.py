@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_BYTES_PER_CORE = 32 << 20
-
 
 def load_table(
     spark: SparkSession,
@@ -20,30 +18,6 @@ def load_table(
     return df if split is None else df.filter(F.col(split_column) == split)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small, few-file table over all cores.
-
-    A file of one row group is read by one task whatever its size. Only tables
-    below a fixed number of bytes per core are moved, so the shuffle is bounded
-    and a large table is left as it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    from pyarrow import fs
-
-    def size(file: str) -> int:
-        store, path = fs.FileSystem.from_uri(file)
-        return store.get_file_info(path).size
-
-    try:
-        total = sum(map(size, files))
-    except Exception:  # a store this driver cannot ask: leave the rows alone
-        return df
-    return df.repartition(cores) if total < SMALL_BYTES_PER_CORE * cores else df
-
-
 def sample_rate(df: DataFrame, audio: str = "audio", default: int = 24000) -> Column:
     """Each row's own rate, or the default when the table has none."""
     fields = df.schema[audio].dataType.fieldNames() if audio in df.columns else []

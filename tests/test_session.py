@@ -1,11 +1,11 @@
-"""The shared folder, settled tables and spreading."""
+"""The shared folder, settled tables and prepared ones."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from speechprep import session
 from speechprep.operators.once import once
-from speechprep.sources.tables import load_table, sample_rate, spread
+from speechprep.sources.tables import load_table, sample_rate
 
 
 class Stub:
@@ -59,13 +59,6 @@ def test_once_keeps_an_expression_in_one_place(spark):
     assert df.filter(F.size("c") > 2).count() == 3
 
 
-def test_small_tables_are_spread_and_their_rows_kept(spark, tmp_path):
-    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
-    table = load_table(spark, str(tmp_path / "t"))
-    assert spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(table).distinct().count() == 1000
-
-
 def test_split_and_own_sample_rate(spark, tmp_path):
     rows = [("train", ([0.5], 8000)), ("test", ([0.1], None))]
     schema = "split string, audio struct<array: array<float>, sampling_rate: int>"
