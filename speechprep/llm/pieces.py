@@ -34,7 +34,7 @@ MARK = "▁"
 #: Words: a run of spaces with what follows it, or what follows no space; line breaks stand alone.
 WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: How many words are sent to the tasks, and how long they may be; a task remembers so many more.
-SENT, SENT_CHARS, REMEMBERED = 200_000, 48, 900_000
+SENT, SENT_CHARS, REMEMBERED = 200_000, 48, 750_000
 #: Words that a task counts before it hands its counts on.
 COUNTED = 400_000
 MOST_PIECES = 1_000_000
