@@ -30,6 +30,7 @@ from speechprep.sources import prompts as prompt_source
 from speechprep.streaming.ingest import incremental_ingest
 
 from .standins import (
+    HEADER,
     AUDIO_DIR,
     DOCUMENT,
     document_codes,
@@ -88,6 +89,40 @@ def manifest_strict(spark, sf):
     return read.filter(F.col("_bad").isNull()).select("uuid", "sentence")
 
 
+def write_manifests(spark: SparkSession, sf: str) -> str:
+    """Four folders of manifest files: all fields quoted; other columns in another order; whole texts with
+    their line breaks; and lines without quotes, where a comma in a sentence makes a row over-long."""
+    folder = new_table_path(spark, "manifests")
+    lines = named_lines(spark, sf).withColumnsRenamed({"name": "uuid"})
+
+    def put(df: DataFrame, kind: str, **options) -> None:
+        df.write.options(header=True, escape='"', **options).csv(f"{folder}/{kind}")
+
+    put(lines.select("uuid", "sentence"), "quoted", quoteAll=True)
+    put(lines.select("sentence", "lang", "uuid"), "wide")
+    whole = table(spark, sf, "documents").filter("text is not null")
+    name = F.format_string("whole_%d.wav", "doc_id")
+    put(whole.select("lang", name.alias("uuid"), F.col("text").alias("sentence")), "whole", quoteAll=True)
+    plain = lines.filter(F.col("uuid").endswith("wav") & ~F.col("sentence").contains('"'))
+    plain = plain.filter((F.col("sentence") != "") & (text_fn.strip(F.col("sentence")) == F.col("sentence")))
+    line = F.concat_ws(",", "uuid", "sentence").alias(HEADER)
+    put(plain.select(line), "plain", sep="\x01", quote="\x00")
+    return folder
+
+
+def shown_manifest(rows: DataFrame) -> DataFrame:
+    kind = F.regexp_extract("file", "/([a-z]+)/[^/]*$", 1)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(kind.alias("kind"), "audio", text.alias("text"), "reason")
+
+
+@query
+def manifest_files(spark, sf):
+    """Manifest files with headers of several kinds, read by their own headers."""
+    rows = manifest.parse_manifest(spark, f"{write_manifests(spark, sf)}/*")
+    return shown_manifest(rows.filter(F.coalesce(F.col("reason") != "skip", F.lit(True))))
+
+
 @query
 def manifest_first_comma(spark, sf):
     return manifest.kept(parsed(spark, sf, "first_comma")).select(*position("audio", "text"))
@@ -112,7 +147,7 @@ def prompt_lines(spark, sf):
     """Prompt files written from the conversations, read back without blank lines."""
     path = new_table_path(spark, "prompts")
     prompts(spark, sf).select("text").write.text(path)
-    return prompt_source.prompt_lines(spark, path=path)
+    return prompt_source.prompt_lines(spark, path=path).select("text")
 
 
 @query
@@ -203,7 +238,7 @@ def write_batches(spark, sf):
     path = new_table_path(spark, "slices")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     table_sink.write_batches(orders, path, 2000, "o_orderkey")
-    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, batch_id bigint"
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, idx bigint, batch_id bigint"
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
@@ -526,6 +561,14 @@ def tokenise(spark, sf):
     return coded.select("doc_id", ints(F.col("text_ids")).alias("text_ids"))
 
 
+@query
+def tokenise_large_vocab(spark, sf):
+    """As for a vocabulary beyond the bound, which is joined."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = vocab.tokenise(docs, vocabulary(spark, sf), max_broadcast=0)
+    return coded.select("doc_id", ints(F.col("text_ids")).alias("text_ids"))
+
+
 @query
 def interleave(spark, sf):
     return document_codes(spark, sf).select("doc_id", ints(F.col("codes")).alias("codes"))
@@ -781,10 +824,10 @@ def apply_generator(spark, sf):
 @query
 def ingest_files(spark, sf):
     """Manifest files landed in a folder, taken in by a stream, read back."""
-    landed, target, marks = (new_table_path(spark, n) for n in ("landed", "taken", "marks"))
-    manifest_lines(spark, sf).select("line").write.text(landed)
-    incremental_ingest(spark, landed, target, marks, files_per_trigger=4).awaitTermination()
-    return spark.read.parquet(target).select("audio", "text", "reason", "line")
+    target, marks = (new_table_path(spark, n) for n in ("taken", "marks"))
+    landed = write_manifests(spark, sf)
+    incremental_ingest(spark, f"{landed}/*", target, marks).awaitTermination()
+    return shown_manifest(spark.read.parquet(target))
 
 
 # --- flows ---------------------------------------------------------------------

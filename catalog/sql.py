@@ -389,7 +389,18 @@ def coverage(source: str) -> str:
         from {source} left join vocab v using (token)"""
 
 
+# Rows of files with headers of several kinds; an empty sentence is a fault.
+MANIFEST_FILES = f"""
+    select kind, audio, text, case when text = '' then 'empty_field' end as reason from (
+        select unnest(['quoted', 'wide']) as kind, name as audio, sentence as text from named
+        union all select 'whole', 'whole_' || doc_id || '.wav', text from documents where text is not null
+        union all select 'plain', name, sentence from named
+        where lower(name) like '%.wav' and name not like '%.WAV' and not contains(sentence, '"')
+            and sentence <> '' and {strip("sentence")} = sentence
+    )"""
+
 SQL = {
+    "manifest_files": MANIFEST_FILES,
     "manifest_strict": "select name as uuid, sentence from named",
     "manifest_first_comma": "select file, doc_id, n, audio, text from loose where reason is null",
     "manifest_header": "select file, line, coalesce(reason, 'data') as first_line_is"
@@ -413,8 +424,8 @@ SQL = {
     )
     + " as samples from waves",
     "resample": RESAMPLED,
-    "write_batches": "select o_orderkey, o_custkey, o_orderstatus, (row_number() over"
-    " (order by o_orderkey) - 1) // 2000 as batch_id from orders",
+    "write_batches": "select *, idx // 2000 as batch_id from (select o_orderkey, o_custkey, o_orderstatus,"
+    " row_number() over (order by o_orderkey) - 1 as idx from orders)",
     "write_training_table": training("doc_train"),
     "write_wavs_report": "select vec_id, 'vec_' || vec_id || '.wav' as file_name, true as ok,"
     " cast(null as varchar) as error from waves",
@@ -515,6 +526,7 @@ SQL = {
     "reference_prefix": "select conv_id, turn, '[Voice Reference] ' || text as prompt"
     " from conversations",
     "tokenise": "select doc_id, text_ids from doc_text_ids",
+    "tokenise_large_vocab": "select doc_id, text_ids from doc_text_ids",
     "interleave": f"select doc_id, {ints('codes')} as codes from doc_codes",
     "deinterleave": "select doc_id, "
     + ", ".join(f"{ints(c)} as {c}" for c in ("l1", "l2", "l3"))
@@ -588,13 +600,7 @@ SQL = {
             lambda x, i: {OFFSET} + ((i - 1) % 7) * {CODEBOOK} + cast(x as integer) % {CODEBOOK}), ',')
             || ',128258' as ids, cast(null as varchar) as error
         from prompt_ids""",
-    "ingest_files": """
-        select case when contains(line, ',') then string_split(line, ',')[1] else line end as audio,
-            text, reason, line
-        from (select *, case when text is null then 'no_comma'
-                when audio = '' or text = '' then 'empty_field'
-                when not lower(audio) like '%.wav' then 'bad_extension' end as reason
-            from (select audio, text, line from loose where line <> 'uuid,sentence'))""",
+    "ingest_files": MANIFEST_FILES,
     "prepare_manifest": training("found_train"),
     "prepare_table": training("doc_train"),
     "prompt_batches": f"select conv_id, turn, repeat('128263,', m - n) || input_ids as input_ids,"

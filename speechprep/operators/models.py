@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 # Array elements that one Arrow batch of model output may hold: a few codes of
@@ -20,14 +21,29 @@ from pyspark.sql import types as T
 CHUNK_VALUES = 8_000_000
 
 
+def _values(array: pa.Array) -> list:
+    """Python values of an Arrow array: nulls are None, integers stay integers, number lists are numpy arrays."""
+    if isinstance(array, pa.ChunkedArray):
+        array = array.combine_chunks()
+    of = array.type.value_type if pa.types.is_list(array.type) else None
+    if of is None or not (pa.types.is_integer(of) or pa.types.is_floating(of)):
+        return array.to_pylist()
+    return [
+        None if not x.is_valid
+        else x.as_py() if x.values.null_count
+        else x.values.to_numpy(zero_copy_only=False)
+        for x in array
+    ]
+
+
 def filter_rows(df: DataFrame, keep: Column | Callable[..., bool], *inputs: str) -> DataFrame:
     """Keep rows by a Column, or by a Python test of the named columns."""
     if isinstance(keep, Column):
         return df.filter(keep)
 
-    @F.pandas_udf("boolean")
-    def test(*columns: pd.Series) -> pd.Series:
-        return pd.Series([bool(keep(*row)) for row in zip(*columns)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def test(*columns: pa.Array) -> pa.Array:
+        return pa.array([bool(keep(*row)) for row in zip(*map(_values, columns))], pa.bool_())
 
     return df.filter(test(*[F.col(c) for c in inputs]))
 
@@ -38,25 +54,30 @@ def map_rows(
     """Apply a row function; columns of ``schema`` are added or replaced.
 
     A row on which ``fn`` raises keeps its other columns, gets nulls in those of
-    ``schema`` and says why in ``error``.
+    ``schema`` and says why in ``error``. Columns that are kept pass as they are.
     """
     added = T.StructType.fromDDL(schema)
     names = [f.name for f in added]
     keep = [f for f in df.schema if f.name not in {*names, *remove, "error"}]
+    kept = [f.name for f in keep]
     shape = T.StructType([*keep, *added, T.StructField("error", T.StringType())])
+    types = {f.name: to_arrow_type(f.dataType) for f in added}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
+            made, errors = [], []
+            for row in batch.to_pylist():
                 try:
-                    rows.append({**row, **fn(dict(row)), "error": None})
+                    made.append(fn(row))
+                    errors.append(None)
                 except Exception as fault:
-                    nulls = dict.fromkeys(names)
-                    rows.append({**row, **nulls, "error": str(fault)})
-            yield pd.DataFrame(rows, columns=shape.names, dtype=object)
+                    made.append({})
+                    errors.append(str(fault) or type(fault).__name__)
+            new = [pa.array([m.get(n) for m in made], types[n]) for n in names]
+            columns = [*[batch.column(n) for n in kept], *new, pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *names, "error"])
 
-    return df.mapInPandas(run, shape)
+    return df.mapInArrow(run, shape)
 
 
 def apply_model(
@@ -69,19 +90,25 @@ def apply_model(
 ) -> DataFrame:
     """Add ``out`` and ``error``: what the model gives for each row's inputs.
 
-    With ``simpler``, a failed call is tried once more on ``simpler(*inputs)``.
+    With ``simpler``, a failed call is tried once more on ``simpler(*inputs)``. Inputs are Python values or,
+    for lists of numbers, numpy arrays; what a row gets does not depend on its neighbours. Of several
+    steps ``error`` keeps the first fault of a row.
     """
     shape = f"value {schema}, error string"
+    kind = to_arrow_type(T.StructType.fromDDL(f"value {schema}")[0].dataType)
 
     def size(value) -> int:
         parts = value.values() if isinstance(value, dict) else [value]
         return sum(len(part) for part in parts if hasattr(part, "__len__"))
 
-    def frame(done: list) -> pd.DataFrame:
-        return pd.DataFrame(done, columns=["value", "error"], dtype=object)
+    def frame(done: list) -> pa.Array:
+        values = pa.array([value for value, _ in done], kind)
+        return pa.StructArray.from_arrays(
+            [values, pa.array([error for _, error in done], pa.string())], ["value", "error"]
+        )
 
-    @F.pandas_udf(shape)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(shape)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         model = factory()
 
         def call(row: tuple):
@@ -96,10 +123,10 @@ def apply_model(
                 return None, str(fault) or type(fault).__name__
 
         for batch in batches:
-            # One input comes as a bare series, several as a tuple of them.
+            # One input comes as a bare array, several as a tuple of them.
             columns = batch if isinstance(batch, tuple) else (batch,)
             done, held = [], 0
-            for row in zip(*columns):
+            for row in zip(*map(_values, columns)):
                 done.append(call(row))
                 held += size(done[-1][0])
                 if held >= CHUNK_VALUES:
@@ -110,9 +137,10 @@ def apply_model(
     # Not deterministic: a later filter on the result must not run the model once more.
     run = run.asNondeterministic()
     called = df.withColumn("_called", run(*[F.col(c) for c in inputs]))
-    return called.withColumns(
-        {out: F.col("_called.value"), "error": F.col("_called.error")}
-    ).drop("_called")
+    error = F.col("_called.error")
+    if "error" in df.columns:
+        error = F.coalesce("error", error)
+    return called.withColumns({out: F.col("_called.value"), "error": error}).drop("_called")
 
 
 def apply_tokenizer(

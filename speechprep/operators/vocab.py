@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AUDIT_TEXTS, COMMON_TOKENS, START_OF_TEXT
 from ..functions.text import coverage_flag, words
+from ..session import settled
 from .once import once
 from .rows import cap_rows
 
@@ -36,24 +37,22 @@ def tokenise(
     out: str = "text_ids",
     unk: int = 0,
     special: bool = True,
-    row: str | None = None,
     max_broadcast: int = MAX_BROADCAST_TOKENS,
 ) -> DataFrame:
     """Add word ids of each text, led by start-of-text when ``special``.
 
-    A vocabulary within the bound goes to every executor and rows stay where they
-    are. A larger one is joined, which needs a unique ``row`` column.
+    A token listed more than once has its smallest id. A vocabulary within the bound goes to every executor
+    and rows stay where they are; a larger one is joined. Both give the same.
     """
-    entries = vocab.select("token", "id").limit(max_broadcast + 1).collect()
+    vocab = vocab.groupBy("token").agg(F.min("id").alias("id"))
+    entries = vocab.limit(max_broadcast + 1).collect()
     lead = F.array(*([F.lit(START_OF_TEXT)] if special else [])).cast("array<int>")
     if len(entries) <= max_broadcast:
         encode = _word_encoder(df, {e["token"]: e["id"] for e in entries}, unk)
-        return once(df.withColumn("_ids", encode(text)), **{out: F.concat(lead, "_ids")}).drop(
-            "_ids"
-        )
-    if row is None:
-        raise ValueError("a vocabulary above the bound needs a unique row column")
-    return _tokenise_by_join(df, vocab, text, out, unk, lead, row)
+        coded = df.withColumn("_ids", encode(text))
+    else:
+        coded = _ids_by_join(df, vocab, text, unk)
+    return once(coded, **{out: F.concat(lead, "_ids")}).drop("_ids")
 
 
 def _word_encoder(df: DataFrame, ids: dict[str, int], unk: int):
@@ -72,22 +71,24 @@ def _word_encoder(df: DataFrame, ids: dict[str, int], unk: int):
     return encode
 
 
-def _tokenise_by_join(
-    df: DataFrame, vocab: DataFrame, text: str, out: str, unk: int, lead: Column, row: str
-) -> DataFrame:
-    """Join on distinct tokens, so that a frequent token is one row of the join."""
-    tokens = tokens_of(df, text, row)
-    known = vocab_lookup(tokens.select("token").distinct(), vocab, unk)
+def _ids_by_join(df: DataFrame, vocab: DataFrame, text: str, unk: int) -> DataFrame:
+    """Add ``_ids`` by a join on tokens; rows are written once with a number of their own.
+
+    Distinct tokens are looked up and written. The join that hands ids back moves every occurrence, and
+    has a plain scan on both sides, so the adaptive skew join can split a frequent token.
+    """
+    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    tokens = tokens_of(rows, text, "_row")
+    known = settled(vocab_lookup(tokens.select("token").distinct(), vocab, unk), "known-tokens")
     ids = (
         tokens.join(known, "token")
-        .groupBy(row)
+        .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
-        .select(row, F.col("_ids.id").alias("_ids"))
+        .select("_row", F.col("_ids.id").alias("_ids"))
     )
     empty = F.array().cast("array<int>")
-    return df.join(ids, row, "left").withColumn(
-        out, F.when(F.col(text).isNotNull(), F.concat(lead, F.coalesce("_ids", empty)))
-    ).drop("_ids")
+    found = F.when(F.col(text).isNotNull(), F.coalesce("_ids", empty))
+    return rows.join(ids, "_row", "left").withColumn("_ids", found).drop("_row")
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -109,8 +110,8 @@ def top_tokens(
     return counted.orderBy(F.desc("n"), "_met").limit(k).select("token", "n")
 
 
-def audit_sample(df: DataFrame, *order: str, n: int = AUDIT_TEXTS) -> DataFrame:
-    """The first texts, which the vocabulary audit looks at."""
+def audit_sample(df: DataFrame, *order: str, n: int | None = AUDIT_TEXTS) -> DataFrame:
+    """The first texts, which the vocabulary audit looks at; ``None`` for all."""
     return cap_rows(df, n, *order)
 
 
@@ -120,16 +121,14 @@ def vocab_coverage(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataF
     Tokens are counted before the join, so the join sees each distinct token once
     and a token that fills a third of the corpus is one row.
     """
-    counts = token_counts(df.select(F.explode(words(F.col(text))).alias("token")))
-    known = vocab.select("token", F.lit(True).alias("_known")).distinct()
-    token_part = counts.join(known, "token", "left").select(
-        F.lit(0).cast("long").alias("texts"),
-        F.col("n").alias("tokens"),
-        F.when(F.col("_known").isNull(), F.col("n")).otherwise(0).alias("unk"),
-    )
-    text_part = df.agg(F.count("*").alias("texts")).select(
-        "texts", F.lit(0).alias("tokens"), F.lit(0).alias("unk")
+    placed = df.select(F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    counts = placed.groupBy("token").agg(
+        F.count("token").alias("tokens"), F.count_if(first).alias("texts")
     )
+    known = vocab.select("token", F.lit(True).alias("_known")).distinct()
+    unknown = F.when(F.col("_known").isNull(), F.col("tokens")).otherwise(0)
+    counted = counts.join(known, "token", "left").withColumn("unk", unknown)
     zero = F.lit(0)
     rate = F.when(
         F.col("total_tokens") > 0,
@@ -140,8 +139,7 @@ def vocab_coverage(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataF
         F.col("total_tokens") / F.col("total_texts_analyzed"),
     ).otherwise(F.lit(0.0))
     return (
-        token_part.union(text_part)
-        .agg(
+        counted.agg(
             F.coalesce(F.sum("texts"), zero).alias("total_texts_analyzed"),
             F.coalesce(F.sum("tokens"), zero).alias("total_tokens"),
             F.coalesce(F.sum("unk"), zero).alias("unk_tokens"),

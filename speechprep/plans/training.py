@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SAMPLE_RATE
+from ..constants import AUDIT_TEXTS, SAMPLE_RATE
 from ..functions.text import join_path, plain_path
 from ..operators.frames import collapse_frames, interleave
 from ..operators.models import apply_encoder
@@ -96,10 +96,12 @@ def prepare_manifest(
     return prepare_table(found, encode, tokenise)
 
 
-def audit(rows: DataFrame, vocab: DataFrame, max_samples: int | None = None) -> DataFrame:
-    """Vocabulary coverage of the first texts under the cap."""
+def audit(
+    rows: DataFrame, vocab: DataFrame, max_samples: int | None = None, n: int | None = AUDIT_TEXTS
+) -> DataFrame:
+    """Vocabulary coverage of the first ``n`` texts under the cap, or of all with ``None``."""
     capped = cap_rows(rows, max_samples, "file", "pos")
-    return vocab_coverage(audit_sample(capped, "file", "pos"), vocab)
+    return vocab_coverage(audit_sample(capped, "file", "pos", n=n), vocab)
 
 
 def stage_funnel(

@@ -14,10 +14,11 @@ def write_batches(
 ) -> None:
     """Consecutive slices of the table, a folder ``batch_id=k`` for each.
 
-    The numbered rows already lie in order, so each task writes only the few
-    slices it holds and nothing is shuffled again.
+    The numbered rows already lie in order, so each task writes only the few slices it holds and nothing is
+    shuffled again. Rows are in order within a file; a slice that several tasks hold has several files, and
+    ``idx``, each row's place in the whole table, tells their order.
     """
-    sliced = assign_batches(df, size, *order).drop("idx")
+    sliced = assign_batches(df, size, *order).sortWithinPartitions("batch_id", "idx")
     writer = sliced.write.partitionBy("batch_id")
     if format == "csv":
         writer = writer.option("header", True).option("escape", '"')

@@ -24,6 +24,7 @@ ROW_ERROR = "row_error"
 # More than any row number, so that block and row number share one decimal.
 ROW_NUMBERS = Decimal(10**19)
 RESULTS = ["audio", "text", "reason"]
+STRICT, FIRST_COMMA = "strict", "first_comma"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -62,24 +63,22 @@ def classify_first_comma(lines: DataFrame, is_first: Column, header: str) -> Dat
     return once(fields, reason=reason).drop("_whole", "_cut", "_first")
 
 
-def classify_strict(lines: DataFrame, columns: list[str], is_first: Column) -> DataFrame:
+def classify_strict(lines: DataFrame, width: int) -> DataFrame:
     """Add ``audio``, ``text`` and ``reason`` by CSV rules, quoted commas included.
 
-    ``columns`` are the header's names in file order with ``audio`` and ``text``
-    among them. Only an empty field is null.
+    Lines carry what their file's header says: ``fields`` (how many there are), ``audio_at`` and
+    ``text_at`` (places from 1). No file has more than ``width`` fields. Only an empty field is null.
     """
+    count = F.col("_count")
+    at = lambda place: F.when(F.col(place) <= count, F.get("_parts", F.col(place) - 1))
+    split = once(_split(lines, F.col("line"), width), _count=_field_count())
+    fields = once(split, audio=at("audio_at"), text=at("text_at"))
     reason = (
-        F.when(is_first | (strip(F.col("line")) == ""), "skip")
-        .when(F.col("_record._over"), ROW_ERROR)
-        .when(_empty("_record.audio") | _empty("_record.text"), EMPTY_FIELD)
-    )
-    fields = once(lines, _fields=_fields(F.col("line"), columns))
-    records = once(fields, _record=_record(columns))
-    return (
-        once(records, reason=reason)
-        .withColumns({"audio": F.col("_record.audio"), "text": F.col("_record.text")})
-        .drop("_record", "_fields")
+        F.when(F.col("is_first") | (strip(F.col("line")) == ""), "skip")
+        .when((count < 0) | (count > F.col("fields")), ROW_ERROR)
+        .when(_empty("audio") | _empty("text"), EMPTY_FIELD)
     )
+    return once(fields, reason=reason).drop("_parts", "_count")
 
 
 def _empty(name: str) -> Column:
@@ -88,55 +87,98 @@ def _empty(name: str) -> Column:
 
 # Put behind each line before it is split, it shows where the line's fields end.
 _END = "\x01end"
+# A first line with more fields than this is no header.
+MAX_COLUMNS = 1_000
 
 
-def _fields(line: Column, columns: list[str]) -> Column:
-    schema = ", ".join(f"`{c}` string" for c in [*columns, "_end"])
-    closed = F.concat(line, F.lit("," + _END))
-    return F.from_csv(closed, schema, {"mode": "PERMISSIVE", "escape": '"'})
+def _columns(width: int) -> str:
+    return ", ".join(f"c{n} string" for n in range(width + 1))
 
 
-def _record(columns: list[str]) -> Column:
-    """``_fields`` without the end mark, and ``_over`` for too many fields.
+def _array(width: int, prefix: str = "") -> Column:
+    return F.array(*[F.col(f"{prefix}c{n}") for n in range(width + 1)])
 
-    Fields that the line lacks are null. A quote left open counts as too many.
-    """
-    fields = F.col("_fields")
-    exact = F.coalesce(fields["_end"] == _END, F.lit(False))
-    short = F.lit(False)
-    for c in columns:
-        short = short | F.coalesce(fields[c] == _END, F.lit(False))
-    return F.struct(
-        *[F.when(fields[c] != _END, fields[c]).alias(c) for c in columns],
-        (~exact & ~short).alias("_over"),
-    )
+
+def _split(df: DataFrame, line: Column, width: int) -> DataFrame:
+    """Add ``_parts``: the fields of a line by CSV rules, up to ``width``, and the end mark."""
+    closed = F.concat(line, F.lit("," + _END))
+    fields = F.from_csv(closed, _columns(width), {"mode": "PERMISSIVE", "escape": '"'})
+    return once(once(df, _fields=fields), _parts=_array(width, "_fields.")).drop("_fields")
+
+
+def _field_count() -> Column:
+    """Fields of ``_parts``; -1 when the end mark is lost behind too many fields or inside an open quote."""
+    return F.array_position("_parts", F.lit(_END)).cast("int") - 1
 
 
 def file_verdicts(
-    lines: DataFrame, fields: list[str], header: str, mode: str = "auto"
+    lines: DataFrame,
+    text: str,
+    audio: str,
+    mode: str = "auto",
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """``(file, first_pos, strict)``: may this file be read by strict CSV rules?
+    """How to read each file: ``(file, first_pos, strict, spans, fields, audio_at, text_at)``.
+
+    The first line, split by CSV rules, is the header when it names both columns, in any order and
+    among others. In ``auto`` mode such a file is ``strict`` when no row has more fields than its header and
+    no line leaves a quote open. One over-long row sends the whole file to the first-comma rule. With open
+    quotes that the file closes again it ``spans``: its fields may hold line breaks. ``columns`` stand in
+    for a header without the names in ``strict`` mode.
 
-    In ``auto`` mode it may when it starts with the header and no row has more
-    fields than that. One over-long row sends the whole file to the first-comma
-    rule.
+    Runs jobs when called; only the width of the widest header comes to the driver.
     """
-    header_pos = F.min(F.when(strip(F.col("line")) == header, F.col("pos")))
-    first = F.min("pos").alias("first_pos")
-    if mode != "auto":
-        found = lines.groupBy("file").agg(first)
-        return found.withColumn("strict", F.lit(mode == "strict"))
-    return (
-        once(lines, _fields=_fields(F.col("line"), fields))
-        .withColumn("_over", _record(fields)["_over"])
-        .groupBy("file")
-        .agg(first, header_pos.alias("_header"), F.max("_over").alias("_over"))
-        .select(
-            "file",
-            "first_pos",
-            F.coalesce(~F.col("_over") & (F.col("_header") == F.col("first_pos")), F.lit(False))
-            .alias("strict"),
+    firsts = settled(lines.groupBy("file").agg(F.min("pos").alias("first_pos")), "first-places")
+    none = {n: F.lit(0) for n in ("fields", "audio_at", "text_at")}
+    if mode == FIRST_COMMA:
+        return firsts.withColumns({"strict": F.lit(False), "spans": F.lit(False), **none})
+    heads = settled(
+        lines.join(firsts, "file")
+        .filter(F.col("pos") == F.col("first_pos"))
+        .select("file", "first_pos", strip(F.col("line")).alias("header")),
+        "headers",
+    )
+    width = F.size(F.split("header", ","))
+    may_name = F.col("header").contains(audio) & F.col("header").contains(text)
+    most = heads.filter(may_name & (width <= MAX_COLUMNS)).agg(F.max(width)).first()[0] or 1
+    most = max(most, len(columns or []))
+    named = once(_split(heads, F.col("header"), most), _count=_field_count())
+    names = F.slice("_parts", 1, F.greatest("_count", F.lit(0)))
+    named = once(named, _names=names)
+    place = lambda name: F.array_position("_names", F.lit(name)).cast("int")
+    found = (place(audio) > 0) & (place(text) > 0)
+    if mode == STRICT and columns:
+        given = F.array(*[F.lit(c) for c in columns])
+        named = once(named, _names=F.when(found, F.col("_names")).otherwise(given))
+    headed = settled(
+        named.select(
+            "file", "first_pos", F.size("_names").alias("fields"),
+            place(audio).alias("audio_at"), place(text).alias("text_at"), found.alias("_found"),
+        ),
+        "headed",
+    )
+    if mode == STRICT:
+        strict, spans = F.lit(True), F.lit(False)
+        return headed.select(
+            "file", "first_pos", strict.alias("strict"), spans.alias("spans"), "fields", "audio_at", "text_at"
         )
+    open_quote = F.exists("_parts", lambda x: x.endswith(_END) & (x != _END))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    rows = lines.join(headed.filter("_found").select("file", "fields"), "file")
+    rows = once(_split(rows, F.col("line"), most), _count=_field_count())
+    seen = rows.groupBy("file").agg(
+        F.max((F.col("_count") < 0) | (F.col("_count") > F.col("fields"))).alias("_over"),
+        F.max(F.coalesce(open_quote, F.lit(False))).alias("_open"),
+        F.sum(quotes).alias("_quotes"),
+    )
+    return headed.join(seen, "file", "left").select(
+        "file",
+        "first_pos",
+        F.coalesce(~F.col("_over"), F.lit(False)).alias("strict"),
+        F.coalesce(F.col("_open") & (F.col("_quotes") % 2 == 0), F.lit(False)).alias("spans"),
+        "fields",
+        "audio_at",
+        "text_at",
     )
 
 
@@ -146,40 +188,32 @@ def parse_lines(
     audio: str = "uuid",
     mode: str = "auto",
     columns: list[str] | None = None,
+    verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """Every line with ``audio``, ``text``, ``reason``, ``is_first`` and ``strict``.
 
-    ``mode`` is ``auto`` (each file by its own verdict), ``strict`` or
-    ``first_comma``. ``columns`` are the header's names in file order.
+    ``mode`` is ``auto`` (each file by its own verdict), ``strict`` or ``first_comma``. A table of lines
+    cannot be read again with line breaks in its fields; ``read_manifest`` does that.
     """
-    names = columns or [audio, text]
-    roles = {audio: "audio", text: "text"}
-    fields = [roles.get(n, n) for n in names]
-    verdicts = settled(file_verdicts(lines, fields, ",".join(names), mode), "verdicts")
+    if verdicts is None:
+        verdicts = settled(file_verdicts(lines, text, audio, mode, columns), "verdicts")
     known = lines.join(verdicts, "file").withColumn(
         "is_first", F.col("pos") == F.col("first_pos")
     )
     # The fallback knows only the plain two-column header, audio name first.
     plain = f"{audio},{text}"
-    if mode == "first_comma":
+    if mode == FIRST_COMMA:
         parsed = classify_first_comma(known, F.col("is_first"), plain)
-    elif mode == "strict":
-        parsed = classify_strict(known, fields, F.col("is_first"))
     else:
-        loose = classify_first_comma(known, F.col("is_first"), plain)
-        kept_loose = loose.withColumnsRenamed({n: f"_{n}" for n in RESULTS})
-        both = classify_strict(kept_loose, fields, F.col("is_first"))
-        parsed = both.select(
-            "file",
-            "pos",
-            "line",
-            "is_first",
-            "strict",
-            *[
-                F.when(F.col("strict"), F.col(n)).otherwise(F.col(f"_{n}")).alias(n)
-                for n in RESULTS
-            ],
-        )
+        width = verdicts.filter("strict").agg(F.max("fields")).first()[0] or 1
+        if mode == STRICT:
+            parsed = classify_strict(known, width)
+        else:
+            loose = classify_first_comma(known, F.col("is_first"), plain)
+            both = classify_strict(loose.withColumnsRenamed({n: f"_{n}" for n in RESULTS}), width)
+            parsed = both.withColumns(
+                {n: F.when(F.col("strict"), F.col(n)).otherwise(F.col(f"_{n}")) for n in RESULTS}
+            )
     return parsed.select("file", "pos", "line", *RESULTS, "is_first", "strict")
 
 
@@ -193,22 +227,95 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(faults).select("file", "pos", "line", "reason")
 
 
-def read_manifest(
+def parse_manifest(
     spark: SparkSession,
     path: str | list[str],
     text: str = "sentence",
     audio: str = "uuid",
     mode: str = "auto",
     columns: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)`` of manifest files, each file parsed by its own rule.
+) -> DataFrame:
+    """Every row of manifest files as ``parse_lines`` gives them, each file parsed by its own rule.
 
     Row numbers depend on how files are cut into blocks, which may differ between
     jobs when executors come and go. So the lines are written once with their
     positions, and verdicts, caps and order all refer to that table.
+
+    Files with line breaks in quoted fields are read once more, each in one task, since such a file
+    cannot be split; only the paths of those files come to the driver.
     """
     lines = settled(read_lines(spark, path), "lines")
-    parsed = parse_lines(lines, text, audio, mode, columns)
+    verdicts = settled(file_verdicts(lines, text, audio, mode, columns), "verdicts")
+    parsed = parse_lines(lines, text, audio, mode, columns, verdicts)
+    spanning = verdicts.filter("spans")
+    paths = [r.path for r in spanning.select(_readable(F.col("file")).alias("path")).collect()]
+    if not paths:
+        return parsed
+    records = _spanning_records(spark, paths, spanning)
+    whole = settled(
+        records.groupBy("file").agg(F.max("_over").alias("_over"), F.min("pos").alias("_head"))
+        .filter(~F.col("_over")).select("file", "_head"),
+        "spanning",
+    )
+    again = (
+        records.join(whole, "file")
+        .withColumn("is_first", F.col("pos") == F.col("_head"))
+        .withColumn("strict", F.lit(True))
+        .withColumn(
+            "reason",
+            F.when(F.col("is_first") | (strip(F.col("line")) == ""), "skip")
+            .when(_empty("audio") | _empty("text"), EMPTY_FIELD),
+        )
+    )
+    return parsed.join(whole, "file", "left_anti").unionByName(again.select(*parsed.columns))
+
+
+def _readable(file: Column) -> Column:
+    """The path behind a file's URI."""
+    return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+
+
+def _spanning_records(spark: SparkSession, paths: list[str], verdicts: DataFrame) -> DataFrame:
+    """``(file, pos, line, audio, text, _over)`` of files whose quoted fields hold line breaks.
+
+    ``line`` is put together from the fields. Extra fields that are empty do not make a row over-long here.
+    """
+    width = verdicts.agg(F.max("fields")).first()[0]
+    read = (
+        spark.read.schema(_columns(width))
+        .option("escape", '"')
+        .option("multiLine", True)
+        .csv(paths)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.monotonically_increasing_id().cast("decimal(38,0)").alias("pos"),
+            _array(width).alias("_parts"),
+        )
+    )
+    rest = F.slice("_parts", F.col("fields") + 1, F.lit(width + 1))
+    return settled(
+        read.join(verdicts.select("file", "fields", "audio_at", "text_at"), "file").select(
+            "file",
+            "pos",
+            F.array_join("_parts", ",").alias("line"),
+            F.get("_parts", F.col("audio_at") - 1).alias("audio"),
+            F.get("_parts", F.col("text_at") - 1).alias("text"),
+            F.exists(rest, lambda x: x.isNotNull()).alias("_over"),
+        ),
+        "records",
+    )
+
+
+def read_manifest(
+    spark: SparkSession,
+    path: str | list[str],
+    text: str = "sentence",
+    audio: str = "uuid",
+    mode: str = "auto",
+    columns: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of manifest files; see ``parse_manifest``."""
+    parsed = parse_manifest(spark, path, text, audio, mode, columns)
     return kept(parsed), rejected(parsed)
 
 

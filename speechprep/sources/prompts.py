@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PROMPTS
 from ..functions.text import is_blank, strip
+from ..operators.rows import row_index
+from .manifest import read_lines
 
 
 def prompt_lines(
     spark: SparkSession, prompt: str | None = None, path: str | None = None
 ) -> DataFrame:
-    """``text`` rows: a single prompt, else the file's lines, else the defaults."""
-    if prompt:
-        return spark.createDataFrame([(prompt,)], "text string")
-    if not path:
-        return spark.createDataFrame([(p,) for p in DEFAULT_PROMPTS], "text string")
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("text"))
-    return nonblank(lines)
+    """``(prompt_id, text)``: a single prompt, else the file's lines, else the defaults.
+
+    ``prompt_id`` counts prompts from 0 in the order of files and lines.
+    """
+    if prompt or not path:
+        given = enumerate([prompt] if prompt else DEFAULT_PROMPTS)
+        return spark.createDataFrame(list(given), "prompt_id long, text string")
+    lines = nonblank(read_lines(spark, path).select("file", "pos", strip(F.col("line")).alias("text")))
+    return row_index(lines, "file", "pos", name="prompt_id").select("prompt_id", "text")
 
 
 def split_block(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from speechprep.plans import generation, training
 from speechprep.sinks.tables import export_manifest
 from speechprep.sinks.wavs import write_wavs
 from speechprep.sources import audio_files, tables
+from speechprep.sources.manifest import read_manifest
 from speechprep.streaming.ingest import incremental_ingest
 
 SINE = np.sin(2 * np.pi * 440 * np.arange(8000) / 16000).astype(np.float32)
@@ -198,6 +199,20 @@ def test_row_functions(spark):
     assert models.filter_rows(df, F.col("n") > 1).count() == 1
 
 
+def test_hooks_leave_other_values_alone(spark):
+    rows = [(2**53 + 1, 1, [1, 2]), (None, None, None), (2**53 + 3, 2, [3, 4])]
+    df = spark.createDataFrame(rows, "big long, lim int, ids array<int>").coalesce(1)
+    mapped = models.map_rows(df, lambda r: {"twice": r["lim"] * 2}, "twice int").collect()
+    assert [(r.big, r.twice) for r in mapped] == [(2**53 + 1, 2), (None, None), (2**53 + 3, 4)]
+    cut = lambda: lambda ids, lim: ids[:lim]
+    done = models.apply_model(df, cut, ["ids", "lim"], "out", "array<int>").collect()
+    assert [r.out for r in done] == [[1], None, [3, 4]] and done[1].error
+    again = models.apply_model(df, cut, ["ids", "lim"], "out", "array<int>")
+    again = models.apply_model(again, lambda: lambda n: [0], ["lim"], "more", "array<int>").collect()
+    assert again[1].error and again[1].more == [0] and again[0].error is None
+    assert models.filter_rows(df, lambda n: isinstance(n, int), "lim").count() == 2
+
+
 def test_manifest_flow_reads_audio_late(spark, folder):
     rows = [("m", 0, "good.wav", "hello"), ("m", 1, "none.wav", "x"), ("m", 2, "broken.wav", "y"),
             ("m", 3, "stereo.wav", "z")]
@@ -264,6 +279,21 @@ def test_line_batch_leaves_a_gap_for_a_failed_line(spark):
     ]
 
 
+def test_ingest_reads_as_the_batch_reader_does(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    (landed / "a.csv").write_text('uuid,sentence\na.wav,"hi, there"\n')
+    (landed / "b.csv").write_text('sentence,uuid\n"one\ntwo",b.wav\n')
+    (landed / "c.csv").write_text("uuid,sentence\nc.wav,x, y\nd.mp3,z\n")
+    paths = [str(landed), str(tmp_path / "taken"), str(tmp_path / "marks")]
+    incremental_ingest(spark, *paths, files_per_trigger=2).awaitTermination()
+    taken = spark.read.parquet(paths[1]).filter("reason is null").select("audio", "text")
+    rows, _ = read_manifest(spark, str(landed))
+    want = [("a.wav", "hi, there"), ("b.wav", "one\ntwo"), ("c.wav", "x, y")]
+    assert sorted(map(tuple, taken.collect())) == want
+    assert sorted((r.audio, r.text) for r in rows.collect()) == want
+
+
 def test_ingest_takes_each_file_once(spark, tmp_path):
     landed = tmp_path / "landed"
     landed.mkdir()

@@ -82,6 +82,37 @@ def test_strict_reader_with_line_breaks_in_quotes(spark, tmp_path):
     assert [(r.audio, r.text) for r in bound] == [("a.wav", "x,\ny"), ("b.wav", "z")]
 
 
+def test_headers_of_all_kinds(spark, tmp_path):
+    kept, rejects = manifest(
+        spark,
+        tmp_path,
+        '"uuid","sentence"\n"a.wav","hi, there"\n',
+        "uuid,sentence,speaker\nb.wav,hi there,bob\n",
+        'sentence,uuid\n"one, two",c.wav\n,d.wav\n',
+        'speaker,uuid,sentence\nann,e.wav,"one\n\ntwo, ""three"""\nbob,f.wav,four\nbob,g.wav,\n',
+        'uuid,sentence\nh.wav,"one\ntwo"\ni.wav,x,y\n',
+        '\ufeff"sentence","uuid"\n"x, y","j.wav"\n',
+        "uuid,other\nk.wav,x\n",
+    )
+    assert kept == [
+        ("a.wav", "hi, there"), ("b.wav", "hi there"), ("c.wav", "one, two"),
+        ("e.wav", 'one\n\ntwo, "three"'), ("f.wav", "four"),
+        ("h.wav", '"one'), ("i.wav", "x,y"), ("j.wav", "x, y"), ("k.wav", "x"),
+    ]
+    assert rejects == [
+        (",d.wav", "empty_field"), ("bob,g.wav", "empty_field"), ('two"', "no_comma"),
+        ("uuid,other", "bad_extension"),
+    ]
+
+
+def test_names_that_need_coding_in_paths(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    folder.mkdir()
+    (folder / "m.csv").write_text('uuid,sentence\na.wav,"x\ny"\n')
+    rows, _ = read_manifest(spark, str(folder))
+    assert [(r.audio, r.text) for r in rows.collect()] == [("a.wav", "x\ny")]
+
+
 def test_cap_keeps_file_order_over_many_blocks(spark, tmp_path):
     lines = [f"f{n}.wav,text {n}, end" for n in range(5000)]
     (tmp_path / "m.csv").write_text("uuid,sentence\n" + "\n".join(lines))

@@ -78,6 +78,7 @@ def test_names(spark):
 
 
 VOCAB = [("a", 1), ("b", 2), ("c", 3)]
+TWICE = [*VOCAB, ("b", 7), ("a", 0)]
 
 
 @pytest.mark.parametrize("bound", [100, 2])
@@ -85,16 +86,22 @@ def test_tokenise_with_small_and_large_vocabulary(spark, bound):
     rows = [(1, "a b  zz\na"), (2, ""), (3, "c"), (4, None)]
     df = spark.createDataFrame(rows, "row int, text string")
     known = spark.createDataFrame(VOCAB, "token string, id int")
-    coded = vocab.tokenise(df, known, unk=9, row="row", max_broadcast=bound)
+    coded = vocab.tokenise(df, known, unk=9, max_broadcast=bound)
     got = {r.row: r.text_ids for r in coded.collect()}
     assert got == {1: [128000, 1, 2, 9, 1], 2: [128000], 3: [128000, 3], 4: None}
 
 
-def test_large_vocabulary_needs_a_row_key(spark):
-    known = spark.createDataFrame(VOCAB, "token string, id int")
-    df = spark.createDataFrame([("a",)], "text string")
-    with pytest.raises(ValueError):
-        vocab.tokenise(df, known, max_broadcast=1)
+@pytest.mark.parametrize("bound", [100, 1])
+def test_repeated_entries_and_repeated_rows(spark, bound):
+    known = spark.createDataFrame(TWICE, "token string, id int")
+    df = spark.createDataFrame([("a b c",), ("a b c",), ("b",)], "text string")
+    coded = vocab.tokenise(df, known, special=False, max_broadcast=bound)
+    assert sorted(r.text_ids for r in coded.collect()) == [[0, 2, 3], [0, 2, 3], [2]]
+
+
+def test_audit_of_the_whole_table(spark):
+    df = spark.range(300).selectExpr("id as n", "'a' as text")
+    assert vocab.audit_sample(df, "n", n=None).count() == 300
 
 
 def test_coverage(spark):
@@ -139,7 +146,7 @@ def test_written_slices(spark, tmp_path):
     write_batches(df.repartition(3), path, 4, "n")
     for k, want in enumerate([range(0, 4), range(4, 8), range(8, 11)]):
         part = (
-            spark.read.schema("n int, text string")
+            spark.read.schema("n int, text string, idx long")
             .option("header", True)
             .option("escape", '"')
             .csv(f"{path}/batch_id={k}")
@@ -147,6 +154,7 @@ def test_written_slices(spark, tmp_path):
         assert sorted((r.n, r.text) for r in part.collect()) == [
             (n, f'say "{n}", twice') for n in want
         ]
+        assert {(r.n, r.idx) for r in part.collect()} == {(n, n) for n in want}
 
 
 def test_settings_explicit_then_preset_then_base(spark):
