@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-A text is cut into words that no piece crosses. For the words of a corpus the lattice is relational: substrings
-of bounded length are exploded and joined with the piece table, the edges are grouped by word, and a higher-order
-``aggregate`` folds Viterbi's recursion over the ends of each word. The most frequent words, as many as fit a
-fixed bound, are encoded so and sent to the tasks; a task folds the same recursion over the words it meets
-beyond them, so every word has the same pieces whichever way it went.
+A text is cut into words, and words into units (runs of letters, or of other characters), neither of which a piece
+crosses. For the units of a corpus the lattice is relational: substrings of bounded length are exploded and joined
+with the piece table, the edges are grouped by unit, and a higher-order ``aggregate`` folds Viterbi's recursion over
+the ends of each. The most frequent units, as many as fit a fixed bound, are encoded so and sent to the tasks; a task
+folds the same recursion over the units it meets beyond them, so each has the same pieces whichever way it went.
 
 What is maximised follows the kind of model. In a merge model a piece's score tells how early its merge comes, and
 its right segmentation is the one that early merges lead to, the leftmost first among equal ones. A piece therefore
@@ -18,7 +18,7 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -33,8 +33,8 @@ from speechprep.session import settled
 MARK = "▁"
 #: Words: a run of spaces with what follows it, or what follows no space; line breaks stand alone.
 WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: How many words are sent to the tasks, and how long they may be; a task remembers so many more.
-SENT, SENT_CHARS, REMEMBERED = 200_000, 48, 750_000
+#: How many units are sent to the tasks, and how long they may be; a task remembers so many more, and so many words.
+SENT, SENT_CHARS, REMEMBERED, WORDS_REMEMBERED = 200_000, 48, 500_000, 250_000
 #: Words that a task counts before it hands its counts on.
 COUNTED = 400_000
 MOST_PIECES = 1_000_000
@@ -58,6 +58,23 @@ def merge_keys(piece: str, scores: dict[str, tuple[int, int]]) -> list[int]:
     return sorted(made, reverse=True)
 
 
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Units of a word (marks instead of spaces): marks with what follows them, runs of letters, runs of the rest.
+
+    A letter that stands beside other characters in a piece counts as one of these, so that no piece crosses units.
+    """
+    joining = {"_"}
+    while True:
+        also = re.escape("".join(sorted(joining)))
+        letters, rest = rf"[^\W\d{also}]+", rf"(?:[^\w{MARK}\n]|[\d{also}])+"
+        units = re.compile(rf"\n|{MARK}+(?:{letters}|{rest})?|{letters}|{rest}")
+        crossing = "".join(p for p in pieces if units.findall(p) != [p])
+        more = set(re.findall(rf"[^\W\d{also}]", crossing))
+        if not more:
+            return units
+        joining |= more
+
+
 class Pieces:
     """The tables of a model: id and weight of each piece, bytes of each id, ids of single bytes."""
 
@@ -89,6 +106,7 @@ class Pieces:
             if "\n" in piece or MARK in piece.lstrip(MARK):
                 raise ValueError(f"a piece crosses words: {piece!r}")
         self.longest = max(map(len, self.table))
+        self.units = unit_pattern(self.table)
         #: Pieces and beginnings of pieces: id (-1 for no piece), weight, and whether some piece goes on from here.
         going = {p[:k] for p in self.table for k in range(1, len(p))}
         self.steps = {p: (*self.table.get(p, (-1, [])), p in going) for p in going | self.table.keys()}
@@ -179,19 +197,23 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(" " + text) if text else []
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over a column ``text``, counted in each task before the shuffle."""
+def unit_counts(texts: DataFrame, units: re.Pattern) -> DataFrame:
+    """(word, n) for the units of a column ``text``: words are counted in each task, and cut before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            items = iter([(w, n) for w, n in seen.items() if len(w) <= SENT_CHARS])
+            found: Counter = Counter()
+            for word, n in seen.items():
+                for unit in units.findall(word.replace(" ", MARK)):
+                    found[unit] += n
+            seen.clear()
+            items = iter([(u, n) for u, n in found.items() if len(u) <= SENT_CHARS])
             while some := list(islice(items, 50_000)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"]
+                    [pa.array([u for u, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"]
                 )
-            seen.clear()
 
         for batch in batches:
             for text in batch.column(0):
@@ -203,44 +225,55 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, most: int = SENT) -> DataFrame:
-    """The words that occur at least twice and so often that no more than ``most`` words do."""
-    counts = settled(word_counts(texts).filter("n > 1"), "word-counts")
+def frequent_units(texts: DataFrame, units: re.Pattern, most: int = SENT) -> DataFrame:
+    """The units that occur at least twice and so often that no more than ``most`` do, as a column ``word``."""
+    counts = settled(unit_counts(texts, units).filter("n > 1"), "word-counts")
     least, total = None, 0
     levels = counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("words"))
-    for row in levels.orderBy(F.desc("n")).toLocalIterator():  # at most as many levels as words are sent
+    for row in levels.orderBy(F.desc("n")).toLocalIterator():  # at most as many levels as units are sent
         total += row.words
         if total > most:
             break
         least = row.n
-    return counts.filter(F.col("n") >= least if least else F.lit(False)).select(
-        F.translate("word", " ", MARK).alias("word")
-    )
+    return counts.filter(F.col("n") >= least if least else F.lit(False)).select("word")
 
 
-def encode_words(texts: DataFrame, pieces: Pieces, most: int = SENT) -> dict[str, bytes]:
-    """Packed ids of the frequent words by the relational lattice; ``most`` bounds the table."""
-    found = lattice_encode(frequent_words(texts, most), pieces).toArrow()
-    words, codes = found.column("word"), found.column("codes")
-    return {w.as_py().replace(MARK, " "): pack(pieces, c.as_py()) for w, c in zip(words, codes)}
+def encode_units(texts: DataFrame, pieces: Pieces, most: int = SENT) -> dict[str, bytes]:
+    """Packed ids of the frequent units by the relational lattice; ``most`` bounds the table."""
+    found = lattice_encode(frequent_units(texts, pieces.units, most), pieces).toArrow()
+    return {w.as_py(): pack(pieces, c.as_py()) for w, c in zip(found.column("word"), found.column("codes"))}
 
 
-class Encoder(dict):
-    """Packed ids by word: those sent, and those folded since."""
+class Units(dict):
+    """Packed ids by unit: those sent, and those folded since."""
 
     def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
         super().__init__(sent)
-        self.pieces, self.sent, self.added = pieces, sent, 0
+        self.pieces, self.sent = pieces, sent
+
+    def __missing__(self, unit: str) -> bytes:
+        packed = pack(self.pieces, fold(self.pieces, unit))
+        if len(unit) <= SENT_CHARS:
+            if len(self) >= len(self.sent) + REMEMBERED:
+                self.clear()
+                self.update(self.sent)
+            self[unit] = packed
+        return packed
+
+
+class Encoder(dict):
+    """Packed ids by word, put together from those of its units."""
+
+    def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
+        super().__init__()
+        self.pieces, self.units = pieces, Units(pieces, sent)
 
     def __missing__(self, word: str) -> bytes:
-        packed = pack(self.pieces, fold(self.pieces, word.replace(" ", MARK)))
+        packed = b"".join(map(self.units.__getitem__, self.pieces.units.findall(word.replace(" ", MARK))))
         if len(word) <= SENT_CHARS:
-            if self.added >= REMEMBERED:
+            if len(self) >= WORDS_REMEMBERED:
                 self.clear()
-                self.update(self.sent)
-                self.added = 0
             self[word] = packed
-            self.added += 1
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -283,7 +316,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
     The model's weights are maximised, spaces are marks, one is put before the text, nothing is normalised, and
     characters that are no piece are spelt in bytes. Repeated rows get equal ids. Other columns are not read.
-    Counting words and encoding the frequent ones are jobs that run when this is called.
+    Counting units and encoding the frequent ones are jobs that run when this is called.
     """
     return _with_encoder(
         df, model, id_col, text_col, most, "doc_id long, ids array<int>",
@@ -312,7 +345,7 @@ def encode_digest(
 
 def _with_encoder(df, model, id_col, text_col, most, schema, make) -> DataFrame:
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = _Shared(df.sparkSession, (model, encode_words(texts, Pieces(model), most)))
+    shared = _Shared(df.sparkSession, (model, encode_units(texts, Pieces(model), most)))
     arrow = {"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     fields = pa.schema([(name, arrow[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 

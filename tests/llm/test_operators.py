@@ -371,3 +371,14 @@ def test_empty_tables(spark, empty, model):
         simhash_groups(empty), drop_near_copies(empty), quality_rules(empty), mix_sources(empty), mixed(empty),
     ):
         assert out.count() == 0
+
+
+def test_units_are_crossed_by_no_piece(model):
+    assert sp.unit_pattern(["ab", "▁a", "...", "▁"]).findall("▁ab²..c_1\n▁▁") == ["▁ab²", "..", "c", "_1", "\n", "▁▁"]
+    assert sp.unit_pattern(["ab", "²."]).findall("▁ab²..c") == ["▁ab", "²..", "c"]  # the letter joins the rest
+    assert sp.unit_pattern(["n't", "x"]).findall("don't x") == ["do", "n't ", "x"]
+    tables = sp.Pieces(model)
+    assert all(tables.units.findall(piece) == [piece] for piece in tables.table)
+    reader, encoder = sp.sentencepiece.SentencePieceProcessor(model_proto=model), sp.Encoder(tables, {})
+    for text in ("a▁b ▁ c", "x²., ².", "a  \n b\t c_d  ", "日本語です。abc123,4.5é", "​ ­'' 1st don't"):
+        assert sp.np.frombuffer(encoder.encode(text), "<i4").tolist() == reader.encode(text), text
