@@ -201,8 +201,13 @@ def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
     """The row with the smallest doc_id of each group (null last; ties by a hash of the text), with all columns."""
-    last = F.lit(2**63 - 1)
     found = settled(simhash_groups(df, id_col, text_col, shingle), "near-groups")
+    return one_of_each(df, found, id_col, text_col)
+
+
+def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of ``df`` with the smallest doc_id of each root; ``found`` (written) has doc_id, text_hash and root."""
+    last = F.lit(2**63 - 1)
     order = F.struct(F.coalesce("doc_id", last).alias("key"), F.col("text_hash").alias("hash"))
     # text_hash of a null text is the seed, never null.
     stays = settled(found.groupBy("root").agg(F.min(order).alias("o")).select("o.*"), "near-kept")

@@ -21,6 +21,7 @@ from speechprep.llm.components import components
 from speechprep.llm.exact_dedup import drop_exact_copies, exact_dedup
 from speechprep.llm.language_id import language_id
 from speechprep.llm.mixing import mix_sources, mixed
+from speechprep.llm.near_copies import drop_similar, shingle_set
 from speechprep.llm.quality_classifier import quality_classifier, select_quality
 from speechprep.llm.quality_rules import fit_accuracies, quality_rules
 from speechprep.llm.sharding import shard_by_bytes
@@ -216,6 +217,41 @@ def test_simhash(spark, table):
     assert kept.count() == len({frozenset(g) for g in group.values()})
 
 
+def test_near_copies_by_shared_shingles(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(120):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.randint(40, 300))]
+        copy = list(base)
+        for at in r.sample(range(len(base)), max(1, len(base) * r.randint(1, 5) // 100)):
+            copy[at] = "new"
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(copy).title(), "s")]
+    hot = [f"h{k}" for k in range(200)]  # one group beyond ALL_PAIRS
+    rows += [(1000 + k, " ".join([*hot[:k], "odd", *hot[k + 1 :]]), "s") for k in range(60)]
+    assert drop_similar(docs(spark, [])).count() == 0
+    rows += [(2000, None, "s"), (2001, " ", "s"), (2002, "a b", "s"), (2002, "a b", "s"), (None, "A b", "s")]
+    sets = [set(shingle_set(t).tolist()) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    roots = {k for k in range(len(rows)) if find(k) == k}
+    assert 130 < len(roots) < 242  # some copies are near, some are not
+    df = docs(spark, rows)
+    got = drop_similar(df)
+    assert got.columns == df.columns
+    assert sorted(x.doc_id for x in got.collect()) == sorted(rows[k][0] for k in roots)
+
+
 def test_links_of_a_crowded_ball_in_small_slices(spark):
     r = random.Random(3)
     marks = {r.getrandbits(64) for _ in range(40)}
