@@ -2,8 +2,10 @@
 
 Templates and texts are words (lower case, without punctuation). Hashes of k words in a row are thinned by
 winnowing: of each window of w hashes the smallest is a fingerprint, so any k + w - 1 words that a text shares
-with a template share one. An inverted index gives the templates and places of a fingerprint; hits on nearly the
-same diagonal are one candidate. The template is then aligned with the text around that diagonal, inside a band.
+with a template share one. k and w follow from a template's length and the threshold: they are so small that words
+missing or changed anywhere, as many as the threshold allows, leave a fingerprint. An inverted index gives the
+templates and places of a fingerprint; hits on nearly the same diagonal are one candidate. The template is then
+aligned with the text around that diagonal, inside a band.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K, WINDOW, BAND, LEAST = 3, 2, 8, 0.8
+#: Templates of at most so many words have all hashes of two words as fingerprints.
+SHORT = 12
 #: The index goes to every executor; more templates than this are refused.
 MOST_TEMPLATES = 10_000
 TOKEN = re.compile(r"\w+")
@@ -58,17 +62,17 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def winnowed(ids: np.ndarray) -> list[tuple[int, int]]:
+def winnowed(ids: np.ndarray, width: int = K, window: int = WINDOW) -> list[tuple[int, int]]:
     """(place, hash) of the fingerprints of a row of word numbers; 0 is a word that no template has.
 
     Hashes with such a word rank last and are never chosen, which changes nothing inside shared words.
     """
-    n = len(ids) - K + 1
+    n = len(ids) - width + 1
     if n < 1:
         return []
     known = np.ones(n, bool)
     hashes = np.zeros(n, np.uint64)
-    for k in range(K):
+    for k in range(width):
         part = ids[k : k + n]
         known &= part > 0
         hashes = (hashes ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -76,29 +80,32 @@ def winnowed(ids: np.ndarray) -> list[tuple[int, int]]:
     if not known.any():
         return []
     hashes[~known] = NEVER
-    if n < WINDOW:
+    if n < window:
         chosen = {int(hashes.argmin())}
     else:
         near = np.flatnonzero(known)  # only windows with something to choose
-        starts = np.unique(np.clip(np.concatenate([near - j for j in range(WINDOW)]), 0, n - WINDOW))
-        shifted = np.stack([hashes[starts + j] for j in range(WINDOW)][::-1])
-        chosen = set((starts + WINDOW - 1 - shifted.argmin(axis=0)).tolist())  # the last of equal ones
+        starts = np.unique(np.clip(np.concatenate([near - j for j in range(window)]), 0, n - window))
+        shifted = np.stack([hashes[starts + j] for j in range(window)][::-1])
+        chosen = set((starts + window - 1 - shifted.argmin(axis=0)).tolist())  # the last of equal ones
     return [(i, int(hashes[i])) for i in sorted(chosen) if hashes[i] != NEVER]
 
 
 class Index:
-    """Word numbers, templates as word numbers, and the inverted index of fingerprints."""
+    """Word numbers, templates as word numbers, and the inverted index of fingerprints by their kind."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
+    def __init__(self, rows: list[tuple[str, str]], least: float = LEAST):
         self.number: dict[str, int] = {}
         self.names = [name for name, _ in rows]
-        self.templates = []
-        self.places = defaultdict(list)
+        self.templates, self.bands, self.needed = [], [], []
+        self.places = defaultdict(lambda: defaultdict(list))
         for t, (_, text) in enumerate(rows):
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
             self.templates.append(ids)
-            for place, mark in winnowed(ids):
-                self.places[mark].append((t, place))
+            self.bands.append(max(BAND, len(ids) // 16))
+            self.needed.append(needed(len(ids), least))
+            kind = thinning(len(ids), least)
+            for place, mark in winnowed(ids, *kind):
+                self.places[kind][mark].append((t, place))
 
     def ids(self, found: list[str]) -> np.ndarray:
         get = self.number.get
@@ -106,41 +113,82 @@ class Index:
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal) of hits, those within half a band of each other taken together."""
-        hits = sorted({(t, at - place) for at, mark in winnowed(ids) for t, place in self.places.get(mark, ())})
+        hits = defaultdict(list)
+        for kind, places in self.places.items():
+            for at, mark in winnowed(ids, *kind):
+                for t, place in places.get(mark, ()):
+                    hits[t].append((at - place, place))
         out = []
-        for t, diagonal in hits:
-            if not out or out[-1][0] != t or diagonal - out[-1][1] > BAND // 2:
-                out.append((t, diagonal))
+        for t in sorted(hits):
+            need, reach = self.needed[t], self.bands[t] // 2
+            if need > 1 and len({place for _, place in hits[t]}) < need:
+                continue
+            near = []
+            for diagonal, place in sorted(hits[t]) + [(np.inf, 0)]:
+                if near and diagonal - near[0][0] > reach:
+                    if need == 1:
+                        out.append((t, near[0][0]))
+                    elif 2 * len({p for _, p in near}) >= need:
+                        out.append((t, near[len(near) // 2][0]))  # the middle one: a long text drifts both ways
+                    near = []
+                near.append((diagonal, place))
         return out
 
 
-def align(template: np.ndarray, ids: np.ndarray, diagonal: int) -> list[tuple[int, int]]:
+def _missing(n: int, least: float) -> int:
+    """How many of n words may be missing or changed."""
+    return n - int(np.ceil(n * least - 1e-9))
+
+
+def thinning(n: int, least: float = LEAST) -> tuple[int, int]:
+    """Words in a hash and hashes in a window for a template of n words.
+
+    With e words missing or changed, (n - e) / (e + 1) words in a row are left somewhere, and a fingerprint is sure to
+    be shared if that is k + w - 1. Short templates take all hashes of two words (of one, if no more are left).
+    """
+    e = _missing(n, least)
+    run = -(-(n - e) // (e + 1))
+    if n <= SHORT or run < K:
+        return min(2, max(1, run)), 1
+    return K, max(1, min(WINDOW, run - K + 1))
+
+
+def needed(n: int, least: float = LEAST) -> int:
+    """A lower bound on the fingerprints of a template of n words that a text at the threshold shares.
+
+    Of n - 3 windows of four words each missing word spoils four at most, a fingerprint serves two windows; half of
+    that again is left for inserted words. Below it a text is not aligned with a long template.
+    """
+    return max(1, (n - 3 - 4 * _missing(n, least)) // 4) if thinning(n, least) == (K, WINDOW) else 1
+
+
+def align(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
     """Matched places (template, text) of the best alignment inside the band around a diagonal.
 
     A match counts 1, a skipped word on either side costs a quarter; text before and after is free.
     """
-    width = 2 * BAND + 1
-    best = np.full((len(template) + 1, width + 2), -np.inf)
-    best[0, 1:-1] = 0.0
-    step = np.zeros((len(template) + 1, width + 2), np.int8)
+    width = 2 * band + 1
+    before = np.full(width + 2, -np.inf)
+    before[1:-1] = 0.0
+    step = np.zeros((len(template) + 1, width), np.int8)
+    across = 0.25 * np.arange(width)
     for i in range(1, len(template) + 1):
-        at = diagonal + i - 1 - BAND + np.arange(width)
+        at = diagonal + i - 1 - band + np.arange(width)
         inside = (at >= 0) & (at < len(ids))
         same = inside & (ids[np.clip(at, 0, len(ids) - 1)] == template[i - 1])
-        match = np.where(same, best[i - 1, 1:-1] + 1.0, -np.inf)
-        skip_template = best[i - 1, 2:] - 0.25
+        match = np.where(same, before[1:-1] + 1.0, -np.inf)
+        skip_template = before[2:] - 0.25
         row = np.maximum(match, skip_template)
-        how = np.where(match >= skip_template, 1, 2).astype(np.int8)
-        for d in range(1, width):  # skipped words of the text
-            if row[d - 1] - 0.25 > row[d]:
-                row[d], how[d] = row[d - 1] - 0.25, 3
-        best[i, 1:-1], step[i, 1:-1] = row, how
-    i, d = len(template), int(best[len(template), 1:-1].argmax())
+        skipped = np.maximum.accumulate(row + across) - across  # words of the text
+        step[i] = np.where(skipped > row, 3, np.where(match >= skip_template, 1, 2))
+        before = np.full(width + 2, -np.inf)
+        before[1:-1] = skipped
+    i, d = len(template), int(before[1:-1].argmax())
     places = []
     while i > 0:
-        how = step[i, d + 1]
+        how = step[i, d]
         if how == 1:
-            places.append((i - 1, diagonal + i - 1 - BAND + d))
+            places.append((i - 1, diagonal + i - 1 - band + d))
             i -= 1
         elif how == 2:
             i, d = i - 1, d + 1
@@ -161,7 +209,7 @@ def scan(text: str, index: Index, least: float = LEAST) -> list[dict]:
     matches = []
     for t, diagonal in hits:
         template = index.templates[t]
-        places = [at for _, at in align(template, ids, diagonal)]
+        places = [at for _, at in align(template, ids, diagonal, index.bands[t])]
         if places and len(places) >= least * len(template):
             matches.append((t, len(places) / len(template), places))
     # Candidates of one template that found the same words: the fullest stays.
@@ -197,8 +245,8 @@ def license_scan(
 ) -> DataFrame:
     """One row for each notice found: doc_id, license, coverage, n_matched, start, end, spans.
 
-    ``templates`` has (license, text), at most MOST_TEMPLATES rows; null ones are left out, and templates of
-    fewer than K words are never found. A template is found where at least ``least`` of its words align; one
+    ``templates`` has (license, text), at most MOST_TEMPLATES rows; null ones are left out, and templates
+    without words are never found. A template is found where at least ``least`` of its words align; one
     text may hold many, and one place may match several templates. Offsets count code points of the text (of
     its lower-case form, should that have another length). Null and empty texts hold none. Repeated rows are
     each reported. Whole texts are read, in their tasks; nothing is shuffled.
@@ -209,7 +257,7 @@ def license_scan(
     shared = df.sparkSession.sparkContext.broadcast([(r.license, r.text) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, least)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):

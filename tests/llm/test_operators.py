@@ -344,6 +344,24 @@ def test_license_scan(spark, table):
     assert not {4, 5, 6, 8} & set(got)
 
 
+def test_any_word_of_a_short_notice_may_be_missing_or_changed():
+    found = licences.scan("Released under MIT License.", licences.Index([("MIT-line", licences.NOTICES["MIT-line"])]))
+    assert [(m["license"], m["coverage"]) for m in found] == [("MIT-line", 0.8)]
+    r = random.Random(9)
+    lines = [t for t in licences.NOTICES.values() if len(licences.words(t)) <= 20]
+    lines += [" ".join(r.choice("abcdefghij") for _ in range(n)) for n in range(5, 40)]
+    for line in lines:
+        index, w = licences.Index([("x", line)]), licences.words(line)
+        for k in range(len(w)):
+            for changed in (w[:k] + w[k + 1 :], [*w[:k], "changed", *w[k + 1 :]]):
+                text = " ".join(["before", "it", *changed, "and", "after"])
+                assert bool(licences.scan(text, index)) == (len(w) >= 5), (line, text)
+        most = len(w) - -(-4 * len(w) // 5)
+        for _ in range(20):  # as many as the threshold allows
+            lost = set(r.sample(range(len(w)), most))
+            assert licences.scan(" ".join("changed" if k in lost else x for k, x in enumerate(w)), index), (line, lost)
+
+
 def test_alignment_against_brute_force():
     r = random.Random(8)
     for _ in range(150):
