@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +28,68 @@ MOST_TEMPLATES = 10_000
 TOKEN = re.compile(r"\w+")
 NEVER = np.uint64(2**64 - 1)
 
-#: Public licence notices.
-NOTICES = {
+#: The usual short notices of public licences.
+SHORT_NOTICES = {
+    "all-rights-reserved": "All rights reserved.",
     "MIT-line": "Released under the MIT License.",
+    "MIT-line-licensed": "Licensed under the MIT License.",
+    "BSD-line": "Licensed under the BSD License.",
+    "BSD-style-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "ISC-line": "Licensed under the ISC License.",
+    "Zlib-line": "Licensed under the zlib License.",
+    "Unlicense-line": "This is free and unencumbered software released into the public domain.",
+    "public-domain-line": "This work is dedicated to the public domain.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-    "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
-    "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-    "following conditions:",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
-    "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted "
-    "provided that the following conditions are met:",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-    "except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the "
-    "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
-    "or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
-    "of the MPL was not distributed with this file, You can obtain one at",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+    "except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+    "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+    "either express or implied. See the License for the specific language governing permissions and limitations under "
+    "the License.",
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse "
+    "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MPL-1.1-notice": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the "
+    "\"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License "
+    "at http://www.mozilla.org/MPL/",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
+    "of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
+    "CC0-1.0-line": "This work is licensed under CC0 1.0 Universal.",
+    "CC0-1.0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring "
+    "rights to this work.",
+    "OFL-1.1-notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "WTFPL-line": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and "
+    "changing it is allowed as long as the name is changed.",
+}
+for _name, _words in {
+    "GPL-2.0": "General Public License 2", "GPL-3.0": "General Public License 3", "LGPL-2.1": "Lesser General Public License 2.1",
+    "LGPL-3.0": "Lesser General Public License 3", "AGPL-3.0": "Affero General Public License 3",
+}.items():
+    _license, _version = _words.rsplit(" ", 1)
+    _publisher = "GNU " + _license + " as published by the Free Software Foundation"
+    SHORT_NOTICES |= {
+        f"{_name}-line": f"This work is licensed under the GNU {_license}, version {_version}.",
+        f"{_name}-notice": f"This program is free software: you can redistribute it and/or modify it under the terms of the "
+        f"{_publisher}, either version {_version} of the License, or (at your option) any later version.",
+        f"{_name}-only-notice": f"This program is free software: you can redistribute it and/or modify it under the terms of "
+        f"the {_publisher}, version {_version}.",
+    }
+for _kind, _long in {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}.items():
+    for _version, _port in (("3.0", "Unported"), ("4.0", "International")):
+        _long_line = f"This work is licensed under a Creative Commons {_long} {_version} {_port} License."
+        _short_line = f"Licensed under CC {_kind} {_version}."
+        # These two names were here before and stay with their lines.
+        _names = ("-line", "-short") if _kind == "BY" else ("-long", "-line")
+        SHORT_NOTICES |= {f"CC-{_kind}-{_version}{_names[0]}": _long_line, f"CC-{_kind}-{_version}{_names[1]}": _short_line}
+
+#: Whole licences, by name of file, and the short notices.
+NOTICES = SHORT_NOTICES | {
+    path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licences").glob("*.txt"))
 }
 
 
@@ -199,6 +238,27 @@ def align(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int = BAND
     return places[::-1]
 
 
+def shared_words(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int) -> int:
+    """An upper bound on what ``align`` can match: words in common, in whatever order."""
+    near = ids[max(0, diagonal - band) : max(0, diagonal + len(template) + band)]
+    there, n = np.unique(near, return_counts=True)
+    wanted, most = np.unique(template, return_counts=True)
+    _, at, of = np.intersect1d(there, wanted, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[at], most[of]).sum())
+
+
+def outermost(kept: list[tuple[int, float, list[int]]]) -> list[tuple[int, float, list[int]]]:
+    """Without matches that are part of a fuller one: a tenth of their words at most is not in it.
+
+    So a licence is told from those that share its wording (the BSD clauses, versions of the GPL, kinds of CC BY).
+    """
+    held = [(coverage, len(places), -t, set(places)) for t, coverage, places in kept]
+    return [
+        match for match, own in zip(kept, held)
+        if not any(x[:3] > own[:3] and 10 * len(own[3] - x[3]) <= len(own[3]) for x in held)
+    ]
+
+
 def scan(text: str, index: Index, least: float = LEAST) -> list[dict]:
     """Matches of a text: license, coverage, matched words, start, end and spans in code points, by place."""
     found = words(text)
@@ -209,6 +269,8 @@ def scan(text: str, index: Index, least: float = LEAST) -> list[dict]:
     matches = []
     for t, diagonal in hits:
         template = index.templates[t]
+        if shared_words(template, ids, diagonal, index.bands[t]) < least * len(template):
+            continue
         places = [at for _, at in align(template, ids, diagonal, index.bands[t])]
         if places and len(places) >= least * len(template):
             matches.append((t, len(places) / len(template), places))
@@ -221,6 +283,7 @@ def scan(text: str, index: Index, least: float = LEAST) -> list[dict]:
             kept.append((t, coverage, places))
     if not kept:
         return []
+    kept = outermost(kept)
     lowered = text.lower()
     bounds = [m.span() for m in TOKEN.finditer(text if len(lowered) == len(text) else lowered)]
     out = []
@@ -247,7 +310,8 @@ def license_scan(
 
     ``templates`` has (license, text), at most MOST_TEMPLATES rows; null ones are left out, and templates
     without words are never found. A template is found where at least ``least`` of its words align; one
-    text may hold many, and one place may match several templates. Offsets count code points of the text (of
+    text may hold many. Of matches of the same words only the fullest is given (see ``outermost``), so a notice inside
+    a whole licence counts as part of it. Coverage is of the whole template. Offsets count code points of the text (of
     its lower-case form, should that have another length). Null and empty texts hold none. Repeated rows are
     each reported. Whole texts are read, in their tasks; nothing is shuffled.
     """

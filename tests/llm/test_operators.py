@@ -344,6 +344,23 @@ def test_license_scan(spark, table):
     assert not {4, 5, 6, 8} & set(got)
 
 
+def test_whole_licences_are_told_apart():
+    index = licences.Index(list(licences.NOTICES.items()))
+    assert len(licences.NOTICES) <= licences.MOST_TEMPLATES
+    for name, text in licences.NOTICES.items():
+        found = licences.scan("before it\n" + text + "\nafter it", index)
+        assert [(m["license"], m["coverage"]) for m in found] == [(name, 1.0)], (name, found)
+    first = licences.NOTICES["MIT"].split("\n\n")[0]  # the first paragraph alone is not the licence
+    assert "MIT" not in {m["license"] for m in licences.scan(first, index)}
+    found = licences.scan("Copyright 2001. All rights reserved.\n\n" + licences.NOTICES["BSD-4-Clause"], index)
+    assert [m["license"] for m in found] == ["all-rights-reserved", "BSD-4-Clause"]
+    changed = licences.NOTICES["GPL-3.0"].split()
+    changed[3000:3000] = ["inserted"] * 20
+    del changed[1000:1050]
+    found = [m for m in licences.scan(" ".join(changed), index) if m["license"] == "GPL-3.0"]
+    assert len(found) == 1 and found[0]["coverage"] > 0.98
+
+
 def test_any_word_of_a_short_notice_may_be_missing_or_changed():
     found = licences.scan("Released under MIT License.", licences.Index([("MIT-line", licences.NOTICES["MIT-line"])]))
     assert [(m["license"], m["coverage"]) for m in found] == [("MIT-line", 0.8)]
