@@ -320,26 +320,28 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     """
     return _with_encoder(
         df, model, id_col, text_col, most, "doc_id long, ids array<int>",
-        lambda encoder, text: {"ids": np.frombuffer(encoder.encode(text), "<i4").tolist()},
+        lambda encoder, text: {"ids": np.frombuffer(encoder.encode(text), "<i4")},
     )
 
 
 def encode_digest(
     df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", most: int = SENT
 ) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text).
+    """doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text).
 
-    As ``encode``, but ids are decoded and digested in the task that made them. A null text counts as empty. Texts
+    As ``encode``, and ids are decoded and digested in the task that made them. A null text counts as empty. Texts
     that hold the mark itself (U+2581) decode to spaces there, and so do not come back.
     """
 
     def digest(encoder: Encoder, text: str) -> dict:
         packed = encoder.encode(text)
-        back = decode(encoder.pieces, np.frombuffer(packed, "<i4"))
-        return {"n_pieces": len(packed) // 4, "ids_crc32": zlib.crc32(packed), "round_trip": back == text}
+        ids = np.frombuffer(packed, "<i4")
+        back = decode(encoder.pieces, ids)
+        return {"ids": ids, "n_pieces": len(packed) // 4, "ids_crc32": zlib.crc32(packed), "round_trip": back == text}
 
     return _with_encoder(
-        df, model, id_col, text_col, most, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean", digest
+        df, model, id_col, text_col, most,
+        "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean", digest,
     )
 
 

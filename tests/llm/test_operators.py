@@ -14,6 +14,7 @@ import sentencepiece
 import tokenizers
 import xxhash
 
+import corpus_pipeline
 from speechprep.llm import license_scan as licences
 from speechprep.llm import pieces as sp
 from speechprep.llm import token_counts as bpe
@@ -24,6 +25,7 @@ from speechprep.llm.mixing import mix_sources, mixed
 from speechprep.llm.near_copies import drop_similar, shingle_set
 from speechprep.llm.quality_classifier import quality_classifier, select_quality
 from speechprep.llm.quality_rules import fit_accuracies, quality_rules
+from speechprep.llm.queries import QUERIES
 from speechprep.llm.sharding import shard_by_bytes
 from speechprep.llm.simhash import drop_near_copies, fingerprint, near_links, simhash_groups
 from pyspark.sql import functions as F
@@ -421,6 +423,15 @@ def test_pieces(spark, table, model):
         assert (digest[k].n_pieces, digest[k].ids_crc32, digest[k].round_trip) == (len(got[k]), zlib.crc32(packed), True)
 
 
+def test_registered_encoding_gives_the_ids(spark, model, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    docs(spark, ROWS).write.parquet(str(tmp_path / "documents.parquet"))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs(spark, ROWS), str(tmp_path)).collect()
+    for found in (QUERIES["op3_sentencepiece"](spark, str(tmp_path)).collect(), last):
+        assert Counter((x.doc_id, tuple(x.ids)) for x in found) == Counter((i, tuple(library.encode(t or ""))) for i, t, _ in ROWS)
+        assert all(x.n_pieces == len(x.ids) for x in found)
+
+
 def test_lattice_equals_fold(spark, model):
     tables = sp.Pieces(model)
     words = ["▁the", "▁...", ",$$$", "▁▁▁a", "漢🙂", "▁ouithrandly", "aaaa", "▁"]
