@@ -19,9 +19,9 @@ from speechprep.llm.common import chosen_by_hash
 from speechprep.llm.hashed_text import gram_counts
 
 ORDERS, GRAM_BITS = (1, 2, 3), 15
-#: The bound on the rows that are fitted: so many of each language, of so many most frequent languages, and so
-#: many in all (then fewer of each).
-PER_LANGUAGE, LANGUAGES, FITTED = 800, 256, 8000
+#: The bound on the rows that are fitted: so many of each language, and so many in all (then fewer of each, but not
+#: fewer than LEAST_ROWS). Every language is fitted.
+PER_LANGUAGE, FITTED, LEAST_ROWS = 800, 8000, 30
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-4
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -98,15 +98,14 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _sample(rows: DataFrame, per_language: int) -> DataFrame:
-    """At most so many rows of each of the most frequent languages, chosen by a hash of the id; texts move last."""
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    frequent = [row.lang for row in counts.collect()]
-    per_language = min(per_language, FITTED // max(1, len(frequent)))
-    narrow = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("fit")).alias("h"))
-    narrow = narrow.filter(F.col("lang").isin(frequent) if frequent else F.lit(False))
-    chosen = chosen_by_hash(narrow, "lang", per_language).distinct()
-    # At most FITTED rows of two numbers and a name.
-    return rows.join(F.broadcast(chosen), ["doc_id", "lang"])
+    """At most so many rows of each language, chosen by a hash of the id; texts move last."""
+    languages = rows.select("lang").distinct().count()
+    per_language = min(per_language, max(LEAST_ROWS, FITTED // max(1, languages)))
+    narrow = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("fit")).alias("h")).distinct()
+    chosen = chosen_by_hash(narrow, "lang", per_language)
+    # At most FITTED rows of two numbers and a name, or LEAST_ROWS for each language; an id that several rows share
+    # is fitted once in a language.
+    return rows.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
 
 
 def language_id(

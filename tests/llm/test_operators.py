@@ -20,6 +20,7 @@ from speechprep.llm import pieces as sp
 from speechprep.llm import token_counts as bpe
 from speechprep.llm.components import components
 from speechprep.llm.exact_dedup import drop_exact_copies, exact_dedup
+from speechprep.llm.language_id import _sample as sample_of_languages
 from speechprep.llm.language_id import language_id
 from speechprep.llm.mixing import mix_sources, mixed
 from speechprep.llm.near_copies import drop_similar, shingle_set
@@ -305,6 +306,18 @@ def test_language_id(spark, empty):
     assert {x.lang_pred for x in language_id(df, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_id_fits_every_language_and_a_shared_id_once(spark):
+    r = random.Random(15)
+    rows = [
+        (300 * k + n, "".join(chr(0x4E00 + 20 * n + r.randrange(20)) for _ in range(40)), f"l{n:03}")
+        for n in range(270) for k in range(4)
+    ]
+    df = spark.createDataFrame(rows + [(5, rows[20][1], "l005")] * 500, "doc_id long, text string, lang string")
+    assert sample_of_languages(df, 800).count() <= len(rows) + 1
+    got = language_id(df, F.lit(True)).select("lang_pred").distinct().count()
+    assert got > 256
+
+
 def test_quality_classifier(spark):
     r = random.Random(6)
 
