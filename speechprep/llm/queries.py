@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from speechprep.llm.common import table
 from speechprep.llm.exact_dedup import exact_dedup
 from speechprep.llm.language_id import language_id
+from speechprep.llm.lexical_search import lexical_search
 from speechprep.llm.license_scan import license_scan, notices
 from speechprep.llm.mixing import mix_sources
 from speechprep.llm.pieces import encode_digest
+from speechprep.llm.projections import near_vectors
 from speechprep.llm.quality_classifier import quality_classifier
 from speechprep.llm.quality_rules import quality_rules
 from speechprep.llm.sharding import shard_by_bytes
 from speechprep.llm.simhash import hex_digits, simhash_groups
+from speechprep.llm.spelling import spelling_groups
 from speechprep.llm.token_counts import token_counts
 
 
@@ -81,10 +84,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_sharding, op5_quality_classifier,
-        op6_token_counts, op7_language_id, op8_simhash, op9_quality_rules, op10_mixing,
+        op6_token_counts, op7_language_id, op8_simhash, op9_quality_rules, op10_mixing, op11_embedding_near_dedup,
+        op12_lexical_search, op13_spelling_variants,
     )
 }
