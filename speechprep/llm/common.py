@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,29 @@ def positioned(df: DataFrame, order: list[str], measures: list[str], name: str)
     )
 
 
+def placed_rows(df: DataFrame, name: str = "placed") -> DataFrame:
+    """(row, at): each row whole in one struct, so that no name can clash, and where it lies (file and place).
+
+    Places are those of Parquet files and stay the same whatever runs again; a table that does not lie in Parquet
+    files is written first.
+    """
+    try:
+        meta = df.metadataColumn("_metadata")
+        at = F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place"))
+        return df.select(F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("row"), at.alias("at"))
+    except AnalysisException:
+        return placed_rows(settled(df, name), name)
+
+
+def whole_rows(placed: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``placed_rows`` whose ``at`` is in the written table ``chosen``, which gives its other columns too.
+
+    The one shuffle of whole rows that a stage needs: they meet the narrow table by place, in hash maps of its
+    partitions. It is the same plan at every size, since the narrow table grows with the rows.
+    """
+    return placed.join(chosen.hint("shuffle_hash"), "at", how)
+
+
 def chosen_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``key``: those with the smallest ``h``, a 64-bit hash.
 
@@ -95,3 +120,22 @@ def worker_store(name: str) -> dict:
     """
     holder = sys.modules.setdefault("speechprep_worker_store", types.ModuleType("speechprep_worker_store"))
     return holder.__dict__.setdefault(name, {})
+
+
+class Shared:
+    """A broadcast, and what a worker makes of it once for all its tasks."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.broadcast = spark.sparkContext.broadcast(value)
+        self.id = str(self.broadcast._jbroadcast.id()) + spark.sparkContext.applicationId
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
+
+    def made(self, kind: str, make: Callable):
+        """``make(value)``, remembered; of one kind a worker holds the last only."""
+        store = worker_store(kind)
+        if self.id not in store:
+            store.clear()
+            store[self.id] = make(self.broadcast.value)
+        return store[self.id]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechprep.llm.common import SPACE, buckets, text_or_empty
+from speechprep.llm.common import SPACE, buckets, placed_rows, text_or_empty, whole_rows
 from speechprep.session import settled
 
 BLOCK_CHARS = 2048
@@ -40,9 +40,13 @@ def _named(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_chars: int = BLOCK_CHARS,
+    carry: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256, and ``at``, the column ``carry``.
 
     * Texts are equal when identical after white space is normalised; null counts as empty.
     * keep_id is the smallest doc_id of the group. A null doc_id is larger than any other; keep_id is null
@@ -54,7 +58,8 @@ def exact_dedup(
     """
     spark = df.sparkSession
     n_buckets = buckets(spark)
-    texts = df.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    at = F.lit(None) if carry is None else F.col(carry)
+    texts = df.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), at.alias("at"))
     blocks = texts.select(F.explode(_blocks(F.col("norm"), block_chars)).alias("block"))
     hashed = blocks.withColumn("h", F.xxhash64("block"))
     top = hashed.groupBy("h").count().orderBy(F.desc("count"), "h").limit(FREQUENT)
@@ -71,24 +76,24 @@ def exact_dedup(
         texts.withColumn("uid", F.monotonically_increasing_id())
         .withColumn("text_sha256", F.sha2(F.encode("norm", "utf-8"), 256))
         .withColumn("blocks", _blocks(F.col("norm"), block_chars))
-        .select("uid", "doc_id", "text_sha256", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
-        .withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
+        .select("uid", "doc_id", "text_sha256", "at", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
+        .withColumns({c: F.when(F.col("pos") == 0, F.col(c)) for c in ("text_sha256", "at")})
         .withColumn("h", F.xxhash64("block"))
         .join(F.broadcast(common), ["h", "block"], "left")
     )
     known = F.col("common_name").isNotNull()
     dealt = placed.select(
-        "uid", "doc_id", "text_sha256", "n", "pos", "common_name",
+        "uid", "doc_id", "text_sha256", "at", "n", "pos", "common_name",
         F.when(~known, F.col("block")).alias("block"),
         F.pmod(F.when(known, F.xxhash64("uid", "pos")).otherwise(F.col("h")), F.lit(n_buckets)).alias("bucket"),
     )
     level = settled(
         _named(dealt, ["block"], n_buckets)
         .withColumn("name", F.coalesce("common_name", "name"))
-        .drop("block", "bucket", "common_name"),
+        .drop("block", "bucket", "common_name", *(["at"] if carry is None else [])),
         "block-names",
     )
-    rows = level.filter("pos = 0").select("uid", "doc_id", "text_sha256")
+    rows = level.filter("pos = 0").select("uid", "doc_id", "text_sha256", *([] if carry is None else ["at"]))
     longest = level.agg(F.max("n")).first()[0] or 0
 
     finished = [level.filter("n = 1").select("uid", F.lit(0).alias("level"), "name")]
@@ -121,6 +126,7 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("uid") == F.col("keep_uid"), F.lit(True)).alias("kept"),
         "text_sha256",
+        *([] if carry is None else ["at"]),
     )
 
 
@@ -149,22 +155,11 @@ def _next_level(level: DataFrame, n_buckets: int) -> DataFrame:
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose copy is the one that stays, with all their columns.
 
-    Copies that share even their doc_id are told apart by nothing: one of them stays, whichever.
+    Copies that share even their doc_id are told apart by nothing: one of them stays, whichever. Decided on narrow
+    rows; whole rows are shuffled once.
     """
-    found = exact_dedup(df, id_col, text_col)
-    gone = settled(
-        found.groupBy("doc_id", "text_sha256")
-        .agg(F.count("*").alias("rows_"), F.max("kept").alias("stays_"))
-        .filter("rows_ > 1 or not stays_"),
-        "copies",
-    )
-    sha = F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256)
-    marked = df.alias("d").withColumn("sha_", sha).join(
-        gone.alias("g"),
-        F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")) & (F.col("sha_") == F.col("g.text_sha256")),
-        "left",
-    )
-    columns = [F.col(f"d.{c}") for c in df.columns]
-    single = marked.filter("rows_ is null").select(*columns)
-    again = marked.filter("stays_").select(*columns, "sha_")
-    return single.unionByName(again.dropDuplicates([id_col, "sha_"]).drop("sha_"))
+    placed = placed_rows(df, "exact-input")
+    narrow = placed.select("at", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text"))
+    found = exact_dedup(narrow, carry="at")
+    stays = settled(found.filter("kept").select("at"), "exact-kept")
+    return whole_rows(placed, stays).select("row.*")

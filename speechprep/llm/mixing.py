@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechprep.llm.common import positioned, word_count
+from speechprep.llm.common import placed_rows, positioned, whole_rows, word_count
 from speechprep.session import settled
 
 WEIGHTS = (1, 2, 3)
@@ -49,8 +49,9 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     seed: str = SEED,
+    carry: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``df``: doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of ``df``: doc_id, source, size, source_size, target, copies, taken, and ``at``, the column ``carry``.
 
     Sizes are words (null: 0). Sources in code point order, null last, weigh 1, 2, 3, 1, ...; see
     ``source_targets``. Each document of a source expects target / source_size copies. Along the documents
@@ -66,6 +67,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(text_col)).alias("text_hash"),
+            *([] if carry is None else [F.col(carry).alias("at")]),
         ),
         "mix-sizes",
     )
@@ -92,28 +94,19 @@ def mix_sources(
         .select(
             "doc_id", "source", "text_hash", "size", "source_size", "target", "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
+            *([] if carry is None else ["at"]),
         )
     )
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``df`` as many times as it is drawn, with all its columns."""
-    drawn = mix_sources(df, id_col, text_col, source_col)
-    # Rows alike in id, source and text share what they are drawn, dealt over their numbers.
-    chosen = settled(
-        drawn.groupBy("doc_id", "source", "text_hash")
-        .agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_")),
-        "mix-drawn",
-    )
-    keys = [
-        F.col(f"d.{id_col}").eqNullSafe(F.col("c.doc_id")),
-        F.col(f"d.{source_col}").eqNullSafe(F.col("c.source")),
-        F.xxhash64(F.col(f"d.{text_col}")).eqNullSafe(F.col("c.text_hash")),
-    ]
-    found = df.alias("d").join(chosen.alias("c"), keys[0] & keys[1] & keys[2])
-    columns = [F.col(f"d.{c}") for c in df.columns]
-    single = found.filter("rows_ = 1").select(*columns, F.col("copies_").alias("times_"))
-    several = found.filter("rows_ > 1").select(*columns, "copies_", "rows_")
-    alike = several.dropDuplicates([id_col, source_col, text_col]).drop("rows_")
-    drawn_rows = single.unionByName(alike.withColumnRenamed("copies_", "times_")).filter("times_ > 0")
-    return drawn_rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).drop("copy_", "times_")
+    """The mix itself: each row of ``df`` as many times as it is drawn, with all its columns.
+
+    Drawn on narrow rows; whole rows are shuffled once.
+    """
+    placed = placed_rows(df, "mix-input")
+    names = {"doc_id": id_col, "text": text_col, "source": source_col}
+    narrow = placed.select("at", *[F.col("row")[c].alias(name) for name, c in names.items()])
+    drawn = mix_sources(narrow, carry="at").filter("copies > 0").select("at", "copies")
+    chosen = whole_rows(placed, settled(drawn, "mix-drawn"), "inner")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

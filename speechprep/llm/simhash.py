@@ -17,7 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from speechprep.llm.common import placed_rows, whole_rows
 from speechprep.llm.components import components
 from speechprep.session import settled
 
@@ -48,26 +50,31 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and text_hash, one row per row."""
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: str | None = None
+) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and text_hash, one row per row; ``at`` is the column ``carry``."""
+    kept = ["doc_id", "text_hash"] + ([] if carry is None else ["at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(marks)], ["doc_id", "text_hash", "fp"]
-            )
+            marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(marks)], [*kept, "fp"])
 
     rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"),
+        *([] if carry is None else [F.col(carry).alias("at")]),
     )
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema, T.StructField("fp", T.LongType())]))
 
 
-def bucket_bits(n: int) -> list[int]:
-    """The bit positions that choose a bucket, spread over the fingerprint; more for more fingerprints."""
-    count = max(0, int(n * BALL / AT_ONCE).bit_length())
-    return [BITS * k // count for k in range(count)]
+def bucket_bits(marks: DataFrame, at_once: int = AT_ONCE) -> list[int]:
+    """The bit positions that choose a bucket: more for more fingerprints, and those that part them most evenly."""
+    bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1).cast("long"))
+    row = marks.agg(F.count("*").alias("n"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(BITS)]).first()
+    count = max(0, int(row.n * BALL / at_once).bit_length())
+    even = sorted(range(BITS), key=lambda k: (abs(2 * (row[f"b{k}"] or 0) - row.n), k))
+    return sorted(even[:count])
 
 
 def _bucket(bits: list[int]) -> Column:
@@ -91,50 +98,59 @@ def _meet(fps: np.ndarray, bucket: int, bits: list[int], at_once: int) -> tuple[
     Members of one variant are all within the radius of each other, so each is linked to the smallest; of all
     links of the bucket a forest is returned.
     """
-    rest = [b for b in range(BITS) if b not in set(bits)]
-    chosen = np.uint64(sum(1 << b for b in bits))
-    here = np.uint64(sum(1 << b for k, b in enumerate(bits) if bucket >> k & 1))
-    away = np.bitwise_count((fps & chosen) ^ here)
-    base = (fps & ~chosen) | here
-    groups = []
-    for d in range(HALF + 1):
-        owners = np.flatnonzero(away == d)
-        groups.append((owners, np.array(_flips(rest, HALF - d), np.uint64)))
-    total = sum(len(o) * len(m) for o, m in groups)
-    slices = -(-total // at_once)
     label = np.arange(len(fps))
-    for s in range(slices):
-        made, owner = [], []
-        for owners, masks in groups:
-            step = max(1, at_once // len(masks))
-            for at in range(0, len(owners), step):
-                some = owners[at : at + step]
-                variant = (base[some][:, None] ^ masks[None, :]).ravel()
-                whose = np.repeat(some, len(masks))
-                if slices > 1:  # equal variants fall into the same slice
-                    keep = (variant * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices) == s
-                    variant, whose = variant[keep], whose[keep]
-                made.append(variant)
-                owner.append(whose)
-        variant, whose = np.concatenate(made), np.concatenate(owner)
-        order = np.argsort(variant)
-        variant, whose = variant[order], whose[order]
-        same = variant[1:] == variant[:-1]
-        if not same.any():
-            continue
-        inside = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        first = inside & ~np.concatenate([[False], same])
-        whose, first = whose[inside], first[inside]
-        starts = np.flatnonzero(first)
-        smallest = np.minimum.reduceat(whose, starts)[np.cumsum(first) - 1]
-        pairs = np.unique(whose * len(fps) + smallest)
-        a, b = pairs // len(fps), pairs % len(fps)
-        near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS)
-        label = _join(label, a[near], b[near])
+    here = sum(1 << b for k, b in enumerate(bits) if bucket >> k & 1)
+    for a, b in _variants(fps, np.arange(len(fps)), bits, here, at_once):
+        label = _join(label, a, b)
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return moved, label[moved]
 
 
+def _variants(
+    fps: np.ndarray, own: np.ndarray, bits: list[int], here: int, at_once: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the fingerprints ``own`` that share a variant with these bits as in ``here``.
+
+    Too many variants to sort at once are parted by one more bit, the one that parts the fingerprints most evenly, so
+    that each variant is made once however crowded a bucket is.
+    """
+    chosen = np.uint64(sum(1 << b for b in bits))
+    away = np.bitwise_count((fps[own] & chosen) ^ np.uint64(here))
+    rest = [b for b in range(BITS) if b not in set(bits)]
+    left = [own[away == d] for d in range(HALF + 1)]
+    sizes = [sum(comb(len(rest), k) for k in range(HALF - d + 1)) for d in range(HALF + 1)]
+    total = sum(len(o) * n for o, n in zip(left, sizes))
+    own = np.concatenate(left)
+    if len(own) < 2:
+        return
+    if total > at_once and len(rest) > HALF:
+        set_bits = [int((fps[own] >> np.uint64(b) & np.uint64(1)).sum()) for b in rest]
+        more = rest[int(np.argmin(np.abs(2 * np.array(set_bits) - len(own))))]
+        yield from _variants(fps, own, [*bits, more], here, at_once)
+        yield from _variants(fps, own, [*bits, more], here | 1 << more, at_once)
+        return
+    made, owner = [], []
+    for d, owners in enumerate(left):
+        masks = np.array(_flips(rest, HALF - d), np.uint64)
+        made.append((((fps[owners] & ~chosen) | np.uint64(here))[:, None] ^ masks[None, :]).ravel())
+        owner.append(np.repeat(owners, len(masks)))
+    variant, whose = np.concatenate(made), np.concatenate(owner)
+    order = np.argsort(variant)
+    variant, whose = variant[order], whose[order]
+    same = variant[1:] == variant[:-1]
+    if not same.any():
+        return
+    inside = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    first = inside & ~np.concatenate([[False], same])
+    whose, first = whose[inside], first[inside]
+    starts = np.flatnonzero(first)
+    smallest = np.minimum.reduceat(whose, starts)[np.cumsum(first) - 1]
+    pairs = np.unique(whose * len(fps) + smallest)
+    a, b = pairs // len(fps), pairs % len(fps)
+    near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS)
+    yield a[near], b[near]
+
+
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Merge the trees of each pair: labels become the smallest of a component."""
     while True:
@@ -152,9 +168,9 @@ def near_links(marks: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """Links (a, b) that connect all fingerprints of ``marks`` (distinct ``fp``) within the radius.
 
     Rows grow with the fingerprints times the variants of a bucket number; a bucket's fingerprints stay about
-    as many at any size, since buckets grow in number with the table. A crowded bucket is worked off in slices.
+    as many at any size, since buckets grow in number with the table. A crowded bucket is parted by further bits.
     """
-    bits = bucket_bits(marks.count() * AT_ONCE // at_once)
+    bits = bucket_bits(marks, at_once)
     masks = F.array(*[F.lit(m).cast("long") for m in _flips(list(range(len(bits))), HALF)])
     dealt = marks.select("fp", F.explode(masks).alias("mask")).select(
         _bucket(bits).bitwiseXOR(F.col("mask")).alias("bucket"), "fp"
@@ -170,9 +186,9 @@ def near_links(marks: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
 
 
 def simhash_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: str | None = None
 ) -> DataFrame:
-    """One row per row of ``df``: doc_id, text_hash, fp, root, component_id.
+    """One row per row of ``df``: doc_id, text_hash, fp, root, component_id, and ``at``, the column ``carry``.
 
     Texts are lower-cased (A-Z); shingles of words are hashed with XXH64 (seed 42), repeats included; texts
     with fewer words are one shingle, and texts without words, null included, have fingerprint 0 and are linked
@@ -180,7 +196,7 @@ def simhash_groups(
     that links lead to, null only if none there has one. Equal texts share a fingerprint and are worked on
     once. An empty table gives an empty result; other columns are not read.
     """
-    rows = settled(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    rows = settled(fingerprints(df, id_col, text_col, shingle, carry), "fingerprints")
     marks = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     links = settled(near_links(marks.select("fp")), "near-links")
     groups = components(links).select(F.col("node").alias("fp"), "root")
@@ -190,7 +206,8 @@ def simhash_groups(
     smallest = settled(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
     known = settled(rooted.join(smallest, "root").select("fp", "root", "component_id"), "groups-by-fingerprint")
     # A fingerprint of very many copies is split by the adaptive skew join: both sides are written tables.
-    return rows.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    shown = ["doc_id", "text_hash", "fp", "root", "component_id"]
+    return rows.join(known, "fp").select(*shown, *([] if carry is None else ["at"]))
 
 
 def hex_digits(fp: Column | str) -> Column:
@@ -200,28 +217,13 @@ def hex_digits(fp: Column | str) -> Column:
 def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """The row with the smallest doc_id of each group (null last; ties by a hash of the text), with all columns."""
-    found = settled(simhash_groups(df, id_col, text_col, shingle), "near-groups")
-    return one_of_each(df, found, id_col, text_col)
-
-
-def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of ``df`` with the smallest doc_id of each root; ``found`` (written) has doc_id, text_hash and root."""
-    last = F.lit(2**63 - 1)
-    order = F.struct(F.coalesce("doc_id", last).alias("key"), F.col("text_hash").alias("hash"))
-    # text_hash of a null text is the seed, never null.
-    stays = settled(found.groupBy("root").agg(F.min(order).alias("o")).select("o.*"), "near-kept")
-    many = settled(
-        found.select(F.coalesce("doc_id", last).alias("key"), F.col("text_hash").alias("hash"))
-        .groupBy("key", "hash").agg(F.count("*").alias("rows_")).filter("rows_ > 1"),
-        "near-repeated",
-    )
-    stays = settled(stays.join(many, ["key", "hash"], "left"), "near-stays")
-    kept = df.alias("d").join(
-        stays.alias("s"),
-        (F.coalesce(F.col(f"d.{id_col}").cast("long"), last) == F.col("s.key"))
-        & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("s.hash")),
-    )
-    columns = [F.col(f"d.{c}") for c in df.columns]
-    single = kept.filter("rows_ is null").select(*columns)
-    return single.unionByName(kept.filter("rows_ > 1").select(*columns).dropDuplicates([id_col, text_col]))
+    """The row with the smallest doc_id of each group (null last; ties by a hash of the text), with all columns.
+
+    Decided on narrow rows; whole rows are shuffled once. Of rows alike in id and text any one stays.
+    """
+    placed = placed_rows(df, "near-input")
+    narrow = placed.select("at", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text"))
+    found = simhash_groups(narrow, shingle=shingle, carry="at")
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "text_hash", "at")
+    first = found.groupBy("root").agg(F.min(order).alias("o"))
+    return whole_rows(placed, settled(first.select("o.at"), "near-kept")).select("row.*")
