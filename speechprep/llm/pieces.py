@@ -27,14 +27,18 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechprep.llm.common import worker_store
+from speechprep.llm.common import Shared
 from speechprep.session import settled
 
 MARK = "▁"
 #: Words: a run of spaces with what follows it, or what follows no space; line breaks stand alone.
 WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: How many units are sent to the tasks, and how long they may be; a task remembers so many more, and so many words.
-SENT, SENT_CHARS, REMEMBERED, WORDS_REMEMBERED = 200_000, 48, 500_000, 250_000
+#: How many units are sent to the tasks, and how long they may be.
+SENT, SENT_CHARS = 200_000, 48
+#: Bytes of further units and of words that a worker remembers, about: ENTRY for each and what it holds.
+UNIT_BYTES, WORD_BYTES, ENTRY = 72 << 20, 36 << 20, 180
+#: Bytes of ids in a batch that leaves a task.
+OUT_BYTES = 4 << 20
 #: Words that a task counts before it hands its counts on.
 COUNTED = 400_000
 MOST_PIECES = 1_000_000
@@ -193,8 +197,8 @@ def lattice_encode(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def split_words(text: str) -> list[str]:
-    """The words of a text, spaces kept; the text starts as if a space stood before it."""
-    return WORD.findall(" " + text) if text else []
+    """The words of a text, spaces kept; the text starts as if a space stood before it. The mark is a space."""
+    return WORD.findall(" " + text.replace(MARK, " ")) if text else []
 
 
 def unit_counts(texts: DataFrame, units: re.Pattern) -> DataFrame:
@@ -249,14 +253,16 @@ class Units(dict):
 
     def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
         super().__init__(sent)
-        self.pieces, self.sent = pieces, sent
+        self.pieces, self.sent, self.held = pieces, sent, 0
 
     def __missing__(self, unit: str) -> bytes:
         packed = pack(self.pieces, fold(self.pieces, unit))
         if len(unit) <= SENT_CHARS:
-            if len(self) >= len(self.sent) + REMEMBERED:
+            self.held += ENTRY + len(unit) + len(packed)
+            if self.held > UNIT_BYTES:
                 self.clear()
                 self.update(self.sent)
+                self.held = 0
             self[unit] = packed
         return packed
 
@@ -266,13 +272,15 @@ class Encoder(dict):
 
     def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
         super().__init__()
-        self.pieces, self.units = pieces, Units(pieces, sent)
+        self.pieces, self.units, self.held = pieces, Units(pieces, sent), 0
 
     def __missing__(self, word: str) -> bytes:
         packed = b"".join(map(self.units.__getitem__, self.pieces.units.findall(word.replace(" ", MARK))))
         if len(word) <= SENT_CHARS:
-            if len(self) >= WORDS_REMEMBERED:
+            self.held += ENTRY + len(word) + len(packed)
+            if self.held > WORD_BYTES:
                 self.clear()
+                self.held = 0
             self[word] = packed
         return packed
 
@@ -286,31 +294,6 @@ def decode(pieces: Pieces, ids: np.ndarray) -> str:
     return joined[1:] if joined.startswith(" ") else joined
 
 
-def _encoder(shared) -> Encoder:
-    """One for the life of a worker and the broadcast it came from."""
-    store = worker_store("piece_encoders")
-    if shared.id not in store:
-        store.clear()
-        model, sent = shared.value
-        store[shared.id] = Encoder(Pieces(model), sent)
-    return store[shared.id]
-
-
-class _Shared:
-    """A broadcast with a key that tasks can compare."""
-
-    def __init__(self, spark: SparkSession, value):
-        self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = str(self.broadcast._jbroadcast.id()) + spark.sparkContext.applicationId
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", most: int = SENT) -> DataFrame:
     """doc_id and ids (array<int>), one row per row of ``df``. Null and empty texts have no ids.
 
@@ -318,10 +301,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     characters that are no piece are spelt in bytes. Repeated rows get equal ids. Other columns are not read.
     Counting units and encoding the frequent ones are jobs that run when this is called.
     """
-    return _with_encoder(
-        df, model, id_col, text_col, most, "doc_id long, ids array<int>",
-        lambda encoder, text: {"ids": np.frombuffer(encoder.encode(text), "<i4")},
-    )
+    return _with_encoder(df, model, id_col, text_col, most, "doc_id long, ids array<int>", None)
 
 
 def encode_digest(
@@ -333,11 +313,9 @@ def encode_digest(
     that hold the mark itself (U+2581) decode to spaces there, and so do not come back.
     """
 
-    def digest(encoder: Encoder, text: str) -> dict:
-        packed = encoder.encode(text)
-        ids = np.frombuffer(packed, "<i4")
-        back = decode(encoder.pieces, ids)
-        return {"ids": ids, "n_pieces": len(packed) // 4, "ids_crc32": zlib.crc32(packed), "round_trip": back == text}
+    def digest(encoder: Encoder, text: str, packed: bytes) -> tuple:
+        back = decode(encoder.pieces, np.frombuffer(packed, "<i4"))
+        return len(packed) // 4, zlib.crc32(packed), back == text
 
     return _with_encoder(
         df, model, id_col, text_col, most,
@@ -345,19 +323,36 @@ def encode_digest(
     )
 
 
-def _with_encoder(df, model, id_col, text_col, most, schema, make) -> DataFrame:
+def _with_encoder(df, model, id_col, text_col, most, schema, digest) -> DataFrame:
+    """Encode whole texts in their tasks; ids stay packed until they leave as Arrow buffers, a few megabytes at once."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = _Shared(df.sparkSession, (model, encode_units(texts, Pieces(model), most)))
-    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
-    fields = pa.schema([(name, arrow[kind]) for name, kind in (part.split() for part in schema.split(", "))])
+    shared = Shared(df.sparkSession, (model, encode_units(texts, Pieces(model), most)))
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_()]
+
+    def table(docs: list, packed: list[bytes], more: list[tuple]) -> pa.RecordBatch:
+        ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+        columns = [pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), ids)]
+        columns += [pa.array(column, kind) for column, kind in zip(zip(*more), kinds)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = shared.made("piece_encoders", lambda value: Encoder(Pieces(value[0]), value[1]))
+        docs, packed, more, held = [], [], [], 0
         for batch in batches:
-            rows = [
-                {"doc_id": i.as_py()} | make(encoder, t.as_py() or "") for i, t in zip(batch.column(0), batch.column(1))
-            ]
-            yield pa.RecordBatch.from_pylist(rows, fields)
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                docs.append(doc.as_py())
+                packed.append(encoder.encode(text))
+                held += 64 + len(packed[-1])
+                if digest:
+                    more.append(digest(encoder, text, packed[-1]))
+                if held >= OUT_BYTES:
+                    yield table(docs, packed, more)
+                    docs, packed, more, held = [], [], [], 0
+        if docs:
+            yield table(docs, packed, more)
 
     return texts.mapInArrow(run, schema)
 
