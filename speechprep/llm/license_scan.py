@@ -4,8 +4,9 @@ Templates and texts are words (lower case, without punctuation). Hashes of k wor
 winnowing: of each window of w hashes the smallest is a fingerprint, so any k + w - 1 words that a text shares
 with a template share one. k and w follow from a template's length and the threshold: they are so small that words
 missing or changed anywhere, as many as the threshold allows, leave a fingerprint. An inverted index gives the
-templates and places of a fingerprint; hits on nearly the same diagonal are one candidate. The template is then
-aligned with the text around that diagonal, inside a band.
+templates and places of a fingerprint. Hits that go forward in text and template are chained, at a price for leaving the
+diagonal, and each chain is a candidate. The template is then aligned with the text along the chain: between two hits
+the band reaches from one to the other, so words may be missing or put in anywhere, one by one or in a block.
 """
 
 from __future__ import annotations
@@ -20,7 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechprep.llm.common import Shared
+
 K, WINDOW, BAND, LEAST = 3, 2, 8, 0.8
+#: Words that may lie between two hits of a chain: no more than this, nor than twice the template's length.
+GAP = 256
+#: What a word off the diagonal costs a chain, of one hit.
+SHIFT = 0.02
 #: Templates of at most so many words have all hashes of two words as fingerprints.
 SHORT = 12
 #: The index goes to every executor; more templates than this are refused.
@@ -135,12 +142,12 @@ class Index:
     def __init__(self, rows: list[tuple[str, str]], least: float = LEAST):
         self.number: dict[str, int] = {}
         self.names = [name for name, _ in rows]
-        self.templates, self.bands, self.needed = [], [], []
+        self.templates, self.gaps, self.needed = [], [], []
         self.places = defaultdict(lambda: defaultdict(list))
         for t, (_, text) in enumerate(rows):
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
             self.templates.append(ids)
-            self.bands.append(max(BAND, len(ids) // 16))
+            self.gaps.append(min(GAP, 2 * len(ids) + BAND))
             self.needed.append(needed(len(ids), least))
             kind = thinning(len(ids), least)
             for place, mark in winnowed(ids, *kind):
@@ -150,30 +157,49 @@ class Index:
         get = self.number.get
         return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of hits, those within half a band of each other taken together."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(template, chain of hits as rows of place and text place), as many as have the fingerprints needed."""
         hits = defaultdict(list)
         for kind, places in self.places.items():
             for at, mark in winnowed(ids, *kind):
                 for t, place in places.get(mark, ()):
-                    hits[t].append((at - place, place))
+                    hits[t].append((at, place))
         out = []
         for t in sorted(hits):
-            need, reach = self.needed[t], self.bands[t] // 2
-            if need > 1 and len({place for _, place in hits[t]}) < need:
-                continue
-            near = []
-            for diagonal, place in sorted(hits[t]) + [(np.inf, 0)]:
-                if near and diagonal - near[0][0] > reach:
-                    if need == 1:
-                        out.append((t, near[0][0]))
-                    elif 2 * len({p for _, p in near}) >= need:
-                        out.append((t, near[len(near) // 2][0]))  # the middle one: a long text drifts both ways
-                    near = []
-                near.append((diagonal, place))
+            if len({place for _, place in hits[t]}) >= self.needed[t]:
+                found = np.array(sorted(hits[t]))
+                least = max(1, self.needed[t] // 2)
+                out += [(t, c[:, ::-1]) for c in chains(found, self.gaps[t]) if len(c) >= least]
         return out
 
 
+def chains(hits: np.ndarray, gap: int) -> Iterator[np.ndarray]:
+    """Heaviest chains of hits (text place, template place), which are sorted; each hit is in one chain.
+
+    A chain goes forward in both, by ``gap`` words of the text at most. A hit counts 1, each word by which two hits in a
+    row are off the diagonal costs SHIFT.
+    """
+    at, place = hits[:, 0], hits[:, 1]
+    first = np.searchsorted(at, at - gap)
+    score, before = np.ones(len(hits)), np.full(len(hits), -1)
+    for i in range(len(hits)):
+        near = slice(first[i], i)
+        step, down = at[i] - at[near], place[i] - place[near]
+        good = score[near] - SHIFT * np.abs(step - down)
+        good[(step <= 0) | (down <= 0)] = 0
+        if len(good) and (best := good.argmax()) >= 0 and good[best] > 0:
+            score[i], before[i] = 1 + good[best], first[i] + best
+    used = np.zeros(len(hits), bool)
+    for end in np.argsort(-score, kind="stable"):
+        chain = []
+        while end >= 0 and not used[end]:
+            used[end] = True
+            chain.append(end)
+            end = before[end]
+        if chain:
+            yield hits[chain[::-1]]
+
+
 def _missing(n: int, least: float) -> int:
     """How many of n words may be missing or changed."""
     return n - int(np.ceil(n * least - 1e-9))
@@ -201,46 +227,66 @@ def needed(n: int, least: float = LEAST) -> int:
     return max(1, (n - 3 - 4 * _missing(n, least)) // 4) if thinning(n, least) == (K, WINDOW) else 1
 
 
-def align(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
-    """Matched places (template, text) of the best alignment inside the band around a diagonal.
+def align(template: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """Matched places (template, text) of the best alignment inside a band.
 
-    A match counts 1, a skipped word on either side costs a quarter; text before and after is free.
+    With i words of the template behind it, it is between ``low[i]`` and ``high[i]`` words into the text; neither
+    may fall. A match counts 1, a skipped word on either side costs a quarter; text before and after is free.
     """
-    width = 2 * band + 1
-    before = np.full(width + 2, -np.inf)
-    before[1:-1] = 0.0
-    step = np.zeros((len(template) + 1, width), np.int8)
-    across = 0.25 * np.arange(width)
+    low, high = np.clip(low, 0, len(ids)).tolist(), np.clip(high, 0, len(ids)).tolist()
+    score = np.zeros(high[0] - low[0] + 1)
+    steps = [np.zeros(len(score), np.int8)]
     for i in range(1, len(template) + 1):
-        at = diagonal + i - 1 - band + np.arange(width)
-        inside = (at >= 0) & (at < len(ids))
-        same = inside & (ids[np.clip(at, 0, len(ids) - 1)] == template[i - 1])
-        match = np.where(same, before[1:-1] + 1.0, -np.inf)
-        skip_template = before[2:] - 0.25
-        row = np.maximum(match, skip_template)
+        start, width, shift = low[i], high[i] - low[i] + 1, low[i] - low[i - 1]
+        # What the row before has at the same words of the text, and one word earlier.
+        same = np.full(width + 1, -np.inf)
+        there = score[max(0, shift - 1) :][: width + 1 - (shift == 0)]
+        same[1 if shift == 0 else 0 :][: len(there)] = there
+        words = ids[max(0, start - 1) : high[i]]
+        match = same[:-1].copy()
+        equal = words == template[i - 1]
+        if start == 0:
+            match[0] = -np.inf
+            match[1:][~equal] = -np.inf
+        else:
+            match[~equal] = -np.inf
+        match += 1.0
+        skip = same[1:] - 0.25
+        row = np.maximum(match, skip)
+        across = 0.25 * np.arange(width)
         skipped = np.maximum.accumulate(row + across) - across  # words of the text
-        step[i] = np.where(skipped > row, 3, np.where(match >= skip_template, 1, 2))
-        before = np.full(width + 2, -np.inf)
-        before[1:-1] = skipped
-    i, d = len(template), int(before[1:-1].argmax())
+        steps.append(np.where(skipped > row, 3, np.where(match >= skip, 1, 2)).astype(np.int8))
+        score = skipped
+    i, at = len(template), low[-1] + int(score.argmax())
     places = []
     while i > 0:
-        how = step[i, d]
+        if not low[i] <= at <= high[i]:
+            break
+        how = steps[i][at - low[i]]
         if how == 1:
-            places.append((i - 1, diagonal + i - 1 - band + d))
-            i -= 1
+            places.append((i - 1, at - 1))
+            i, at = i - 1, at - 1
         elif how == 2:
-            i, d = i - 1, d + 1
-            if d >= width:
-                break
+            i -= 1
         else:
-            d -= 1
+            at -= 1
     return places[::-1]
 
 
-def shared_words(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int) -> int:
+def band_along(chain: np.ndarray, n: int, gap: int, band: int = BAND) -> tuple[np.ndarray, np.ndarray]:
+    """The band of ``align`` along a chain (place, text place) in a template of n words."""
+    place, at = chain[:, 0], chain[:, 1]
+    rows = np.arange(n + 1)
+    after = np.searchsorted(place, rows)  # the first hit that is not before the row
+    # Before the first hit and behind the last one the text may have more words or fewer.
+    head, tail = int(place[0]), n - int(place[-1])
+    starts = np.concatenate([[at[0] - head - min(gap, head // 2)], at]) - band
+    ends = np.concatenate([at, [at[-1] + tail + min(gap, tail // 2)]]) + band
+    return starts[after], ends[after]
+
+
+def shared_words(template: np.ndarray, near: np.ndarray) -> int:
     """An upper bound on what ``align`` can match: words in common, in whatever order."""
-    near = ids[max(0, diagonal - band) : max(0, diagonal + len(template) + band)]
     there, n = np.unique(near, return_counts=True)
     wanted, most = np.unique(template, return_counts=True)
     _, at, of = np.intersect1d(there, wanted, assume_unique=True, return_indices=True)
@@ -267,11 +313,12 @@ def scan(text: str, index: Index, least: float = LEAST) -> list[dict]:
     if not hits:
         return []
     matches = []
-    for t, diagonal in hits:
+    for t, chain in hits:
         template = index.templates[t]
-        if shared_words(template, ids, diagonal, index.bands[t]) < least * len(template):
+        low, high = band_along(chain, len(template), index.gaps[t])
+        if shared_words(template, ids[max(0, low[0]) : high[-1]]) < least * len(template):
             continue
-        places = [at for _, at in align(template, ids, diagonal, index.bands[t])]
+        places = [at for _, at in align(template, ids, low, high)]
         if places and len(places) >= least * len(template):
             matches.append((t, len(places) / len(template), places))
     # Candidates of one template that found the same words: the fullest stays.
@@ -309,7 +356,8 @@ def license_scan(
     """One row for each notice found: doc_id, license, coverage, n_matched, start, end, spans.
 
     ``templates`` has (license, text), at most MOST_TEMPLATES rows; null ones are left out, and templates
-    without words are never found. A template is found where at least ``least`` of its words align; one
+    without words are never found. A template is found where at least ``least`` of its words align, with other words
+    between them or missing, a block of GAP words in one place at most (twice the template's words, if they are fewer); one
     text may hold many. Of matches of the same words only the fullest is given (see ``outermost``), so a notice inside
     a whole licence counts as part of it. Coverage is of the whole template. Offsets count code points of the text (of
     its lower-case form, should that have another length). Null and empty texts hold none. Repeated rows are
@@ -318,10 +366,10 @@ def license_scan(
     rows = templates.dropna().orderBy("license", "text").limit(MOST_TEMPLATES + 1).collect()
     if len(rows) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    shared = df.sparkSession.sparkContext.broadcast([(r.license, r.text) for r in rows])
+    shared = Shared(df.sparkSession, [(r.license, r.text) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, least)
+        index = shared.made("license_indexes", lambda rows: Index(rows, least))
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
