@@ -1,6 +1,8 @@
 """Quality by ordinal regression: one direction in hashed text, ordered thresholds for the grades.
 
-P(grade >= k) = sigmoid(w . x - t_k) with t_1 < t_2 < ...: all grades share the weights.
+P(grade >= k) = sigmoid(w . x - t_k) with t_1 <= t_2 <= ...: all grades share the weights. The fit reads a bounded
+sample with as many texts of a rare grade as of a common one; each weighs what it stands for, and scale and
+thresholds are set anew on rows kept out of the fit, so that probabilities are those of the whole table.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ EXTRA = 3
 #: The bound on the rows that are fitted: so many of each grade.
 PER_GRADE = 1500
 EPOCHS, RATE, DECAY = 8, 0.5, 1e-5
+#: Steps of the calibration, and the share of sampled rows kept out for it: one in so many.
+ROUNDS, KEPT_OUT = 300, 4
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -43,32 +47,62 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def fit_ordinal(samples: list[tuple[np.ndarray, np.ndarray, int]], grades: int, seed: int = 5):
-    """Weights and ordered thresholds by stochastic gradient ascent with per-coordinate steps."""
+def _slopes(above: np.ndarray, grade: int) -> tuple[float, np.ndarray]:
+    """Of log P(grade): the derivatives by the score and by each threshold.
+
+    ``above`` is P(grade >= k) for k = 0 (1) to the number of grades (0).
+    """
+    p = max(above[grade] - above[grade + 1], 1e-9)
+    density = above * (1 - above)
+    by_cut = np.zeros(len(above) - 2)
+    if grade > 0:
+        by_cut[grade - 1] = -density[grade] / p
+    if grade < len(by_cut):
+        by_cut[grade] = density[grade + 1] / p
+    return 1 - above[grade] - above[grade + 1], by_cut
+
+
+def fit_ordinal(samples: list[tuple[np.ndarray, np.ndarray, int, float]], grades: int, seed: int = 5):
+    """Weights and ordered thresholds by stochastic gradient ascent with per-coordinate steps.
+
+    ``samples`` has positions, values, grade and how much the row weighs (1 on average).
+    """
     w = np.zeros((1 << GRAM_BITS) + EXTRA)
     seen = np.full_like(w, 1e-2)
     cuts = np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
     order = np.random.default_rng(seed)
     for epoch in range(EPOCHS):
         for k in order.permutation(len(samples)):
-            used, values, grade = samples[k]
+            used, values, grade, weighs = samples[k]
             above = np.concatenate([[1.0], _sigmoid(values @ w[used] - cuts), [0.0]])
-            # The gradient of log(above[g] - above[g + 1]), for the logistic link.
-            slope = 1 - above[grade] - above[grade + 1]
-            g = slope * values - DECAY * w[used]
+            slope, by_cut = _slopes(above, grade)
+            g = weighs * slope * values - DECAY * w[used]
             seen[used] += g * g
             w[used] += RATE * g / np.sqrt(seen[used])
-            p = max(above[grade] - above[grade + 1], 1e-9)
-            step = RATE / 10 / (1 + epoch)
-            density = above * (1 - above)
-            if grade > 0:
-                cuts[grade - 1] -= step * min(density[grade] / p, 5.0)
-            if grade < grades - 1:
-                cuts[grade] += step * min(density[grade + 1] / p, 5.0)
-            cuts = np.maximum.accumulate(cuts + 1e-6 * np.arange(len(cuts)))
+            cuts = np.maximum.accumulate(cuts + RATE / 10 / (1 + epoch) * weighs * np.clip(by_cut, -5, 5))
     return w, cuts
 
 
+def calibrate(scores: np.ndarray, labels: np.ndarray, weighs: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray]:
+    """The scale of scores and the thresholds with the best weighted log likelihood, by gradient ascent.
+
+    Few numbers are fitted on rows that the weights have not seen. Their start holds if there is nothing to learn from.
+    """
+    scale, rate = 1.0, 0.5
+    seen = np.full(1 + len(cuts), 1e-2)
+    for _ in range(ROUNDS if len(scores) else 0):
+        above = _sigmoid(scale * scores[:, None] - cuts[None, :])
+        above = np.hstack([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))])
+        slopes = [_slopes(a, g) for a, g in zip(above, labels)]
+        by_score = np.array([s for s, _ in slopes]) * weighs
+        step = np.concatenate([[by_score @ scores], weighs @ np.array([c for _, c in slopes])]) / len(scores)
+        seen += step * step
+        step = rate * step / np.sqrt(seen)
+        scale = max(1e-3, scale + step[0])
+        cuts = np.maximum.accumulate(cuts + step[1:])
+    return scale, cuts
+
+
 def fit_quality(
     df: DataFrame,
     ratings: DataFrame,
@@ -79,6 +113,8 @@ def fit_quality(
 ):
     """Weights and thresholds from at most ``per_grade`` rated texts of each grade, chosen by a hash of the id.
 
+    A text weighs as many rated texts of its grade as it stands for.
+
     ``ratings`` has doc_id and a grade from 0; null ids or grades are left out, and of several grades for one id
     the smallest counts. An id that several rows share is fitted once. (None, none) without two grades.
     """
@@ -106,9 +142,21 @@ def fit_quality(
     labels = got.column("grade").to_pylist()
     if len(set(labels)) < 2:
         return None, np.zeros(0)
+    # One number for each grade that was sampled.
+    rated_in_all = {r.grade: r["count"] for r in graded.filter(F.col("grade").isin(list(set(labels)))).groupBy("grade").count().collect()}
+    stands_for = {g: rated_in_all[g] / labels.count(g) for g in set(labels)}
+    mean = sum(rated_in_all.values()) / len(labels)
     used, value = got.column("used").combine_chunks(), got.column("value").combine_chunks()
-    samples = [(used[k].values.to_numpy(), value[k].values.to_numpy(), g) for k, g in enumerate(labels)]
-    return fit_ordinal(samples, max(labels) + 1)
+    samples = [
+        (used[k].values.to_numpy(), value[k].values.to_numpy(), g, stands_for[g] / mean) for k, g in enumerate(labels)
+    ]
+    fit, apart = [s for k, s in enumerate(samples) if k % KEPT_OUT], samples[::KEPT_OUT]
+    if len({s[2] for s in fit}) < len(set(labels)) or len({s[2] for s in apart}) < len(set(labels)):
+        return fit_ordinal(samples, max(labels) + 1)  # too few to keep any out
+    w, cuts = fit_ordinal(fit, max(labels) + 1)
+    scores = np.array([x @ w[at] for at, x, _, _ in apart])
+    scale, cuts = calibrate(scores, np.array([s[2] for s in apart]), np.array([s[3] for s in apart]), cuts)
+    return w * scale, cuts
 
 
 def tails(model, text: str | None) -> np.ndarray:
