@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Weights are learned by follow-the-regularised-leader with an elastic-net penalty on a bounded sample of labelled
-rows; document frequencies come from all rows that may be learned from; a temperature fitted on rows kept out of
-the fit calibrates the probabilities.
+rows; document frequencies come from all rows that may be learned from. Rows kept out of the fit choose the penalty, the
+strongest that loses next to nothing there, and a temperature that calibrates the probabilities. Weights are kept as
+sparse rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechprep.llm.common import chosen_by_hash
@@ -22,7 +23,9 @@ ORDERS, GRAM_BITS = (1, 2, 3), 15
 #: The bound on the rows that are fitted: so many of each language, and so many in all (then fewer of each, but not
 #: fewer than LEAST_ROWS). Every language is fitted.
 PER_LANGUAGE, FITTED, LEAST_ROWS = 800, 8000, 30
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-4
+EPOCHS, ALPHA, BETA, L2 = 3, 0.5, 1.0, 1e-4
+#: Penalties on the size of weights that are tried, strongest first, and the log loss that a stronger one may add.
+PENALTIES, SLACK = (3.0, 1.0, 0.3, 0.1, 0.01), 0.01
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -62,13 +65,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed: int = 7) -> np.ndarray:
+def fit_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, l1: float, seed: int = 7) -> np.ndarray:
     """Weights (bucket, class) by per-coordinate follow-the-regularised-leader."""
     z = np.zeros((1 << GRAM_BITS, classes))
     n = np.zeros_like(z)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
+        return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -84,17 +87,50 @@ def fit_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, se
     return weights(z, n)
 
 
+class SparseRows:
+    """Weights as rows of (class, weight), zeros left out."""
+
+    def __init__(self, weights: np.ndarray):
+        rows, self.classes = np.nonzero(weights)
+        self.weights = weights[rows, self.classes]
+        self.ends = np.cumsum(np.bincount(rows, minlength=len(weights)))
+        self.count = weights.shape[1]
+
+    def logits(self, used: np.ndarray, values: np.ndarray) -> np.ndarray:
+        ends = self.ends[used]
+        starts = np.where(used > 0, self.ends[used - 1], 0)
+        sizes = ends - starts
+        before = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+        return np.bincount(self.classes[at], np.repeat(values, sizes) * self.weights[at], self.count)
+
+
+def fit_languages(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> SparseRows:
+    """Weights under the strongest penalty whose log loss on the rows kept out is within SLACK of the best one's,
+    divided by the temperature that fits there."""
+    fit, kept_out = [s for k, s in enumerate(samples) if k % 5], samples[::5]
+    labels = np.array([y for *_, y in kept_out], int)
+    tried = []
+    for l1 in PENALTIES:
+        weights = fit_ftrl(fit or samples, classes, l1)
+        logits = np.array([v @ weights[u] for u, v, _ in kept_out]).reshape(len(kept_out), classes)
+        temperature = fit_temperature(logits, labels)
+        tried.append((log_loss(logits / temperature, labels), weights / temperature))
+    least = min(loss for loss, _ in tried)
+    return SparseRows(next(weights for loss, weights in tried if loss <= least + SLACK))
+
+
+def log_loss(logits: np.ndarray, labels: np.ndarray) -> float:
+    top = logits.max(axis=1)
+    return float(np.mean(top + np.log(np.exp(logits - top[:, None]).sum(axis=1)) - logits[np.arange(len(labels)), labels]))
+
+
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """The divisor of logits with the least log loss, searched on a fine grid of powers."""
     if not len(labels):
         return 1.0
 
-    def loss(t: float) -> float:
-        scaled = logits / t
-        top = scaled.max(axis=1)
-        return float(np.mean(top + np.log(np.exp(scaled - top[:, None]).sum(axis=1)) - scaled[np.arange(len(labels)), labels]))
-
-    return float(min(np.exp2(np.linspace(-5, 5, 201)), key=loss))
+    return float(min(np.exp2(np.linspace(-5, 5, 201)), key=lambda t: log_loss(logits / t, labels)))
 
 
 def _sample(rows: DataFrame, per_language: int) -> DataFrame:
@@ -103,9 +139,11 @@ def _sample(rows: DataFrame, per_language: int) -> DataFrame:
     per_language = min(per_language, max(LEAST_ROWS, FITTED // max(1, languages)))
     narrow = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("fit")).alias("h")).distinct()
     chosen = chosen_by_hash(narrow, "lang", per_language)
-    # At most FITTED rows of two numbers and a name, or LEAST_ROWS for each language; an id that several rows share
-    # is fitted once in a language.
-    return rows.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    # At most FITTED rows of two numbers and a name, or LEAST_ROWS for each language; of several rows that share an id
+    # one is fitted in a language, the one with the smallest hash of the text.
+    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"])
+    first = Window.partitionBy("doc_id", "lang").orderBy(F.xxhash64("text"))
+    return found.withColumn("first_", F.row_number().over(first)).filter("first_ = 1").drop("first_")
 
 
 def language_id(
@@ -154,12 +192,9 @@ def language_id(
         (used[k].values.to_numpy(), value[k].values.to_numpy(), number[lang])
         for k, lang in enumerate(got.column("lang").to_pylist())
     ]
-    fit, kept_out = [s for k, s in enumerate(samples) if k % 5], samples[::5]
-    weights = fit_ftrl(fit or samples, len(names))
-    logits = np.array([v @ weights[u] for u, v, _ in kept_out]).reshape(len(kept_out), len(names))
-    temperature = fit_temperature(logits, np.array([y for *_, y in kept_out], int))
-    weights = weights / temperature
-    shared = df.sparkSession.sparkContext.broadcast((idf, weights, names))  # buckets times languages
+    weights = fit_languages(samples, len(names))
+    # The weights that are not zero: at most buckets times languages.
+    shared = df.sparkSession.sparkContext.broadcast((idf, weights, names))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, weights, names = shared.value
@@ -172,7 +207,7 @@ def language_id(
                     scores.append(0.0)
                     continue
                 used, values = _weighted(text, idf)
-                p = _softmax(values @ weights[used])
+                p = _softmax(weights.logits(used, values))
                 tags.append(names[int(p.argmax())])
                 scores.append(float(p.max()))
             yield pa.RecordBatch.from_arrays(
