@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, and a mixture model weighs them.
 
 Each rule looks at one feature of a text and votes good, bad, or abstains. Expectation-maximisation over the
-counts of vote patterns estimates how often each rule's votes are right; the posterior of a text's pattern
-replaces the demand that all rules pass.
+counts of vote patterns estimates how many texts are good and how often each rule's votes are right; the posterior of a
+text's pattern replaces the demand that all rules pass.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ GOOD, BAD, ABSTAIN = 1, 0, -1
 #: Where estimation starts, pseudo-counts of right and wrong votes, and the range that accuracies keep to: a rule
 #: is trusted more than a coin and never fully.
 START, RIGHT, WRONG, RANGE = 0.9, 9.0, 1.0, (0.55, 0.99)
+#: The range that the share of good texts keeps to.
+PRIOR = (0.05, 0.95)
 ROUNDS = 50
 
 
@@ -115,33 +117,47 @@ def rule_votes() -> dict[str, Column]:
         "lines": vote((share("n_dup_lines", "n_lines") > 0.3) & (F.col("n_dup_lines") > 2)),
         "repeats": vote(long_enough & (share("n_repeat_words", "n_words") > 0.15)),
         "variety": vote(long_enough & (share("n_distinct", "n_words") < 0.1)),
-        "length": vote((length < 2) | (length > 20)),
+        "length": vote((length < 2) | (length > 20), length.between(3, 12)),
     }
 
 
-def fit_accuracies(patterns: list[dict], rules: list[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """How often each rule's votes are right, by expectation-maximisation.
+def fit_accuracies(
+    patterns: list[dict], rules: list[str], rounds: int = ROUNDS
+) -> tuple[dict[str, float], float]:
+    """How often each rule's votes are right, and the share of good texts, by expectation-maximisation.
 
     ``patterns`` has the distinct vote patterns with their counts ``n``: at most 3 to the number of rules,
-    whatever the corpus. Good and bad weigh alike before any vote; abstaining says nothing.
+    whatever the corpus. Abstaining says nothing. The share keeps to PRIOR.
     """
-    accuracy = dict.fromkeys(rules, START)
+    accuracy, prior = dict.fromkeys(rules, START), 0.5
     for _ in range(rounds):
         right, voted = dict.fromkeys(rules, RIGHT), dict.fromkeys(rules, RIGHT + WRONG)
+        good_texts, texts = 1.0, 2.0
         for pattern in patterns:
-            cast = [r for r in rules if pattern[r] != ABSTAIN]
-            odds = sum((2 * pattern[r] - 1) * math.log(accuracy[r] / (1 - accuracy[r])) for r in cast)
-            good = 1 / (1 + math.exp(-odds))
-            for r in cast:
-                voted[r] += pattern["n"]
-                right[r] += pattern["n"] * (good if pattern[r] == GOOD else 1 - good)
+            good = good_given(pattern, accuracy, prior)
+            good_texts += pattern["n"] * good
+            texts += pattern["n"]
+            for r in rules:
+                if pattern[r] != ABSTAIN:
+                    voted[r] += pattern["n"]
+                    right[r] += pattern["n"] * (good if pattern[r] == GOOD else 1 - good)
         accuracy = {r: min(max(right[r] / voted[r], RANGE[0]), RANGE[1]) for r in rules}
-    return accuracy
+        prior = min(max(good_texts / texts, PRIOR[0]), PRIOR[1])
+    return accuracy, prior
 
 
-def posterior(accuracy: dict[str, float]) -> Column:
-    """Probability of being good given the vote columns."""
-    odds = F.lit(0.0)
+def good_given(pattern: dict, accuracy: dict[str, float], prior: float) -> float:
+    """Probability of being good given the votes of a pattern."""
+    odds = math.log(prior / (1 - prior))
+    for r, a in accuracy.items():
+        if pattern[r] != ABSTAIN:
+            odds += (2 * pattern[r] - 1) * math.log(a / (1 - a))
+    return 1 / (1 + math.exp(-odds))
+
+
+def posterior(accuracy: dict[str, float], prior: float) -> Column:
+    """``good_given`` the vote columns."""
+    odds = F.lit(math.log(prior / (1 - prior)))
     for r, a in accuracy.items():
         weight = math.log(a / (1 - a))
         odds = odds + F.when(F.col(r) == GOOD, weight).when(F.col(r) == BAD, -weight).otherwise(0.0)
@@ -162,7 +178,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     features = settled(text_features(df, id_col, text_col).withColumns(votes), "rule-votes")
     rules = list(votes)
     patterns = features.groupBy(*rules).agg(F.count("*").alias("n")).orderBy(*rules).collect()
-    p_good = posterior(fit_accuracies([row.asDict() for row in patterns], rules))
+    p_good = posterior(*fit_accuracies([row.asDict() for row in patterns], rules))
     return (
         features.withColumns({"base_failed": base_failed(), "p_good": p_good})
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
