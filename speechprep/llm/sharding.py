@@ -27,8 +27,9 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
         F.xxhash64(text).alias("tie_"),
     )
     line = positioned(rows, ["doc_id", "text_crc32", "size", "tie_"], ["size"], "shard-line")
-    middle = (2 * F.col("before_size") + F.col("size")).cast("decimal(38,0)")
-    cut = F.floor(middle * F.lit(shards) / (2 * F.col("total_size")).cast("decimal(38,0)"))
+    # Whole numbers, since a rounded quotient could pass a cut on very large totals.
+    middle = (2 * F.col("before_size") + F.col("size")).cast("decimal(27,0)") * F.lit(shards).cast("decimal(10,0)")
+    cut = F.call_function("div", middle, (2 * F.col("total_size")).cast("decimal(27,0)"))
     placed = line.withColumn("shard", F.least(cut, F.lit(shards - 1)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("idx").alias("first_"))
     return placed.join(F.broadcast(first), "shard").select(  # one row per shard
