@@ -35,7 +35,7 @@ from .standins import (
     DOCUMENT,
     document_codes,
     dequantiser,
-    echo,
+    echo_batch,
     ints,
     inventory,
     manifest_lines,
@@ -90,8 +90,9 @@ def manifest_strict(spark, sf):
 
 
 def write_manifests(spark: SparkSession, sf: str) -> str:
-    """Four folders of manifest files: all fields quoted; other columns in another order; whole texts with
-    their line breaks; and lines without quotes, where a comma in a sentence makes a row over-long."""
+    """Folders of manifest files: all fields quoted; other columns in another order; whole texts with
+    their line breaks; lines without quotes, where a comma in a sentence makes a row over-long; and the manifest lines
+    as they are, faults included, a file for each source."""
     folder = new_table_path(spark, "manifests")
     lines = named_lines(spark, sf).withColumnsRenamed({"name": "uuid"})
 
@@ -107,11 +108,13 @@ def write_manifests(spark: SparkSession, sf: str) -> str:
     plain = plain.filter((F.col("sentence") != "") & (text_fn.strip(F.col("sentence")) == F.col("sentence")))
     line = F.concat_ws(",", "uuid", "sentence").alias(HEADER)
     put(plain.select(line), "plain", sep="\x01", quote="\x00")
-    return folder
+    raw = manifest_lines(spark, sf).repartition("file").sortWithinPartitions("file", "pos")
+    raw.select("file", "line").write.partitionBy("file").text(f"{folder}/raw")
+    return f"{folder}/{{quoted,wide,whole,plain,raw/*}}"
 
 
 def shown_manifest(rows: DataFrame) -> DataFrame:
-    kind = F.regexp_extract("file", "/([a-z]+)/[^/]*$", 1)
+    kind = F.regexp_extract("file", "/([a-z]+)/(?:file=[^/]*/)?[^/]*$", 1)
     text = F.coalesce("text", F.lit(""))
     return rows.select(kind.alias("kind"), "audio", text.alias("text"), "reason")
 
@@ -119,7 +122,7 @@ def shown_manifest(rows: DataFrame) -> DataFrame:
 @query
 def manifest_files(spark, sf):
     """Manifest files with headers of several kinds, read by their own headers."""
-    rows = manifest.parse_manifest(spark, f"{write_manifests(spark, sf)}/*")
+    rows = manifest.parse_manifest(spark, write_manifests(spark, sf))
     return shown_manifest(rows.filter(F.coalesce(F.col("reason") != "skip", F.lit(True))))
 
 
@@ -144,10 +147,11 @@ def manifest_mode_select(spark, sf):
 
 @query
 def prompt_lines(spark, sf):
-    """Prompt files written from the conversations, read back without blank lines."""
+    """Prompt files written from the conversations, read back without blank lines and numbered."""
     path = new_table_path(spark, "prompts")
-    prompts(spark, sf).select("text").write.text(path)
-    return prompt_source.prompt_lines(spark, path=path).select("text")
+    asked = prompts(spark, sf).repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    asked.select("text").write.text(path)
+    return prompt_source.prompt_lines(spark, path=path)
 
 
 @query
@@ -238,7 +242,7 @@ def write_batches(spark, sf):
     path = new_table_path(spark, "slices")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     table_sink.write_batches(orders, path, 2000, "o_orderkey")
-    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, idx bigint, batch_id bigint"
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, batch_id bigint"
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
@@ -529,7 +533,7 @@ def cap_rows(spark, sf):
 
 @query
 def cap_rows_numbered(spark, sf):
-    """A cap too large for top-k: rows are numbered over all tasks."""
+    """A cap inside a large table."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return rows.cap_rows(orders, 12_000, "o_orderkey")
 
@@ -807,7 +811,7 @@ def apply_decoder(spark, sf):
 
 def generate(df: DataFrame) -> DataFrame:
     inputs = ["input_ids", "max_new_tokens", "top_p"]
-    return models.apply_generator(df, echo, inputs, without_top_p)
+    return models.apply_generator(df, echo_batch, inputs, without_top_p, budget=20_000)
 
 
 @query
@@ -826,7 +830,7 @@ def ingest_files(spark, sf):
     """Manifest files landed in a folder, taken in by a stream, read back."""
     target, marks = (new_table_path(spark, n) for n in ("taken", "marks"))
     landed = write_manifests(spark, sf)
-    incremental_ingest(spark, f"{landed}/*", target, marks).awaitTermination()
+    incremental_ingest(spark, landed, target, marks, files_per_trigger=16).awaitTermination()
     return shown_manifest(spark.read.parquet(target))
 
 
@@ -841,11 +845,46 @@ def shown(df: DataFrame) -> DataFrame:
 def prepare_manifest(spark, sf):
     """Manifest lines to training rows: parse, match audio, code, collapse, build."""
     kept = manifest.kept(parsed(spark, sf))
-    return shown(
-        training.prepare_manifest(
-            kept, inventory(spark, sf), with_codes, tokeniser(spark, sf), AUDIO_DIR
-        )
+    prepared = training.prepare_manifest(
+        kept, inventory(spark, sf), with_codes, tokeniser(spark, sf), AUDIO_DIR
+    )
+    return shown(prepared.rows)
+
+
+def faulty_codes(df: DataFrame) -> DataFrame:
+    """Codes of a sentence; one with a bar cannot be coded, and a short one was unreadable and is silence."""
+    barred = F.col("text").contains("|")
+    coded = with_codes(df)
+    return coded.withColumns(
+        {
+            "codes": F.when(~barred, F.col("codes")),
+            "decode_ok": F.length("text") >= 40,
+            "error": F.when(barred, "a table").when(F.length("text") < 40, "too short"),
+        }
+    )
+
+
+def prepared_with_faults(spark: SparkSession, sf: str) -> training.Prepared:
+    kept = manifest.kept(parsed(spark, sf))
+    words_known = tokeniser(spark, sf)
+    # A sentence in capitals has no ids.
+    told = lambda df: words_known(df).withColumn(
+        "text_ids", F.when(F.upper("text") != F.col("text"), F.col("text_ids"))
     )
+    return training.prepare_manifest(kept, inventory(spark, sf), faulty_codes, told, AUDIO_DIR)
+
+
+@query
+def prepare_faults(spark, sf):
+    """What went wrong while a manifest was prepared, row by row."""
+    return prepared_with_faults(spark, sf).faults.select("path", "text", "step", "error", "trained")
+
+
+@query
+def prepare_counts(spark, sf):
+    """How many rows passed each stage, counted while the manifest was prepared."""
+    counts = prepared_with_faults(spark, sf).funnel
+    return spark.createDataFrame(list(counts.items()), "stage string, n long")
 
 
 @query
@@ -879,11 +918,11 @@ def slice_orders(spark, sf):
     return slicing.slice_table(orders, path, ["o_orderkey"], 2000, 5000)
 
 
-@query
-def line_batch(spark, sf):
-    """Every line of every turn spoken into a file; the files that were written."""
-    settings = {"max_new_tokens": F.lit(1200), "top_p": F.lit(0.95)}
-    spoken = generation.line_batch(
+def spoken_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every line of every turn spoken; one line in seven, by its length, has no settings, and so fails."""
+    limit = F.when(F.length("text") % 7 != 0, 1200)
+    settings = {"max_new_tokens": limit, "top_p": F.lit(0.95)}
+    return generation.line_batch(
         prompts(spark, sf).withColumn("key", F.format_string("%d_%d", "conv_id", "turn")),
         "key",
         "text",
@@ -892,5 +931,17 @@ def line_batch(spark, sf):
         lambda df: models.apply_decoder(df, dequantiser),
         new_table_path(spark, "lines"),
     )
-    kept = spoken.select("path", "samples")
-    return table_sink.export_manifest(write_wavs(kept))
+
+
+@query
+def line_batch(spark, sf):
+    """Every line of every turn spoken into a file; the files that were written."""
+    spoken, _ = spoken_lines(spark, sf)
+    return table_sink.export_manifest(write_wavs(spoken.select("path", "samples")))
+
+
+@query
+def line_faults(spark, sf):
+    """The lines that could not be spoken, with the step that failed."""
+    _, faults = spoken_lines(spark, sf)
+    return faults

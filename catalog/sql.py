@@ -188,10 +188,8 @@ CTES = {
         select '/audio/' || name as path from named semi join labels using (doc_id)""",
     # Vocabulary.
     "vocab": f"""
-        select token, cast(min(item_id * 10000 + pos) as integer) as id from (
-            select item_id, unnest(w) as token, generate_subscripts(w, 1) as pos
-            from (select item_id, {words('text')} as w from benchmark)
-        ) group by token""",
+        select distinct token, ('0x' || md5(token)[1:7])::integer as id
+        from (select unnest({words('text')}) as token from benchmark)""",
     "doc_tokens": """
         select doc_id, lang, unnest(w) as token, generate_subscripts(w, 1) - 1 as pos
         from doc_words""",
@@ -291,6 +289,20 @@ CTES = {
             as ids
         from doc_collapsed join spoken_ids using (doc_id) where codes <> ''""",
     "found": "select *, audio as row from kept where '/audio/' || audio in (select path from inventory)",
+    "fated": """
+        select *, case when not there then 'find' when not coded then case when short then 'decode'
+                else 'encode' end when blank then 'encode' when not named then 'tokenise'
+                when short then 'decode' end as step,
+            case when not there then 'missing_file' when barred then 'a table'
+                when short then 'too short' end as error,
+            there and coded and not blank and named as trained
+        from (
+            select '/audio/' || audio as path, text, '/audio/' || audio in (select path from inventory)
+                    as there, not contains(text, '|') and '/audio/' || audio in
+                    (select path from inventory) as coded, trim(text) = '' as blank,
+                contains(text, '|') as barred, length(text) < 40 as short, upper(text) <> text as named
+            from kept
+        )""",
     "found_layers": layers_of("found", "row", "text"),
     "found_codes": codes_of("found_layers", "row"),
     "found_collapsed": collapsed_of("found_codes", "row"),
@@ -397,7 +409,9 @@ MANIFEST_FILES = f"""
         union all select 'plain', name, sentence from named
         where lower(name) like '%.wav' and name not like '%.WAV' and not contains(sentence, '"')
             and sentence <> '' and {strip("sentence")} = sentence
-    )"""
+    )
+    union all
+    select 'raw', audio, coalesce(text, ''), reason from parsed where reason is distinct from 'skip'"""
 
 SQL = {
     "manifest_files": MANIFEST_FILES,
@@ -406,7 +420,8 @@ SQL = {
     "manifest_header": "select file, line, coalesce(reason, 'data') as first_line_is"
     " from loose where first",
     "manifest_mode_select": "select file, doc_id, n, audio, text from kept",
-    "prompt_lines": "select text from block",
+    "prompt_lines": "select row_number() over (order by conv_id, turn, idx) - 1 as prompt_id, text"
+    " from block",
     "prompt_block_split": "select conv_id, turn, idx, text from block",
     "load_table": "select doc_id, text, 24000 as sampling_rate from documents where lang = 'fr'",
     "rows_to_table": f"select cast(vec_id as varchar) as text, {micros('samples')} as samples,"
@@ -424,8 +439,8 @@ SQL = {
     )
     + " as samples from waves",
     "resample": RESAMPLED,
-    "write_batches": "select *, idx // 2000 as batch_id from (select o_orderkey, o_custkey, o_orderstatus,"
-    " row_number() over (order by o_orderkey) - 1 as idx from orders)",
+    "write_batches": "select o_orderkey, o_custkey, o_orderstatus,"
+    " (row_number() over (order by o_orderkey) - 1) // 2000 as batch_id from orders",
     "write_training_table": training("doc_train"),
     "write_wavs_report": "select vec_id, 'vec_' || vec_id || '.wav' as file_name, true as ok,"
     " cast(null as varchar) as error from waves",
@@ -606,8 +621,22 @@ SQL = {
     "prompt_batches": f"select conv_id, turn, repeat('128263,', m - n) || input_ids as input_ids,"
     f" {mask('n', 'm')} as attention_mask from prompt_sized",
     "slice_orders": PLAN,
+    "prepare_faults": """
+        select path, text, step, error, trained from fated where step is not null""",
+    "prepare_counts": """
+        select unnest(['manifest_rows', 'audio_found', 'codes_not_null', 'codes_not_empty',
+                'frames_left', 'text_ids_not_null', 'undecodable', 'failed_rows']) as stage,
+            unnest([count(*), count(*) filter (there), count(*) filter (coded),
+                count(*) filter (coded and not blank), count(*) filter (coded and not blank),
+                count(*) filter (coded and not blank and named), count(*) filter (there and short),
+                count(*) filter (there and not trained)]) as n
+        from fated""",
     "line_batch": "select 'batch_' || printf('%03d', idx + 1) || '_'"
-    " || replace(substr(text, 1, 20), ' ', '_') || '.wav' as file_name from block",
+    " || replace(substr(text, 1, 20), ' ', '_') || '.wav' as file_name from block"
+    " where length(text) % 7 <> 0",
+    "line_faults": """
+        select conv_id || '_' || turn as key, idx, text, 'generate' as step,
+            'max_new_tokens' as error from block where length(text) % 7 = 0""",
     "generated_audio": f"""
         with recursive {slot_walk('cut')},
         relative as (
@@ -630,6 +659,7 @@ SQL = {name: sql(body) for name, body in SQL.items()}
 # Columns that are 32-bit in Spark; DuckDB counts and places are 64-bit.
 INTEGERS = {
     "prompt_block_split": ["idx"],
+    "line_faults": ["idx"],
     "filter_wav": ["n"],
     "filter_has_codes": ["n"],
     "audio_path": ["n"],

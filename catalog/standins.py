@@ -146,11 +146,11 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """``(token, id)``: the words of ``benchmark``, numbered by where they come first."""
+    """``(token, id)``: the words of ``benchmark``, numbered by 28 bits of their digest."""
     items = load_table(spark, f"{sf}/benchmark.parquet")
-    found = items.select("item_id", F.posexplode(words(F.col("text"))).alias("pos", "token"))
-    first = F.min(F.col("item_id") * 10000 + F.col("pos") + 1)
-    return found.groupBy("token").agg(first.cast("int").alias("id"))
+    found = items.select(F.explode(words(F.col("text"))).alias("token")).distinct()
+    digits = F.substring(F.md5(F.encode("token", "utf-8")), 1, 7)
+    return found.withColumn("id", F.conv(digits, 16, 10).cast("int"))
 
 
 def waveforms(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,6 +209,12 @@ def echo():
     return generate
 
 
+def echo_batch():
+    """The same for a list of rows; one bad row fails the call."""
+    generate = echo()
+    return lambda rows: [generate(*row) for row in rows]
+
+
 def without_top_p(ids, limit, top_p):
     """The simpler settings of the retry."""
     return ids, limit, None

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from speechprep.llm.common import table
 from speechprep.llm.exact_dedup import drop_exact_copies
 from speechprep.llm.mixing import mixed
-from speechprep.llm.near_copies import drop_similar
 from speechprep.llm.pieces import encode_digest
 from speechprep.llm.quality_classifier import select_quality
 from speechprep.llm.queries import graded, piece_model
+from speechprep.llm.simhash import drop_near_copies
 from speechprep.session import settled
 
 
@@ -25,8 +25,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, similarity of at least 0.8."""
-    return drop_similar(docs)
+    """One document of each group whose fingerprints over 4-word shingles link within 4 bits."""
+    return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,16 +69,17 @@ def pad(
 ) -> DataFrame:
     """Pad arrays to the longest row of their batch, each with its own fill value.
 
-    The widths are joined back rather than taken from a window. With few batches
-    they are broadcast and no row moves; with many, a batch that holds most of the
-    rows is split by the adaptive skew join.
+    The rows are written once, with their lengths, so costly or random input is evaluated once. The widths
+    are joined back rather than taken from a window: with few batches they are broadcast and no row moves;
+    with many, a batch that holds most of the rows is split by the adaptive skew join.
     """
     lead = next(iter(cols))
-    widths = settled(batch_max_len(df, batch, lead), "widths")
+    rows = settled(df.withColumn("_length", F.size(lead)), "unpadded")
+    widths = settled(rows.groupBy(batch).agg(F.max("_length").alias("max_len")), "widths")
     padded = {
         c: fn.padded(F.col(c), fill, F.col("max_len"), side) for c, fill in cols.items()
     }
-    return once(df.join(widths, batch), **padded).drop("max_len")
+    return once(rows.drop("_length").join(widths, batch), **padded).drop("max_len")
 
 
 def left_pad(df: DataFrame, batch: str, ids: str = "input_ids") -> DataFrame:

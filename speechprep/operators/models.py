@@ -80,6 +80,91 @@ def map_rows(
     return df.mapInArrow(run, shape)
 
 
+def _cost(row: tuple) -> int:
+    """Elements of a row's longest input."""
+    return max([1, *[len(value) for value in row if hasattr(value, "__len__")]])
+
+
+def single_calls(model: Callable, simpler: Callable | None) -> Callable[[list[tuple]], list[tuple]]:
+    """Rows -> ``(value, error)`` of each, one call a row and a second one where the first failed."""
+
+    def call(row: tuple):
+        try:
+            try:
+                return model(*row), None
+            except Exception:
+                if simpler is None:
+                    raise
+                return model(*simpler(*row)), None
+        except Exception as fault:
+            return None, str(fault) or type(fault).__name__
+
+    return lambda rows: [call(row) for row in rows]
+
+
+def batched_calls(
+    model: Callable, simpler: Callable | None, budget: int, cost: Callable[[tuple], int]
+) -> Callable[[list[tuple]], list[tuple]]:
+    """Rows -> ``(value, error)`` of each, by calls on lists of rows of like length.
+
+    A call that fails is halved until the failing row is alone, and only that row is tried on simpler settings.
+    """
+
+    def called(rows: list[tuple]) -> list[tuple]:
+        values = list(model(rows))
+        if len(values) != len(rows):
+            raise ValueError(f"{len(values)} results for {len(rows)} rows")
+        return [
+            (None, str(v) or type(v).__name__) if isinstance(v, Exception) else (v, None) for v in values
+        ]
+
+    def call(rows: list[tuple]) -> list[tuple]:
+        try:
+            return called(rows)
+        except Exception as fault:
+            if len(rows) > 1:
+                half = len(rows) // 2
+                return call(rows[:half]) + call(rows[half:])
+            if simpler is not None:
+                try:
+                    return called([tuple(simpler(*rows[0]))])
+                except Exception as again:
+                    fault = again
+            return [(None, str(fault) or type(fault).__name__)]
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        costs = [cost(row) for row in rows]
+        order = sorted(range(len(rows)), key=costs.__getitem__)
+        done: list = [None] * len(rows)
+        start = 0
+        for end in range(1, len(order) + 1):
+            # Padded to its longest row, the next one, a call would hold more than the budget.
+            if end == len(order) or costs[order[end]] * (end + 1 - start) > budget:
+                some = order[start:end]
+                for at, result in zip(some, call([rows[at] for at in some])):
+                    done[at] = result
+                start = end
+        return done
+
+    return run
+
+
+# Rows whose inputs hold up to so many budgets are sorted by length at once.
+WINDOW = 16
+
+
+def _windows(rows: list[tuple], budget: int, cost: Callable[[tuple], int]) -> Iterator[list[tuple]]:
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += cost(row)
+        if held >= WINDOW * budget:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def apply_model(
     df: DataFrame,
     factory: Callable[[], Callable],
@@ -87,12 +172,19 @@ def apply_model(
     out: str,
     schema: str,
     simpler: Callable[..., tuple] | None = None,
+    budget: int | None = None,
+    cost: Callable[[tuple], int] = _cost,
 ) -> DataFrame:
     """Add ``out`` and ``error``: what the model gives for each row's inputs.
 
     With ``simpler``, a failed call is tried once more on ``simpler(*inputs)``. Inputs are Python values or,
     for lists of numbers, numpy arrays; what a row gets does not depend on its neighbours. Of several
     steps ``error`` keeps the first fault of a row.
+
+    With a ``budget`` the model takes a list of rows (tuples of inputs) and gives a list of results, of which an
+    exception is that row's fault. Rows of like length go into a call together, as many as hold no more than
+    ``budget`` elements when all are padded to the longest (``cost`` is the length of a row); a longer row is a
+    call of its own. Results come back in the order of the rows.
     """
     shape = f"value {schema}, error string"
     kind = to_arrow_type(T.StructType.fromDDL(f"value {schema}")[0].dataType)
@@ -110,25 +202,17 @@ def apply_model(
     @F.arrow_udf(shape)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         model = factory()
-
-        def call(row: tuple):
-            try:
-                try:
-                    return model(*row), None
-                except Exception:
-                    if simpler is None:
-                        raise
-                    return model(*simpler(*row)), None
-            except Exception as fault:
-                return None, str(fault) or type(fault).__name__
+        call = single_calls(model, simpler) if budget is None else batched_calls(model, simpler, budget, cost)
 
         for batch in batches:
             # One input comes as a bare array, several as a tuple of them.
             columns = batch if isinstance(batch, tuple) else (batch,)
+            rows = list(zip(*map(_values, columns)))
             done, held = [], 0
-            for row in zip(*map(_values, columns)):
-                done.append(call(row))
-                held += size(done[-1][0])
+            for some in ([row] for row in rows) if budget is None else _windows(rows, budget, cost):
+                results = call(some)
+                done += results
+                held += sum(size(value) for value, _ in results)
                 if held >= CHUNK_VALUES:
                     yield frame(done)
                     done, held = [], 0
@@ -144,24 +228,24 @@ def apply_model(
 
 
 def apply_tokenizer(
-    df: DataFrame, factory, text: str = "prompt", out: str = "text_ids"
+    df: DataFrame, factory, text: str = "prompt", out: str = "text_ids", budget: int | None = None
 ) -> DataFrame:
-    """Text to ids by an external tokenizer, special tokens included."""
-    return apply_model(df, factory, [text], out, "array<int>")
+    """Text to ids by an external tokenizer, special tokens included; ``budget`` counts characters."""
+    return apply_model(df, factory, [text], out, "array<int>", budget=budget)
 
 
-def apply_encoder(df: DataFrame, factory, *inputs: str) -> DataFrame:
-    """Waveform (or what the factory's model takes) to code layers ``l1, l2, l3``."""
+def apply_encoder(df: DataFrame, factory, *inputs: str, budget: int | None = None) -> DataFrame:
+    """Waveform (or what the factory's model takes) to code layers ``l1, l2, l3``; ``budget`` counts samples."""
     layers = "struct<l1: array<int>, l2: array<int>, l3: array<int>>"
-    coded = apply_model(df, factory, list(inputs) or ["samples"], "_layers", layers)
+    coded = apply_model(df, factory, list(inputs) or ["samples"], "_layers", layers, budget=budget)
     return coded.withColumns({n: F.col(f"_layers.{n}") for n in ("l1", "l2", "l3")}).drop(
         "_layers"
     )
 
 
-def apply_decoder(df: DataFrame, factory, out: str = "samples") -> DataFrame:
-    """Three code layers to a waveform."""
-    return apply_model(df, factory, ["l1", "l2", "l3"], out, "array<float>")
+def apply_decoder(df: DataFrame, factory, out: str = "samples", budget: int | None = None) -> DataFrame:
+    """Three code layers to a waveform; ``budget`` counts codes of the longest layer."""
+    return apply_model(df, factory, ["l1", "l2", "l3"], out, "array<float>", budget=budget)
 
 
 def apply_generator(
@@ -170,6 +254,7 @@ def apply_generator(
     inputs: list[str],
     simpler: Callable[..., tuple] | None = None,
     out: str = "ids",
+    budget: int | None = None,
 ) -> DataFrame:
-    """Prompt ids and settings to generated ids, with one retry on simpler settings."""
-    return apply_model(df, factory, inputs, out, "array<int>", simpler)
+    """Prompt ids and settings to generated ids, with one retry on simpler settings; ``budget`` counts prompt ids."""
+    return apply_model(df, factory, inputs, out, "array<int>", simpler, budget)

@@ -1,4 +1,4 @@
-"""Row-level operators: keep-lists, valid rows, dense order, caps, funnels."""
+"""Row-level operators: keep-lists, valid rows, dense order, caps."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..constants import TRAINING_COLUMNS
 from ..session import settled
 
-# Up to this cap each task keeps its own first rows and one task merges them, which
-# is cap x tasks rows at most; above it the rows are numbered over all tasks.
-TOP_ROWS = 1_000
+# Keys that a round of the search for a cut compares with, and rows that are put in order to find it.
+PIVOTS, ORDERED = 64, 10_000
 
 
 def has_codes(df: DataFrame, codes: str = "codes") -> DataFrame:
@@ -51,26 +50,78 @@ def row_index(df: DataFrame, *order: str | Column, name: str = "idx") -> DataFra
     )
 
 
-def cap_rows(df: DataFrame, n: int | None, *order: str | Column) -> DataFrame:
-    """The first ``n`` rows in order; ``None`` keeps all, ``0`` none."""
+def cap_rows(df: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first ``n`` rows in the order of these columns, nulls first; ``None`` keeps all, ``0`` none.
+
+    Finds the key of the n-th row and keeps the rows up to it, where they are: nothing is sorted or written. Jobs
+    that find it run when this is called; they read the order columns only.
+    """
     if n is None:
         return df
-    if n <= TOP_ROWS:
-        return df.orderBy(*order).limit(n)
-    return row_index(df, *order, name="_idx").filter(F.col("_idx") < n).drop("_idx")
+    if n <= 0:
+        return df.filter(F.lit(False))
+    cut, more = _cut_at(df.select(*order), n)
+    if cut is None:
+        return df
+    key = F.struct(*order)
+    first = F.col(order[0])
+    # The leading column alone is a filter that a scan can use.
+    near = df if cut[0] is None else df.filter(first.isNull() | (first <= _literal(df, order[0], cut[0])))
+    cut = F.struct(*[_literal(df, c, v).alias(c) for c, v in zip(order, cut)])
+    if more is None:
+        return near.filter(key <= cut)
+    # Several rows have the key of the cut, and not all are within the cap.
+    return near.filter(key < cut).unionByName(near.filter(key == cut).limit(more))
 
 
-def reason_counts(rejects: DataFrame) -> DataFrame:
-    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
+def _literal(df: DataFrame, name: str, value) -> Column:
+    return F.lit(value).cast(df.schema[name].dataType)
+
 
+def _cut_at(keys: DataFrame, n: int) -> tuple[tuple | None, int | None]:
+    """The key of the n-th row, and how many rows of that key are within the first n (``None``: all).
 
-def funnel(df: DataFrame, **stages: Column) -> DataFrame:
-    """One row with, per stage, how many rows pass it and all stages before."""
-    passed, counts = F.lit(True), []
-    for stage, condition in stages.items():
-        passed = passed & F.coalesce(condition, F.lit(False))
-        counts.append(F.count_if(passed).alias(stage))
-    return df.agg(*counts)
+    ``(None, None)`` with no more than n rows. The rows that may hold the cut are counted between PIVOTS of their
+    keys, drawn by a hash; the stretch in which the n-th lies becomes the next round's, until it is small enough
+    to be put in order or has one key only. Some PIVOTS keys and counts come to the driver a round.
+    """
+    order = keys.columns
+    whole = keys.select(F.struct(*order).alias("k"))
+    lit = lambda key: F.struct(*[_literal(keys, c, v).alias(c) for c, v in zip(order, key)])
+    here, before, found = whole, 0, None
+    while True:
+        drawn = here.withColumn("_draw", F.rand(7)).orderBy("_draw").limit(PIVOTS).select("k").distinct()
+        pivots = [tuple(r.k) for r in drawn.orderBy("k").collect()]
+        if not pivots:
+            return None, None
+        above = sum((F.col("k") > lit(p)).cast("int") for p in pivots)
+        counts = dict(here.groupBy(above.alias("at")).count().collect())
+        if found is None and sum(counts.values()) <= n:
+            return None, None
+        at = 0
+        while before + counts.get(at, 0) < n:
+            before += counts.get(at, 0)
+            at += 1
+        low, high = pivots[at - 1] if at else None, pivots[at] if at < len(pivots) else None
+        if low is not None:
+            here = here.filter(F.col("k") > lit(low))
+        if high is not None:
+            here = here.filter(F.col("k") <= lit(high))
+        found = counts[at]
+        ends = here.agg(F.min("k").alias("a"), F.max("k").alias("b")).first() if found > ORDERED else None
+        if ends and ends.a == ends.b:
+            return tuple(ends.a), None if before + found == n else n - before
+        if found <= ORDERED:
+            ordered = [tuple(r.k) for r in here.orderBy("k").limit(n - before + 1).collect()]
+            cut = ordered[n - before - 1]
+            same = ordered.count(cut)
+            if len(ordered) > n - before and ordered[-1] == cut:
+                return cut, same - 1
+            return cut, None
+
+
+def reason_counts(rejects: DataFrame) -> DataFrame:
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def existing_audio(df: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.batching import left_pad
 from ..operators.extraction import extract_codes
 from ..operators.frames import deinterleave
 from ..operators.sequences import prompt_sequence, voice_text
+from ..session import settled
 from ..sources.prompts import split_block
 
 Step = Callable[[DataFrame], DataFrame]
@@ -61,15 +62,33 @@ def line_batch(
     generate: Step,
     decode: Step,
     folder: str,
-) -> DataFrame:
-    """One waveform and file path per non-blank line of a multi-line text.
+) -> tuple[DataFrame, DataFrame]:
+    """One waveform and file path per non-blank line of a multi-line text; and the lines that failed.
 
-    Each line is a prompt of its own, so there is nothing to pad. A line whose
-    generation fails is left out and its number stays unused.
+    Each line is a prompt of its own, so there is nothing to pad. A line that fails has its number unused, and
+    stands among the faults with its ``step`` and ``error``. Everything is written once and then parted, so the models
+    meet each line once.
     """
     lines = split_block(df, F.col(text), [key]).withColumn("prompt", F.col("text"))
-    generated = generate(prompt_sequence(tokenise(lines)))
-    spoken = generated_audio(generated.filter(F.col("ids").isNotNull()), decode)
+    generated = _faulted(generate(_faulted(prompt_sequence(tokenise(lines)))))
+    spoken = _faulted(generated_audio(generated, decode))
+    step = (
+        F.when(F.col("text_ids").isNull(), "tokenise")
+        .when(F.col("ids").isNull(), "generate")
+        .when(F.col("samples").isNull(), "decode")
+    )
     name = batch_name(F.col("idx"), F.col("text"))
     inside = F.concat(F.lit(folder.rstrip("/") + "/"), F.col(key).cast("string"))
-    return spoken.withColumn("path", join_path(inside, name))
+    done = settled(
+        spoken.select(
+            key, "idx", "text", join_path(inside, name).alias("path"), "samples", step.alias("step"), "error"
+        ),
+        "spoken-lines",
+    )
+    faults = done.filter("step is not null").select(key, "idx", "text", "step", "error")
+    return done.filter("step is null").drop("step", "error"), faults
+
+
+def _faulted(df: DataFrame) -> DataFrame:
+    """The row's first fault in ``error``, also when no step reports any."""
+    return df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))

@@ -12,14 +12,14 @@ from ..operators.rows import keep_columns
 def write_batches(
     df: DataFrame, path: str, size: int = 2000, *order: str, format: str = "csv"
 ) -> None:
-    """Consecutive slices of the table, a folder ``batch_id=k`` for each.
+    """Consecutive slices of the table, a folder ``batch_id=k`` with one file for each.
 
-    The numbered rows already lie in order, so each task writes only the few slices it holds and nothing is
-    shuffled again. Rows are in order within a file; a slice that several tasks hold has several files, and
-    ``idx``, each row's place in the whole table, tells their order.
+    The rows are numbered, and every slice, ``size`` rows by its numbers, goes whole to one task, which
+    writes it in order; the file holds the columns of the table only. Tasks get as many slices as the shuffle's partitions
+    give them, so slices are also spread evenly however the table was.
     """
-    sliced = assign_batches(df, size, *order).sortWithinPartitions("batch_id", "idx")
-    writer = sliced.write.partitionBy("batch_id")
+    sliced = assign_batches(df, size, *order).repartition("batch_id")
+    writer = sliced.sortWithinPartitions("batch_id", "idx").drop("idx").write.partitionBy("batch_id")
     if format == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.format(format).save(path)

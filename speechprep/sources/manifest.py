@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_audio_name, strip
@@ -27,19 +27,58 @@ RESULTS = ["audio", "text", "reason"]
 STRICT, FIRST_COMMA = "strict", "first_comma"
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, pos, line)`` of text files; a byte-order mark is not part of a line."""
+def read_lines(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """``(file, pos, line)`` of text files; a byte-order mark is not part of a line.
+
+    Lines end where a text file's lines may end, or only at ``separator``.
+    """
     # A file is read in blocks, and the row numbers grow inside a block. Both in
     # one decimal keep the minimum of positions a hash aggregate.
     block = F.col("_metadata.file_block_start").cast("decimal(38,0)")
     place = block * F.lit(ROW_NUMBERS) + F.monotonically_increasing_id()
-    return spark.read.text(path).select(
+    options = {} if separator is None else {"lineSep": separator}
+    return spark.read.options(**options).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         place.cast("decimal(38,0)").alias("pos"),
         F.col("value").alias("line"),
     )
 
 
+def quoted_records(lines: DataFrame) -> DataFrame:
+    """The lines of ``read_lines`` put together where a quoted field holds line breaks: ``(file, pos, line)``.
+
+    A line starts inside quotes when an odd number of them stands before it in its file. That number is counted
+    per block, then over the blocks before, then inside the block, so many tasks share one file; only the lines of one
+    record meet. ``pos`` is the place of a record's first line. Lines are to be split at ``\\n`` alone; a ``\\r`` that
+    ends a record is not part of it. ``lines`` is read more than once and must be a written table.
+    """
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    block = F.call_function("div", "pos", F.lit(ROW_NUMBERS))
+    counted = lines.withColumns({"_odd": quotes % 2, "_block": block})
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy("file", "_block").agg(F.sum("_odd").alias("_odds"))
+    opened = settled(
+        blocks.select("file", "_block", F.coalesce(F.sum("_odds").over(earlier), F.lit(0)).alias("_before")),
+        "quote-parity",
+    )
+    down = Window.partitionBy("file", "_block").orderBy("pos")
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    inside = (F.col("_before") + F.coalesce(F.sum("_odd").over(above), F.lit(0))) % 2
+    starts = counted.join(opened, ["file", "_block"]).withColumn("_start", F.when(inside == 0, F.col("pos")))
+    starts = settled(starts.select("file", "_block", "pos", "line", "_start"), "record-starts")
+    # A block may begin inside a record that an earlier block starts.
+    last = starts.groupBy("file", "_block").agg(F.max("_start").alias("_last"))
+    lent = settled(
+        last.select("file", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_lent")), "open-records"
+    )
+    own = F.last("_start", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    told = starts.withColumn("_own", own).join(lent, ["file", "_block"])
+    told = told.select("file", F.coalesce("_own", "_lent").alias("_at"), "pos", "line")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))["line"]
+    whole = told.groupBy("file", F.col("_at").alias("pos")).agg(F.array_join(parts, "\n").alias("line"))
+    return whole.withColumn("line", F.regexp_replace("line", "\r$", ""))
+
+
 def classify_first_comma(lines: DataFrame, is_first: Column, header: str) -> DataFrame:
     """Add ``audio``, ``text`` and ``reason`` by the first-comma rule.
 
@@ -69,16 +108,20 @@ def classify_strict(lines: DataFrame, width: int) -> DataFrame:
     Lines carry what their file's header says: ``fields`` (how many there are), ``audio_at`` and
     ``text_at`` (places from 1). No file has more than ``width`` fields. Only an empty field is null.
     """
+    split = once(_split(lines, F.col("line"), width), _count=_field_count())
+    return _strict_fields(split).drop("_parts", "_count")
+
+
+def _strict_fields(split: DataFrame) -> DataFrame:
     count = F.col("_count")
     at = lambda place: F.when(F.col(place) <= count, F.get("_parts", F.col(place) - 1))
-    split = once(_split(lines, F.col("line"), width), _count=_field_count())
     fields = once(split, audio=at("audio_at"), text=at("text_at"))
     reason = (
         F.when(F.col("is_first") | (strip(F.col("line")) == ""), "skip")
         .when((count < 0) | (count > F.col("fields")), ROW_ERROR)
         .when(_empty("audio") | _empty("text"), EMPTY_FIELD)
     )
-    return once(fields, reason=reason).drop("_parts", "_count")
+    return once(fields, reason=reason)
 
 
 def _empty(name: str) -> Column:
@@ -102,7 +145,8 @@ def _array(width: int, prefix: str = "") -> Column:
 def _split(df: DataFrame, line: Column, width: int) -> DataFrame:
     """Add ``_parts``: the fields of a line by CSV rules, up to ``width``, and the end mark."""
     closed = F.concat(line, F.lit("," + _END))
-    fields = F.from_csv(closed, _columns(width), {"mode": "PERMISSIVE", "escape": '"'})
+    options = {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true"}
+    fields = F.from_csv(closed, _columns(width), options)
     return once(once(df, _fields=fields), _parts=_array(width, "_fields.")).drop("_fields")
 
 
@@ -111,27 +155,15 @@ def _field_count() -> Column:
     return F.array_position("_parts", F.lit(_END)).cast("int") - 1
 
 
-def file_verdicts(
-    lines: DataFrame,
-    text: str,
-    audio: str,
-    mode: str = "auto",
-    columns: list[str] | None = None,
-) -> DataFrame:
-    """How to read each file: ``(file, first_pos, strict, spans, fields, audio_at, text_at)``.
-
-    The first line, split by CSV rules, is the header when it names both columns, in any order and
-    among others. In ``auto`` mode such a file is ``strict`` when no row has more fields than its header and
-    no line leaves a quote open. One over-long row sends the whole file to the first-comma rule. With open
-    quotes that the file closes again it ``spans``: its fields may hold line breaks. ``columns`` stand in
-    for a header without the names in ``strict`` mode.
+def file_headers(
+    lines: DataFrame, text: str, audio: str, columns: list[str] | None = None
+) -> tuple[DataFrame, int]:
+    """``(file, first_pos, fields, audio_at, text_at, named)`` of each file, and the widest header's fields.
 
-    Runs jobs when called; only the width of the widest header comes to the driver.
+    The first line, split by CSV rules, is the header when it names both columns, in any order and among
+    others. ``columns`` stand in for one without the names. Jobs run when called; only the width comes to the driver.
     """
     firsts = settled(lines.groupBy("file").agg(F.min("pos").alias("first_pos")), "first-places")
-    none = {n: F.lit(0) for n in ("fields", "audio_at", "text_at")}
-    if mode == FIRST_COMMA:
-        return firsts.withColumns({"strict": F.lit(False), "spans": F.lit(False), **none})
     heads = settled(
         lines.join(firsts, "file")
         .filter(F.col("pos") == F.col("first_pos"))
@@ -143,43 +175,17 @@ def file_verdicts(
     most = heads.filter(may_name & (width <= MAX_COLUMNS)).agg(F.max(width)).first()[0] or 1
     most = max(most, len(columns or []))
     named = once(_split(heads, F.col("header"), most), _count=_field_count())
-    names = F.slice("_parts", 1, F.greatest("_count", F.lit(0)))
-    named = once(named, _names=names)
+    named = once(named, _names=F.slice("_parts", 1, F.greatest("_count", F.lit(0))))
     place = lambda name: F.array_position("_names", F.lit(name)).cast("int")
     found = (place(audio) > 0) & (place(text) > 0)
-    if mode == STRICT and columns:
+    if columns:
         given = F.array(*[F.lit(c) for c in columns])
         named = once(named, _names=F.when(found, F.col("_names")).otherwise(given))
-    headed = settled(
-        named.select(
-            "file", "first_pos", F.size("_names").alias("fields"),
-            place(audio).alias("audio_at"), place(text).alias("text_at"), found.alias("_found"),
-        ),
-        "headed",
-    )
-    if mode == STRICT:
-        strict, spans = F.lit(True), F.lit(False)
-        return headed.select(
-            "file", "first_pos", strict.alias("strict"), spans.alias("spans"), "fields", "audio_at", "text_at"
-        )
-    open_quote = F.exists("_parts", lambda x: x.endswith(_END) & (x != _END))
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    rows = lines.join(headed.filter("_found").select("file", "fields"), "file")
-    rows = once(_split(rows, F.col("line"), most), _count=_field_count())
-    seen = rows.groupBy("file").agg(
-        F.max((F.col("_count") < 0) | (F.col("_count") > F.col("fields"))).alias("_over"),
-        F.max(F.coalesce(open_quote, F.lit(False))).alias("_open"),
-        F.sum(quotes).alias("_quotes"),
-    )
-    return headed.join(seen, "file", "left").select(
-        "file",
-        "first_pos",
-        F.coalesce(~F.col("_over"), F.lit(False)).alias("strict"),
-        F.coalesce(F.col("_open") & (F.col("_quotes") % 2 == 0), F.lit(False)).alias("spans"),
-        "fields",
-        "audio_at",
-        "text_at",
+    headed = named.select(
+        "file", "first_pos", F.size("_names").alias("fields"),
+        place(audio).alias("audio_at"), place(text).alias("text_at"), found.alias("named"),
     )
+    return headed, most
 
 
 def parse_lines(
@@ -188,33 +194,69 @@ def parse_lines(
     audio: str = "uuid",
     mode: str = "auto",
     columns: list[str] | None = None,
-    verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """Every line with ``audio``, ``text``, ``reason``, ``is_first`` and ``strict``.
 
     ``mode`` is ``auto`` (each file by its own verdict), ``strict`` or ``first_comma``. A table of lines
     cannot be read again with line breaks in its fields; ``read_manifest`` does that.
     """
-    if verdicts is None:
-        verdicts = settled(file_verdicts(lines, text, audio, mode, columns), "verdicts")
-    known = lines.join(verdicts, "file").withColumn(
-        "is_first", F.col("pos") == F.col("first_pos")
-    )
-    # The fallback knows only the plain two-column header, audio name first.
-    plain = f"{audio},{text}"
+    return _parsed(lines, text, audio, mode, columns).drop("spans", "fields")
+
+
+def _parsed(lines: DataFrame, text: str, audio: str, mode: str, columns: list[str] | None) -> DataFrame:
+    """As ``parse_lines``, with ``spans`` and ``fields`` of the line's file.
+
+    In ``auto`` mode a file whose header names the columns is ``strict`` when no row has more fields than its header and
+    no line leaves a quote open. One over-long row sends the whole file to the first-comma rule. With open
+    quotes that the file closes again it ``spans``: its fields may hold line breaks.
+
+    Each line is split once by either rule, and its fields are written; the verdict is summed up from that table,
+    and says which of the two to take.
+    """
+    shown = ["file", "pos", "line", *RESULTS, "is_first", "strict", "spans", "fields"]
+    is_first = F.col("pos") == F.col("first_pos")
+    plain = f"{audio},{text}"  # the fallback knows only the plain two-column header, audio name first
+    never = {"strict": F.lit(False), "spans": F.lit(False), "fields": F.lit(0)}
     if mode == FIRST_COMMA:
-        parsed = classify_first_comma(known, F.col("is_first"), plain)
-    else:
-        width = verdicts.filter("strict").agg(F.max("fields")).first()[0] or 1
-        if mode == STRICT:
-            parsed = classify_strict(known, width)
-        else:
-            loose = classify_first_comma(known, F.col("is_first"), plain)
-            both = classify_strict(loose.withColumnsRenamed({n: f"_{n}" for n in RESULTS}), width)
-            parsed = both.withColumns(
-                {n: F.when(F.col("strict"), F.col(n)).otherwise(F.col(f"_{n}")) for n in RESULTS}
-            )
-    return parsed.select("file", "pos", "line", *RESULTS, "is_first", "strict")
+        firsts = settled(lines.groupBy("file").agg(F.min("pos").alias("first_pos")), "first-places")
+        known = lines.join(firsts, "file").withColumn("is_first", is_first)
+        return classify_first_comma(known, F.col("is_first"), plain).withColumns(never).select(*shown)
+    headed, width = file_headers(lines, text, audio, columns if mode == STRICT else None)
+    known = lines.join(headed, "file").withColumn("is_first", is_first)
+    if mode == STRICT:
+        always = {"strict": F.lit(True), "spans": F.lit(False)}
+        return classify_strict(known, width).withColumns(always).select(*shown)
+    # Lines of files without a header are not split by CSV rules.
+    split = once(_split(known, F.when(F.col("named"), F.col("line")), width), _count=_field_count())
+    open_quote = F.exists("_parts", lambda x: x.endswith(_END) & (x != _END))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    over = (F.col("_count") < 0) | (F.col("_count") > F.col("fields"))
+    seen = split.withColumns({"_over": over, "_open": F.coalesce(open_quote, F.lit(False)), "_quotes": quotes})
+    strict = _strict_fields(seen).withColumnsRenamed({n: f"_{n}" for n in RESULTS})
+    both = classify_first_comma(strict, F.col("is_first"), plain)
+    written = settled(
+        both.select(
+            "file", "pos", "line", "is_first", "named", "fields", "_over", "_open", "_quotes", *RESULTS,
+            *[f"_{n}" for n in RESULTS],
+        ),
+        "parsed-lines",
+    )
+    verdicts = written.groupBy("file").agg(
+        F.max(F.when(F.col("named"), F.col("_over"))).alias("_over"),
+        F.max(F.col("named") & F.col("_open")).alias("_open"),
+        F.sum("_quotes").alias("_quotes"),
+    )
+    verdicts = settled(
+        verdicts.select(
+            "file",
+            F.coalesce(~F.col("_over"), F.lit(False)).alias("strict"),
+            (F.col("_open") & (F.col("_quotes") % 2 == 0)).alias("spans"),
+        ),
+        "verdicts",
+    )
+    own = written.drop("_over", "_open", "_quotes").join(verdicts, "file")
+    taken = {n: F.when(F.col("strict"), F.col(f"_{n}")).otherwise(F.col(n)) for n in RESULTS}
+    return own.withColumns(taken).select(*shown)
 
 
 def kept(parsed: DataFrame) -> DataFrame:
@@ -241,33 +283,28 @@ def parse_manifest(
     jobs when executors come and go. So the lines are written once with their
     positions, and verdicts, caps and order all refer to that table.
 
-    Files with line breaks in quoted fields are read once more, each in one task, since such a file
-    cannot be split; only the paths of those files come to the driver.
+    Files with line breaks in quoted fields are read once more, and their lines put together to records by the
+    quotes before them; only the paths of those files come to the driver.
     """
     lines = settled(read_lines(spark, path), "lines")
-    verdicts = settled(file_verdicts(lines, text, audio, mode, columns), "verdicts")
-    parsed = parse_lines(lines, text, audio, mode, columns, verdicts)
-    spanning = verdicts.filter("spans")
-    paths = [r.path for r in spanning.select(_readable(F.col("file")).alias("path")).collect()]
+    parsed = _parsed(lines, text, audio, mode, columns)
+    if mode in (STRICT, FIRST_COMMA):
+        return parsed.drop("spans", "fields")
+    spanning = parsed.filter("is_first and spans").select(_readable(F.col("file")).alias("path"))
+    paths = [r.path for r in spanning.collect()]
+    parsed = parsed.drop("spans", "fields")
     if not paths:
         return parsed
-    records = _spanning_records(spark, paths, spanning)
-    whole = settled(
-        records.groupBy("file").agg(F.max("_over").alias("_over"), F.min("pos").alias("_head"))
-        .filter(~F.col("_over")).select("file", "_head"),
-        "spanning",
-    )
-    again = (
-        records.join(whole, "file")
-        .withColumn("is_first", F.col("pos") == F.col("_head"))
-        .withColumn("strict", F.lit(True))
-        .withColumn(
-            "reason",
-            F.when(F.col("is_first") | (strip(F.col("line")) == ""), "skip")
-            .when(_empty("audio") | _empty("text"), EMPTY_FIELD),
-        )
-    )
-    return parsed.join(whole, "file", "left_anti").unionByName(again.select(*parsed.columns))
+    again = settled(read_lines(spark, paths, "\n"), "spanning-lines")
+    records = settled(quoted_records(again), "records")
+    headed, width = file_headers(records, text, audio)
+    known = records.join(headed, "file").withColumn("is_first", F.col("pos") == F.col("first_pos"))
+    fields = settled(classify_strict(known, width), "record-fields")
+    # A file with an over-long record stays with the first-comma rule.
+    over = fields.groupBy("file").agg(F.max(F.coalesce(F.col("reason") == ROW_ERROR, F.lit(False))).alias("_over"))
+    whole = settled(over.filter(~F.col("_over")).select("file"), "spanning")
+    strict = fields.join(whole, "file", "left_semi").withColumn("strict", F.lit(True))
+    return parsed.join(whole, "file", "left_anti").unionByName(strict.select(*parsed.columns))
 
 
 def _readable(file: Column) -> Column:
@@ -275,37 +312,6 @@ def _readable(file: Column) -> Column:
     return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
 
 
-def _spanning_records(spark: SparkSession, paths: list[str], verdicts: DataFrame) -> DataFrame:
-    """``(file, pos, line, audio, text, _over)`` of files whose quoted fields hold line breaks.
-
-    ``line`` is put together from the fields. Extra fields that are empty do not make a row over-long here.
-    """
-    width = verdicts.agg(F.max("fields")).first()[0]
-    read = (
-        spark.read.schema(_columns(width))
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().cast("decimal(38,0)").alias("pos"),
-            _array(width).alias("_parts"),
-        )
-    )
-    rest = F.slice("_parts", F.col("fields") + 1, F.lit(width + 1))
-    return settled(
-        read.join(verdicts.select("file", "fields", "audio_at", "text_at"), "file").select(
-            "file",
-            "pos",
-            F.array_join("_parts", ",").alias("line"),
-            F.get("_parts", F.col("audio_at") - 1).alias("audio"),
-            F.get("_parts", F.col("text_at") - 1).alias("text"),
-            F.exists(rest, lambda x: x.isNotNull()).alias("_over"),
-        ),
-        "records",
-    )
-
-
 def read_manifest(
     spark: SparkSession,
     path: str | list[str],
@@ -322,16 +328,28 @@ def read_manifest(
 def read_strict(
     spark: SparkSession, path: str, columns: list[str], multiline: bool = False
 ) -> DataFrame:
-    """Strict CSV through Spark's own reader; ``multiline`` lets quotes span lines.
+    """CSV files with a header, by place: ``columns`` and ``_bad``, the record where their number is not right.
 
-    A file with quoted line breaks cannot be split, so ask for it only when needed.
+    ``multiline`` lets quotes span lines; such files are shared by many tasks all the same (``quoted_records``),
+    while Spark's own multi-line reader takes each in one. Their lines are written once when this is called.
     """
+    if multiline:
+        lines = settled(read_lines(spark, path, "\n"), "lines")
+        records = settled(quoted_records(lines), "records")
+        firsts = settled(records.groupBy("file").agg(F.min("pos").alias("first_pos")), "first-places")
+        data = records.join(firsts, "file").filter((F.col("pos") != F.col("first_pos")) & (F.col("line") != ""))
+        split = once(_split(data, F.col("line"), len(columns)), _count=_field_count())
+        fields = [F.get("_parts", F.lit(k)) for k in range(len(columns))]
+        return split.select(
+            *[F.when(F.col("_count").between(0, len(columns)) & (F.col("_count") <= k), None).otherwise(x).alias(c)
+              for k, (c, x) in enumerate(zip(columns, fields))],
+            F.when(F.col("_count") != len(columns), F.col("line")).alias("_bad"),
+        )
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (
         spark.read.schema(f"{schema}, _bad string")
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .csv(path)

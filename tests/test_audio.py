@@ -104,6 +104,34 @@ def test_decode_a_folder(spark, folder):
     assert sizes["broken.wav"] == 8 and len(sizes) == 4
 
 
+def test_listing_sees_all_names_at_any_depth(spark, tmp_path):
+    names = ["a.wav", "_b.wav", ".c.wav", "x/d.wav", "x/_y/e f%20.wav", "x/.z/g.wav", "x/q/r/s/t.wav"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"abc")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "x" / "loop").symlink_to(tmp_path)
+    found = audio_files.audio_inventory(spark, f"file://{tmp_path}")
+    assert sorted((r.path, r.length) for r in found.collect()) == sorted((f"{tmp_path}/{n}", 3) for n in names)
+    assert all(r.modificationTime.year >= 2024 for r in found.collect())
+    sizes = audio_files.sized(found.select("path")).collect()
+    assert all(r.length == 3 for r in sizes)
+    assert audio_files.audio_inventory(spark, f"{tmp_path}/empty", f"{tmp_path}/nothing").count() == 0
+    assert audio_files.audio_inventory(spark, f"{tmp_path}/a.wav").count() == 1
+
+
+def test_decoding_holds_a_chunk_at_a_time(spark, tmp_path, monkeypatch):
+    """Rows leave the task by bytes: no batch holds much more than a chunk, however many files there are."""
+    for k in range(40):
+        (tmp_path / f"{k}.wav").write_bytes(wav.write_wav(np.ones(24000, np.float32), 24000))
+    monkeypatch.setattr(audio_files, "CHUNK_BYTES", 200_000)
+    rows = (audio_files._decoded(lambda: (tmp_path / f"{k}.wav").read_bytes(), 24000, "null") for k in range(40))
+    sizes = [n for n, _ in audio_files._by_bytes(rows, 40)]
+    assert sum(sizes) == 40 and max(sizes) <= 3
+    got = audio_files.decode_audio(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and all(len(r.samples) == 24000 and r.decode_ok for r in got)
+
+
 def test_missing_file_is_null_content_and_silence(spark, folder):
     df = spark.createDataFrame([(f"{folder}/good.wav",), (f"{folder}/none.wav",)], "path string")
     loaded = audio_files.attach_audio(df)
@@ -189,6 +217,47 @@ def test_generator_retries_on_simpler_settings(spark):
     assert got[3] == (None, "max_new_tokens")
 
 
+@pytest.mark.parametrize("budget, failing, most", [(1, 4, 30), (12, 4, 30), (10**6, 4, 32), (10**6, 1, 12), (10**6, 0, 1)])
+def test_generator_in_batches(spark, tmp_path, budget, failing, most):
+    """Results as row by row, fewer calls, and one retry for the row that fails alone."""
+    low = [3, 17][:failing]
+    rows = [(k, [k] * (k % 5 + 1), 100, 0.1 if k in low else 1.0) for k in range(24)]
+    rows += [(24, None, 100, 1.0), (25, [1], 0, 1.0)] if failing == 4 else []
+    df = spark.createDataFrame(rows, "k int, ids_in array<int>, max int, top_p double").coalesce(1)
+    calls = tmp_path / "calls"
+
+    def batch():
+        model = echo()
+
+        def run(rows):
+            with calls.open("a") as f:
+                f.write(f"{len(rows)} ")
+            return [model(*row) for row in rows]
+
+        return run
+
+    single = models.apply_generator(df, echo, ["ids_in", "max", "top_p"], without_top_p).collect()
+    done = models.apply_generator(df, batch, ["ids_in", "max", "top_p"], without_top_p, budget=budget).collect()
+    told = lambda rows: {r.k: (r.ids, r.error) for r in rows}
+    assert told(done) == told(single) and sum(r.error is not None for r in done) == (2 if failing == 4 else 0)
+    sizes = [int(n) for n in calls.read_text().split()]
+    assert len(sizes) <= most and (budget == 1) == (max(sizes) == 1)
+
+
+def test_batches_hold_rows_of_like_length():
+    seen = []
+
+    def model(rows):
+        seen.append([len(x) for (x,) in rows])
+        return [x if len(x) != 7 else KeyError("seven") for (x,) in rows]
+
+    rows = [([0] * n,) for n in (9, 1, 7, 2, 9, 1, 30, 2)]
+    done = models.batched_calls(model, None, 18, models._cost)(rows)
+    assert [e for _, e in done] == [None, None, "'seven'", None, None, None, None, None]
+    assert [v for v, e in done if not e] == [x for (x,) in rows if len(x) != 7]
+    assert seen == [[1, 1, 2, 2], [7, 9], [9], [30]] or all(len(s) * max(s) <= 18 or len(s) == 1 for s in seen)
+
+
 def test_row_functions(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "n int, text string")
     mapped = models.map_rows(df, lambda r: {"words": r["text"].split()}, "words array<string>", ["text"])
@@ -219,9 +288,10 @@ def test_manifest_flow_reads_audio_late(spark, folder):
     df = spark.createDataFrame(rows, "file string, pos long, audio string, text string")
     inventory = audio_files.audio_inventory(spark, folder)
     tokenise = lambda d: models.apply_tokenizer(d, lambda: lambda t: [len(t)]).drop("error")
-    run = lambda where=folder, **o: training.prepare_manifest(
+    prepare = lambda where=folder, **o: training.prepare_manifest(
         df, inventory, training.encode_files(quantiser, **o), tokenise, where, max_samples=3
     )
+    run = lambda *a, **o: prepare(*a, **o).rows
     built = {r.input_ids[1]: r for r in run().collect()}
     assert set(built) == {5, 1} and built[5].labels == built[5].input_ids
     assert len(built[1].input_ids) == 6 + 7 + 2 - 0  # silence is one frame after the collapse
@@ -230,6 +300,72 @@ def test_manifest_flow_reads_audio_late(spark, folder):
     assert sorted(r.text for r in asked.collect()) == ["hello", "y", "z"]
     funnel = training.stage_funnel(df, inventory, training.encode_files(quantiser), folder).first()
     assert tuple(funnel) == (4, 3, 3, 3, 3)
+    done = prepare()
+    names = ["manifest_rows", "audio_found", "codes_not_null", "codes_not_empty", "frames_left", "text_ids_not_null"]
+    assert done.funnel == dict(zip(names, (3, 2, 2, 2, 2, 2))) | {"undecodable": 1, "failed_rows": 0}
+    told = {(r.text, r.step, r.trained): r.error for r in done.faults.collect()}
+    assert set(told) == {("x", "find", False), ("y", "decode", True)} and told["y", "decode", True]
+    lost = prepare(on_error="null")
+    assert lost.funnel["codes_not_null"] == 1 and lost.funnel["failed_rows"] == 1
+    assert {(r.step, r.trained) for r in lost.faults.collect()} == {("find", False), ("decode", False)}
+
+
+def test_each_found_row_is_encoded_once(spark, folder, tmp_path):
+    """While rows are prepared and counted, and faults and rows are read after that."""
+    calls = tmp_path / "calls"
+
+    def counted():
+        encode = quantiser()
+
+        def run(samples):
+            with calls.open("a") as f:
+                f.write("x")
+            if len(samples) == 12000:
+                raise ValueError("short")
+            return encode(samples)
+
+        return run
+
+    rows = [("m", k, f"{n}.wav", n) for k, n in enumerate(["good", "none", "broken", "stereo", "none"])]
+    df = spark.createDataFrame(rows, "file string, pos long, audio string, text string")
+    tokenise = lambda d: models.apply_tokenizer(d, lambda: lambda t: [len(t)])
+    for inventory in (audio_files.audio_inventory(spark, folder), None):
+        calls.write_text("")
+        done = training.prepare_manifest(df, inventory, training.encode_files(counted), tokenise, folder)
+        assert done.rows.count() == 2 and len(done.faults.collect()) == 4 and done.rows.count() == 2
+        assert calls.read_text() == "xxx"
+        assert done.funnel["audio_found"] == 3 and done.funnel["failed_rows"] == 1
+        told = {(r.text, r.step, r.error, r.trained) for r in done.faults.collect()}
+        assert ("good", "encode", "short", False) in told and ("none", "find", "missing_file", False) in told
+        calls.write_text("")
+        assert tuple(training.stage_funnel(df, inventory, training.encode_files(counted), folder).first()) == (5, 3, 2, 2, 2)
+        assert calls.read_text() == "xxx"
+
+
+def test_nothing_to_prepare(spark, folder):
+    none = spark.createDataFrame([], "file string, pos long, audio string, text string")
+    tokenise = lambda d: models.apply_tokenizer(d, lambda: lambda t: [len(t)])
+    empty = audio_files.audio_inventory(spark, folder).filter("false")
+    some = spark.createDataFrame([("m", 0, "good.wav", "x")], none.schema)
+    for rows, inventory, n in ((none, empty, 0), (some, empty, 1), (none, None, 0)):
+        done = training.prepare_manifest(rows, inventory, training.encode_files(quantiser), tokenise, folder)
+        assert done.rows.count() == 0 and done.faults.count() == n
+        assert done.funnel["manifest_rows"] == n and done.funnel["codes_not_null"] == 0
+
+
+@pytest.mark.parametrize("budget", [1, 30_000, 10**9])
+def test_encoder_in_batches_of_files(spark, folder, budget):
+    names = ["good", "none", "broken", "stereo", "good"]
+    df = spark.createDataFrame([(k, f"{folder}/{n}.wav") for k, n in enumerate(names)], "k int, path string")
+
+    def many():
+        encode = quantiser()
+        return lambda sounds: [encode(x) for x in sounds]
+
+    for on_error in ("silence", "null"):
+        single = training.encode_files(quantiser, on_error=on_error)(df)
+        together = training.encode_files(many, on_error=on_error, budget=budget)(df)
+        assert sorted(map(str, single.collect())) == sorted(map(str, together.collect()))
 
 
 def test_audit_of_the_first_texts_under_the_cap(spark):
@@ -273,7 +409,8 @@ def test_line_batch_leaves_a_gap_for_a_failed_line(spark):
 
     generate = lambda d: models.apply_generator(d, fails_on_bad, ["input_ids", "text"])
     decode = lambda d: models.apply_decoder(d, dequantiser)
-    out = generation.line_batch(df, "k", "text", tokenise, generate, decode, "/out")
+    out, faults = generation.line_batch(df, "k", "text", tokenise, generate, decode, "/out")
+    assert [(r.k, r.idx, r.text, r.step, r.error) for r in faults.collect()] == [("k", 1, "bad", "generate", "ValueError")]
     assert sorted(r.path for r in out.collect()) == [
         "/out/k/batch_001_one.wav", "/out/k/batch_003_three_words.wav",
     ]

@@ -1,11 +1,13 @@
 """Manifest parsing by hand cases, on real files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from speechprep.functions.text import WHITESPACE, join_path, strip, words
 from speechprep.operators.rows import cap_rows, existing_audio, missing_audio, row_index
-from speechprep.sources.manifest import bind_columns, read_manifest, read_strict
+from speechprep.sources.manifest import bind_columns, read_lines, read_manifest, read_strict
 
 
 def manifest(spark, tmp_path, *files, **options):
@@ -100,7 +102,7 @@ def test_headers_of_all_kinds(spark, tmp_path):
         ("h.wav", '"one'), ("i.wav", "x,y"), ("j.wav", "x, y"), ("k.wav", "x"),
     ]
     assert rejects == [
-        (",d.wav", "empty_field"), ("bob,g.wav", "empty_field"), ('two"', "no_comma"),
+        (",d.wav", "empty_field"), ("bob,g.wav,", "empty_field"), ('two"', "no_comma"),
         ("uuid,other", "bad_extension"),
     ]
 
@@ -150,10 +152,68 @@ def test_row_index_is_dense(spark, parts):
     assert row_index(df.filter("id < 0"), "id").count() == 0
 
 
-def test_large_cap_is_numbered(spark, monkeypatch):
-    monkeypatch.setattr("speechprep.operators.rows.TOP_ROWS", 10)
-    df = spark.range(500)
+@pytest.mark.parametrize("ordered", [3, 10_000])
+def test_cap_finds_the_cut(spark, monkeypatch, ordered):
+    """By rounds of pivots, with ties and nulls: exactly n rows, the first of the order."""
+    monkeypatch.setattr("speechprep.operators.rows.ORDERED", ordered)
+    monkeypatch.setattr("speechprep.operators.rows.PIVOTS", 7)
+    df = spark.range(900).selectExpr("if(id % 10 = 0, null, id % 7) as a", "if(id < 500, 0, id) as b", "id").repartition(5)
+    rows = sorted((tuple((x is not None, x or 0) for x in (r.a, r.b)) for r in df.collect()))
+    for n in (1, 2, 89, 90, 91, 333, 500, 899, 900, 901):
+        got = cap_rows(df, n, "a", "b").collect()
+        assert len(got) == min(n, 900)
+        assert sorted(tuple((x is not None, x or 0) for x in (r.a, r.b)) for r in got) == rows[:n]
     assert {r.id for r in cap_rows(df, 321, "id").collect()} == set(range(321))
+    assert cap_rows(df.filter("false"), 5, "id").count() == 0
+
+
+def test_cap_moves_and_writes_nothing(spark, monkeypatch):
+    monkeypatch.setattr("speechprep.operators.rows.ORDERED", 10)
+    capped = cap_rows(spark.range(5000), 1234, "id")
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert capped.count() == 1234 and "Exchange" not in plan and "Sort" not in plan
+
+
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    """One large quoted file, cut into many blocks: the rows of Spark's multi-line reader."""
+    draw = random.Random(9)
+    bits = ["x", "\n", "\n\n", ",", '""', " ", "word", "\r\n", "ü漢", '"",""', "a\nb"]
+    lines = ["uuid,sentence,who"]
+    for k in range(800):
+        text = "".join(draw.choices(bits, k=draw.choice([0, 1, 5, 60])))
+        lines.append(f'{k}.wav,"{text}",' + draw.choice(["bob", "", '""', '"x\ny"']))
+    (tmp_path / "m.csv").write_bytes(("\ufeff" + "\n".join(lines) + "\n").encode())
+    columns = ["uuid", "sentence", "who"]
+    schema = ", ".join(f"{c} string" for c in columns)
+    want = spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(str(tmp_path)).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    small_blocks(spark)
+    try:
+        assert read_lines(spark, str(tmp_path), "\n").rdd.getNumPartitions() > 20
+        got = read_strict(spark, str(tmp_path), columns, multiline=True)
+        assert got.filter("_bad is not null").count() == 0
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want)) and len(want) == 800
+        rows, rejects = read_manifest(spark, str(tmp_path))
+        kept = {(r.audio, r.text) for r in rows.collect()}
+        assert kept == {(r.uuid, r.sentence) for r in want if r.sentence}
+        assert rejects.count() == sum(not r.sentence for r in want)
+        ordered = [int(r.audio.split(".")[0]) for r in rows.orderBy("file", "pos").collect()]
+        assert ordered == sorted(ordered)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_strict_reader_marks_records_of_other_widths(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('uuid,sentence\na.wav,"x\ny",z\n\nb.wav\nc.wav,"q"\n')
+    got = read_strict(spark, str(tmp_path), ["uuid", "sentence"], multiline=True).orderBy("uuid").collect()
+    assert [(r.uuid, r.sentence, r._bad) for r in got if r._bad is None] == [("c.wav", "q", None)]
+    assert sorted(r._bad for r in got if r._bad) == ['a.wav,"x\ny",z', "b.wav"]
 
 
 def test_text_helpers(spark):
