@@ -567,7 +567,7 @@ def tokenise(spark, sf):
 
 @query
 def tokenise_large_vocab(spark, sf):
-    """As for a vocabulary beyond the bound, which is joined."""
+    """As for a vocabulary beyond the bound: a dictionary for each slice of the rows."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     coded = vocab.tokenise(docs, vocabulary(spark, sf), max_broadcast=0)
     return coded.select("doc_id", ints(F.col("text_ids")).alias("text_ids"))

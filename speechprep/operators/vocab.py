@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..constants import AUDIT_TEXTS, COMMON_TOKENS, START_OF_TEXT
 from ..functions.text import coverage_flag, words
@@ -16,6 +18,8 @@ from .rows import cap_rows
 
 # A vocabulary of at most this many entries is sent to every executor.
 MAX_BROADCAST_TOKENS = 1_000_000
+# Rows of a slice with a dictionary of its own, and letters of their texts.
+SLICE_ROWS, SLICE_CHARS = 1_024, 2_000_000
 
 
 def tokens_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -42,7 +46,8 @@ def tokenise(
     """Add word ids of each text, led by start-of-text when ``special``.
 
     A token listed more than once has its smallest id. A vocabulary within the bound goes to every executor
-    and rows stay where they are; a larger one is joined. Both give the same.
+    and rows stay where they are; a larger one is joined with the distinct tokens of slices of the rows. Both give the
+    same.
     """
     vocab = vocab.groupBy("token").agg(F.min("id").alias("id"))
     entries = vocab.limit(max_broadcast + 1).collect()
@@ -51,7 +56,7 @@ def tokenise(
         encode = _word_encoder(df, {e["token"]: e["id"] for e in entries}, unk)
         coded = df.withColumn("_ids", encode(text))
     else:
-        coded = _ids_by_join(df, vocab, text, unk)
+        coded = _ids_by_slices(df, vocab, text, unk)
     return once(coded, **{out: F.concat(lead, "_ids")}).drop("_ids")
 
 
@@ -71,24 +76,52 @@ def _word_encoder(df: DataFrame, ids: dict[str, int], unk: int):
     return encode
 
 
-def _ids_by_join(df: DataFrame, vocab: DataFrame, text: str, unk: int) -> DataFrame:
-    """Add ``_ids`` by a join on tokens; rows are written once with a number of their own.
+def _ids_by_slices(df: DataFrame, vocab: DataFrame, text: str, unk: int) -> DataFrame:
+    """Add ``_ids`` by a dictionary for each slice of the rows.
 
-    Distinct tokens are looked up and written. The join that hands ids back moves every occurrence, and
-    has a plain scan on both sides, so the adaptive skew join can split a frequent token.
+    A task packs its rows into slices and names the distinct tokens of each; the slices are written once. Distinct
+    (slice, token) pairs are joined with the vocabulary and come back as one dictionary a slice. Whole slices meet
+    their dictionaries, so no occurrence of a token is ever a row, however frequent it is.
     """
-    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    tokens = tokens_of(rows, text, "_row")
-    known = settled(vocab_lookup(tokens.select("token").distinct(), vocab, unk), "known-tokens")
-    ids = (
-        tokens.join(known, "token")
-        .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
-        .select("_row", F.col("_ids.id").alias("_ids"))
+    row = T.StructType(df.schema.fields)
+    packed = T.StructType(
+        [T.StructField("rows", T.ArrayType(row)), T.StructField("tokens", T.ArrayType(T.StringType()))]
     )
-    empty = F.array().cast("array<int>")
-    found = F.when(F.col(text).isNotNull(), F.coalesce("_ids", empty))
-    return rows.join(ids, "_row", "left").withColumn("_ids", found).drop("_row")
+    kind = to_arrow_type(T.ArrayType(row))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text)
+            start, held, tokens = 0, 0, set()
+            for at, value in enumerate(texts, 1):
+                words = (value.as_py() or "").split()
+                tokens.update(words)
+                held += 1 + sum(map(len, words))
+                if held >= SLICE_CHARS or at - start >= SLICE_ROWS or at == batch.num_rows:
+                    whole = batch.slice(start, at - start).to_struct_array()
+                    rows = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole).cast(kind)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows, pa.array([list(tokens)], pa.list_(pa.string()))], ["rows", "tokens"]
+                    )
+                    start, held, tokens = at, 0, set()
+
+    slices = settled(df.mapInArrow(pack, packed).withColumn("slice", F.monotonically_increasing_id()), "slices")
+    asked = slices.select("slice", F.explode("tokens").alias("token"))
+    entries = F.collect_list(F.struct("token", "id")).alias("entries")
+    told = settled(asked.join(vocab, "token").groupBy("slice").agg(entries), "slice-dictionaries")
+    coded = T.StructType([*row, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, entries in zip(batch.column("rows"), batch.column("entries")):
+                get = {e["token"]: e["id"] for e in entries.as_py() or ()}.get
+                own = rows.values
+                texts = own.field(text).to_pylist()
+                ids = [None if t is None else [get(w, unk) for w in t.split()] for t in texts]
+                columns = [own.field(k) for k in range(len(row))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], coded.names)
+
+    return slices.select("slice", "rows").join(told, "slice", "left").mapInArrow(encode, coded)
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

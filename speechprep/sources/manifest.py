@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_audio_name, strip
+from ..operators.funnel import Funnel
 from ..operators.once import once
 from ..session import settled
 
@@ -164,16 +165,16 @@ def file_headers(
     others. ``columns`` stand in for one without the names. Jobs run when called; only the width comes to the driver.
     """
     firsts = settled(lines.groupBy("file").agg(F.min("pos").alias("first_pos")), "first-places")
-    heads = settled(
+    heads = (
         lines.join(firsts, "file")
         .filter(F.col("pos") == F.col("first_pos"))
-        .select("file", "first_pos", strip(F.col("line")).alias("header")),
-        "headers",
+        .select("file", "first_pos", strip(F.col("line")).alias("header"))
     )
     width = F.size(F.split("header", ","))
-    may_name = F.col("header").contains(audio) & F.col("header").contains(text)
-    most = heads.filter(may_name & (width <= MAX_COLUMNS)).agg(F.max(width)).first()[0] or 1
-    most = max(most, len(columns or []))
+    may_name = F.col("header").contains(audio) & F.col("header").contains(text) & (width <= MAX_COLUMNS)
+    widest = Funnel()
+    heads = settled(widest.watch(heads, most=F.max(F.when(may_name, width))), "headers")
+    most = max(widest.counts().get("most") or 1, len(columns or []))
     named = once(_split(heads, F.col("header"), most), _count=_field_count())
     named = once(named, _names=F.slice("_parts", 1, F.greatest("_count", F.lit(0))))
     place = lambda name: F.array_position("_names", F.lit(name)).cast("int")

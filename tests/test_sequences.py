@@ -102,6 +102,20 @@ def test_repeated_entries_and_repeated_rows(spark, bound):
     assert sorted(r.text_ids for r in coded.collect()) == [[0, 2, 3], [0, 2, 3], [2]]
 
 
+def test_no_occurrence_is_shuffled_for_a_large_vocabulary(spark, monkeypatch):
+    """Rows of any columns keep them; what moves is slices and distinct tokens of slices, not tokens."""
+    monkeypatch.setattr(vocab, "SLICE_ROWS", 7)
+    rows = [(n, " ".join(["hot"] * 50 + [f"w{n % 9}"]) if n % 5 else None, [n, None], {"k": n}) for n in range(100)]
+    df = spark.createDataFrame(rows, "n int, text string, codes array<int>, m map<string,int>").repartition(3)
+    known = spark.createDataFrame([("hot", 4), ("w1", 5), ("w2", 6)], "token string, id int")
+    told = lambda bound: {r.n: (r.text, r.codes, r.m, r.text_ids) for r in vocab.tokenise(df, known, max_broadcast=bound).collect()}
+    assert told(0) == told(10) and len(told(0)) == 100
+    counted = []
+    monkeypatch.setattr(vocab, "settled", lambda frame, name: counted.append((name, frame.count())) or frame.cache())
+    vocab.tokenise(df, known, max_broadcast=0).collect()
+    assert dict(counted)["slices"] < 25 and sum(n for _, n in counted) < 60  # of 4,080 occurrences
+
+
 def test_audit_of_the_whole_table(spark):
     df = spark.range(300).selectExpr("id as n", "'a' as text")
     assert vocab.audit_sample(df, "n", n=None).count() == 300
