@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,6 +114,20 @@ def chosen_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     return near.withColumn("r_", rank).filter(F.col("r_") <= most).drop("r_", "n_")
 
 
+def collected_features(rows: DataFrame) -> list[tuple]:
+    """A bounded sample (h, label, used, value) on the driver, in order of h and label: (used, value, label) each.
+
+    ``used`` are whole numbers and ``value`` floats of 32 bits; what brought them here is let go.
+    """
+    out = []
+    for batch in rows.toArrow().to_batches():
+        for h, label, used, value in zip(*(batch.column(c) for c in ("h", "label", "used", "value"))):
+            out.append((h.as_py(), label.as_py(), used.values.to_numpy().copy(), value.values.to_numpy().copy()))
+    pa.default_memory_pool().release_unused()
+    out.sort(key=lambda row: row[:2])
+    return [(used, value, label) for _, label, used, value in out]
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as this Python worker, whatever tasks come and go.
 

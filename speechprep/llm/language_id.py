@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechprep.llm.common import chosen_by_hash
+from speechprep.llm.common import chosen_by_hash, collected_features
 from speechprep.llm.hashed_text import gram_counts
 
 ORDERS, GRAM_BITS = (1, 2, 3), 15
@@ -173,25 +173,20 @@ def language_id(
         for batch in batches:
             pairs = [_weighted(t.as_py(), idf) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.list_(pa.int64())),
-                 pa.array([p[1] for p in pairs], pa.list_(pa.float64()))],
-                ["lang", "h", "used", "value"],
+                [batch.column(0), batch.column(1), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
+                 pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))],
+                ["label", "h", "used", "value"],
             )
 
     sampled = _sample(rows, per_language).select("lang", "h", "text")
-    got = sampled.mapInArrow(features, "lang string, h long, used array<long>, value array<double>").toArrow()
-    got = got.sort_by([("h", "ascending"), ("lang", "ascending")])
-    names = sorted(set(got.column("lang").to_pylist()))
+    sampled = collected_features(sampled.mapInArrow(features, "label string, h long, used array<int>, value array<float>"))
+    names = sorted({lang for _, _, lang in sampled})
     if not names:
         return df.select(
             F.col(id_col).alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
         )
     number = {name: k for k, name in enumerate(names)}
-    used, value = got.column("used").combine_chunks(), got.column("value").combine_chunks()
-    samples = [
-        (used[k].values.to_numpy(), value[k].values.to_numpy(), number[lang])
-        for k, lang in enumerate(got.column("lang").to_pylist())
-    ]
+    samples = [(used, value, number[lang]) for used, value, lang in sampled]
     weights = fit_languages(samples, len(names))
     # The weights that are not zero: at most buckets times languages.
     shared = df.sparkSession.sparkContext.broadcast((idf, weights, names))

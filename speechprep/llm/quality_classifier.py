@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechprep.llm.common import chosen_by_hash
+from speechprep.llm.common import chosen_by_hash, collected_features
 from speechprep.llm.hashed_text import gram_counts
 from speechprep.session import settled
 
@@ -131,25 +131,22 @@ def fit_quality(
         for batch in batches:
             pairs = [features(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.list_(pa.int64())),
-                 pa.array([p[1] for p in pairs], pa.list_(pa.float64()))],
-                ["h", "grade", "used", "value"],
+                [batch.column(0), batch.column(1), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
+                 pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))],
+                ["h", "label", "used", "value"],
             )
 
-    got = rated.select("h", "grade", "text").mapInArrow(
-        extract, "h long, grade int, used array<long>, value array<double>"
-    ).toArrow().sort_by([("h", "ascending")])
-    labels = got.column("grade").to_pylist()
+    sampled = collected_features(rated.select("h", "grade", "text").mapInArrow(
+        extract, "h long, label int, used array<int>, value array<float>"
+    ))
+    labels = [grade for _, _, grade in sampled]
     if len(set(labels)) < 2:
         return None, np.zeros(0)
     # One number for each grade that was sampled.
     rated_in_all = {r.grade: r["count"] for r in graded.filter(F.col("grade").isin(list(set(labels)))).groupBy("grade").count().collect()}
     stands_for = {g: rated_in_all[g] / labels.count(g) for g in set(labels)}
     mean = sum(rated_in_all.values()) / len(labels)
-    used, value = got.column("used").combine_chunks(), got.column("value").combine_chunks()
-    samples = [
-        (used[k].values.to_numpy(), value[k].values.to_numpy(), g, stands_for[g] / mean) for k, g in enumerate(labels)
-    ]
+    samples = [(used, value, g, stands_for[g] / mean) for used, value, g in sampled]
     fit, apart = [s for k, s in enumerate(samples) if k % KEPT_OUT], samples[::KEPT_OUT]
     if len({s[2] for s in fit}) < len(set(labels)) or len({s[2] for s in apart}) < len(set(labels)):
         return fit_ordinal(samples, max(labels) + 1)  # too few to keep any out
