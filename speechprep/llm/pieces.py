@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-A text is cut into words, and words into units (runs of letters, or of other characters), neither of which a piece
+A text is cut into units (runs of letters, or of other characters, with the spaces before them), which no piece
 crosses. For the units of a corpus the lattice is relational: substrings of bounded length are exploded and joined
 with the piece table, the edges are grouped by unit, and a higher-order ``aggregate`` folds Viterbi's recursion over
 the ends of each. The most frequent units, as many as fit a fixed bound, are encoded so and sent to the tasks; a task
@@ -31,17 +31,17 @@ from speechprep.llm.common import Shared
 from speechprep.session import settled
 
 MARK = "▁"
-#: Words: a run of spaces with what follows it, or what follows no space; line breaks stand alone.
-WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: How many units are sent to the tasks, and how long they may be.
 SENT, SENT_CHARS = 200_000, 48
-#: Bytes of further units and of words that a worker remembers, about: ENTRY for each and what it holds.
-UNIT_BYTES, WORD_BYTES, ENTRY = 72 << 20, 36 << 20, 180
+#: Bytes of further units that a worker remembers, about: ENTRY for each and what it holds.
+UNIT_BYTES, ENTRY = 112 << 20, 200
 #: Bytes of ids in a batch that leaves a task.
 OUT_BYTES = 4 << 20
-#: Words that a task counts before it hands its counts on.
+#: Units that a task counts before it hands its counts on.
 COUNTED = 400_000
 MOST_PIECES = 1_000_000
+#: No merge: less than any key. What is no beginning of a piece: no code, no merges, nothing goes on.
+NONE, ABSENT = -(1 << 80), (-1, [], False)
 #: Places in a word; scores down to -1e9 then still fit 64 bits.
 PLACES = 1 << 32
 
@@ -130,28 +130,40 @@ def pack(pieces: Pieces, codes: list[int]) -> bytes:
 
 
 def fold(pieces: Pieces, word: str) -> list[int]:
-    """Viterbi over one word: the best sum of weights; of equal sums the latest start of the last piece."""
+    """Viterbi over one word: the best sum of weights; of equal sums the latest start of the last piece.
+
+    Sums compare from the front, so an edge whose best merge is worse than that of the sum already found is passed by
+    before its sum is put together.
+    """
     get, n = pieces.steps.get, len(word)
-    best: list = [([], 0, 0)] + [None] * n
+    sums: list = [[]] + [None] * n
+    tops, starts, codes = [NONE] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     for start in range(n):
-        weight = best[start][0]
+        weight, best = sums[start], tops[start]
         for end in range(start + 1, n + 1):
-            code, more, goes_on = get(word[start:end]) or (-1, [], False)
+            code, more, goes_on = get(word[start:end], ABSENT)
             if code >= 0 or end - start == 1:
-                sums = weight
-                if more:
-                    here = [key - start for key in more] if start else more
-                    sums = sorted(weight + here, reverse=True) if weight else here
-                edge = (sums, start, code if code >= 0 else -1 - ord(word[start]))
-                if best[end] is None or edge > best[end]:
-                    best[end] = edge
+                top = more[0] - start if more else NONE
+                if best > top:
+                    top = best
+                if sums[end] is None or top >= tops[end]:
+                    if not more:
+                        here = weight
+                    elif weight:
+                        here = sorted(weight + [key - start for key in more], reverse=True)
+                    else:
+                        here = [key - start for key in more] if start else more
+                    # A later start wins among equal sums.
+                    if sums[end] is None or here >= sums[end]:
+                        sums[end], tops[end], starts[end] = here, top, start
+                        codes[end] = code if code >= 0 else -1 - ord(word[start])
             if not goes_on:
                 break
-    codes, at = [], n
+    out, at = [], n
     while at:
-        codes.append(best[at][2])
-        at = best[at][1]
-    return codes[::-1]
+        out.append(codes[at])
+        at = starts[at]
+    return out[::-1]
 
 
 def lattice_encode(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -196,32 +208,28 @@ def lattice_encode(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.select("word", back["codes"].alias("codes"))
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a text, spaces kept; the text starts as if a space stood before it. The mark is a space."""
-    return WORD.findall(" " + text.replace(MARK, " ")) if text else []
+def split_units(text: str, units: re.Pattern) -> list[str]:
+    """The units of a text, spaces as marks; the text starts as if a space stood before it."""
+    return units.findall((" " + text).replace(" ", MARK)) if text else []
 
 
 def unit_counts(texts: DataFrame, units: re.Pattern) -> DataFrame:
-    """(word, n) for the units of a column ``text``: words are counted in each task, and cut before the shuffle."""
+    """(word, n) for the units of a column ``text``, counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            found: Counter = Counter()
-            for word, n in seen.items():
-                for unit in units.findall(word.replace(" ", MARK)):
-                    found[unit] += n
-            seen.clear()
-            items = iter([(u, n) for u, n in found.items() if len(u) <= SENT_CHARS])
+            items = iter([(u, n) for u, n in seen.items() if len(u) <= SENT_CHARS])
             while some := list(islice(items, 50_000)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([u for u, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"]
                 )
+            seen.clear()
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(split_words(text.as_py() or ""))
+                seen.update(split_units(text.as_py() or "", units))
                 if len(seen) > COUNTED:
                     yield from out()
         yield from out()
@@ -248,44 +256,30 @@ def encode_units(texts: DataFrame, pieces: Pieces, most: int = SENT) -> dict[str
     return {w.as_py(): pack(pieces, c.as_py()) for w, c in zip(found.column("word"), found.column("codes"))}
 
 
-class Units(dict):
-    """Packed ids by unit: those sent, and those folded since."""
+class Encoder(dict):
+    """Packed ids by unit: those sent, and those folded since, of which the older half is let go when they are too many."""
 
     def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
         super().__init__(sent)
-        self.pieces, self.sent, self.held = pieces, sent, 0
+        self.pieces, self.held = pieces, 0
+        self.recent: list[str] = []
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        packed = pack(self.pieces, fold(self.pieces, unit))
+        packed = self.older.get(unit)
+        if packed is None:
+            packed = pack(self.pieces, fold(self.pieces, unit))
         if len(unit) <= SENT_CHARS:
             self.held += ENTRY + len(unit) + len(packed)
-            if self.held > UNIT_BYTES:
-                self.clear()
-                self.update(self.sent)
-                self.held = 0
+            if 2 * self.held > UNIT_BYTES:
+                self.older = {u: self.pop(u) for u in self.recent}
+                self.recent, self.held = [], 0
             self[unit] = packed
-        return packed
-
-
-class Encoder(dict):
-    """Packed ids by word, put together from those of its units."""
-
-    def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
-        super().__init__()
-        self.pieces, self.units, self.held = pieces, Units(pieces, sent), 0
-
-    def __missing__(self, word: str) -> bytes:
-        packed = b"".join(map(self.units.__getitem__, self.pieces.units.findall(word.replace(" ", MARK))))
-        if len(word) <= SENT_CHARS:
-            self.held += ENTRY + len(word) + len(packed)
-            if self.held > WORD_BYTES:
-                self.clear()
-                self.held = 0
-            self[word] = packed
+            self.recent.append(unit)
         return packed
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, split_words(text)))
+        return b"".join(map(self.__getitem__, split_units(text, self.pieces.units)))
 
 
 def decode(pieces: Pieces, ids: np.ndarray) -> str:
