@@ -580,13 +580,12 @@ def test_mark_is_a_space(model):
 
 def test_bounded_memories_give_the_same(spark, model, monkeypatch):
     monkeypatch.setattr(sp, "UNIT_BYTES", 2000)
-    monkeypatch.setattr(sp, "WORD_BYTES", 2000)
     monkeypatch.setattr(sp, "OUT_BYTES", 500)
     reader, encoder = sentencepiece.SentencePieceProcessor(model_proto=model), sp.Encoder(sp.Pieces(model), {})
     r = random.Random(5)
     text = " ".join("".join(r.choice("abcdeo") for _ in range(r.randint(1, 7))) for _ in range(600))
     assert np.frombuffer(encoder.encode(text), "<i4").tolist() == reader.encode(text)
-    assert len(encoder) < 20 and len(encoder.units) < 20
+    assert len(encoder) + len(encoder.older) < 20
     rows = [(k, text[k : k + 40 * k], "s") for k in range(60)]
     got = {x.doc_id: x.ids for x in sp.encode(docs(spark, rows), model).collect()}
     assert got == {k: reader.encode(t) for k, t, _ in rows}
