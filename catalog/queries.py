@@ -97,7 +97,7 @@ def write_manifests(spark: SparkSession, sf: str) -> str:
     lines = named_lines(spark, sf).withColumnsRenamed({"name": "uuid"})
 
     def put(df: DataFrame, kind: str, **options) -> None:
-        df.write.options(header=True, escape='"', **options).csv(f"{folder}/{kind}")
+        df.write.options(header=True, escape='"', compression="gzip", **options).csv(f"{folder}/{kind}")
 
     put(lines.select("uuid", "sentence"), "quoted", quoteAll=True)
     put(lines.select("sentence", "lang", "uuid"), "wide")

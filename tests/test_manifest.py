@@ -225,3 +225,24 @@ def test_text_helpers(spark):
     for folder, want in [("/d", "/d/a.wav"), ("/d/", "/d/a.wav"), ("", "a.wav")]:
         got = [r[0] for r in names.select(join_path(folder, F.col("n"))).collect()]
         assert got == [want, "/x/a.wav"]
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_whole_lines_are_written_few_times(spark, tmp_path, broken):
+    from pathlib import Path
+
+    from speechprep.session import shared_dir
+    from speechprep.sources.manifest import parse_manifest
+
+    pick = random.Random(7)
+    text = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz0123456789+-", k=2000)) for _ in range(1000)]
+    rows = [f'{n}.wav,"{t[:1000]}{chr(10) if broken else " "}{t[1000:]}"' for n, t in enumerate(text)]
+    source = tmp_path / "m.csv"
+    source.write_text("\n".join(["uuid,sentence", *rows]) + "\n")
+    folder = Path(shared_dir(spark)) / "speechprep"
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = held()
+    parsed = parse_manifest(spark, str(source)).filter("reason is null")
+    assert sorted(int(r.audio.split(".")[0]) for r in parsed.select("audio").collect()) == list(range(1000))
+    # Lines once; with line breaks in fields also as read again, with their record's place, and put together.
+    assert held() - before < (4 if broken else 1) * source.stat().st_size
