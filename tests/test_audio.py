@@ -443,3 +443,12 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         seen.append(sorted((r.audio, r.reason) for r in taken.collect()))
     assert seen[0] == [("a.wav", None), ("b.mp3", "bad_extension")]
     assert seen[1] == [*seen[0], ("c.wav", None), ("d.wav", "no_comma")]
+
+
+def test_ingest_writes_compact_tables(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.csv").write_text("uuid,sentence\na.wav,one\n")
+    incremental_ingest(spark, str(source), str(target), str(tmp_path / "marks")).awaitTermination()
+    assert [f.name for f in target.rglob("*.parquet") if ".zstd." not in f.name] == []
+    assert [r.audio for r in spark.read.parquet(str(target)).collect()] == ["a.wav"]
