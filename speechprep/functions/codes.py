@@ -6,6 +6,7 @@ the lambdas read their argument once per element.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +58,28 @@ def interleave(l1: Column, l2: Column, l3: Column) -> Column:
     ).cast("array<int>")
 
 
+def interleaved(l1, l2, l3):
+    """The same of one row's layers inside a Python worker; sequences or numpy arrays, which may hold None."""
+    if l1 is None or l2 is None or l3 is None or len(l2) < 2 * len(l1) or len(l3) < 4 * len(l1):
+        return None
+    layers = {1: l1, 2: l2, 3: l3}
+    if any(not isinstance(x, np.ndarray) and None in x for x in layers.values()):
+        return [
+            None if (code := layers[layer][LAYER_WIDTH[layer] * i + phase]) is None else code + AUDIO_OFFSET + k * CODEBOOK
+            for i in range(len(l1))
+            for k, (layer, phase) in enumerate(FRAME_LAYOUT)
+        ]
+    flat = np.empty((len(l1), FRAME), np.int64)
+    for k, (layer, phase) in enumerate(FRAME_LAYOUT):
+        width = LAYER_WIDTH[layer]
+        own = np.asarray(layers[layer][: width * len(l1)]).reshape(-1, width)[:, phase]
+        if len(own) and own.dtype.kind not in "iu":
+            raise TypeError(f"codes of layer {layer} are not whole numbers")
+        flat[:, k] = own
+        flat[:, k] += AUDIO_OFFSET + k * CODEBOOK
+    return flat.ravel()
+
+
 def layer_of(codes: Column, layer: int) -> Column:
     """One layer back out of flat relative codes; a tail below a frame is dropped."""
     slots = [

@@ -4,6 +4,8 @@ The walk has state (the slot expected next), which no built-in array function
 carries cheaply: an ``aggregate`` fold copies its output array at every step.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -39,9 +41,19 @@ def accepted(rows: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return keep
 
 
+# Rows whose tokens are walked at once.
+ROWS_AT_ONCE = 512
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
-def in_slot_codes(ids: pa.Array) -> pa.Array:
+def in_slot_codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Relative codes of the tokens that sit in the slot expected at that point."""
+    for ids in batches:
+        for start in range(0, len(ids), ROWS_AT_ONCE):
+            yield _in_slot(ids.slice(start, ROWS_AT_ONCE))
+
+
+def _in_slot(ids: pa.Array) -> pa.Array:
     lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     tokens = ids.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.repeat(np.arange(len(lengths)), lengths)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..constants import AUDIT_TEXTS, COMMON_TOKENS, START_OF_TEXT
 from ..functions.text import coverage_flag, words
 from ..session import settled
+from .models import pieces
 from .once import once
 from .rows import cap_rows
 
@@ -60,6 +61,11 @@ def tokenise(
     return once(coded, **{out: F.concat(lead, "_ids")}).drop("_ids")
 
 
+def _ids(texts: pa.Array, get: Callable, unk: int) -> pa.Array:
+    ids = [None if t is None else [get(w, unk) for w in t.split()] for t in texts.to_pylist()]
+    return pa.array(ids, pa.list_(pa.int32()))
+
+
 def _word_encoder(df: DataFrame, ids: dict[str, int], unk: int):
     shared = df.sparkSession.sparkContext.broadcast(ids)
 
@@ -67,11 +73,8 @@ def _word_encoder(df: DataFrame, ids: dict[str, int], unk: int):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = shared.value.get
         for batch in texts:
-            ids = [
-                None if t is None else [get(w, unk) for w in t.split()]
-                for t in batch.to_pylist()
-            ]
-            yield pa.array(ids, pa.list_(pa.int32()))
+            for (some,) in pieces((batch,)):
+                yield _ids(some, get, unk)
 
     return encode
 
@@ -116,10 +119,8 @@ def _ids_by_slices(df: DataFrame, vocab: DataFrame, text: str, unk: int) -> Data
             for rows, entries in zip(batch.column("rows"), batch.column("entries")):
                 get = {e["token"]: e["id"] for e in entries.as_py() or ()}.get
                 own = rows.values
-                texts = own.field(text).to_pylist()
-                ids = [None if t is None else [get(w, unk) for w in t.split()] for t in texts]
                 columns = [own.field(k) for k in range(len(row))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], coded.names)
+                yield pa.RecordBatch.from_arrays([*columns, _ids(own.field(text), get, unk)], coded.names)
 
     return slices.select("slice", "rows").join(told, "slice", "left").mapInArrow(encode, coded)
 

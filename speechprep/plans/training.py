@@ -38,11 +38,13 @@ def encode_files(
         files = None if budget is None else FILES_AT_ONCE
         factory = from_path(encoder, rate, on_error, budget)
         coded = apply_model(df, factory, ["path"], "_coded", CODED, budget=files, cost=lambda row: 1)
-        layers = coded.withColumns(
-            {n: F.col(f"_coded.{n}") for n in ("l1", "l2", "l3")}
-            | {"error": F.coalesce("error", "_coded.fault"), "decode_ok": F.col("_coded.fault").isNull()}
-        )
-        return interleave(layers.drop("_coded")).drop("l1", "l2", "l3")
+        return coded.withColumns(
+            {
+                "codes": F.col("_coded.codes"),
+                "error": F.coalesce("error", "_coded.fault"),
+                "decode_ok": F.col("_coded.fault").isNull(),
+            }
+        ).drop("_coded")
 
     return step
 

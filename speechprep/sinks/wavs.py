@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SAMPLE_RATE
 from ..functions import wav
 from ..functions.files import write_bytes
+from ..operators.models import pieces
 
 
 def wav_writer(rate: int = SAMPLE_RATE, encoding: str = "float32"):
@@ -32,10 +35,16 @@ def wav_writer(rate: int = SAMPLE_RATE, encoding: str = "float32"):
         except Exception as fault:
             return False, str(fault) or type(fault).__name__
 
-    @F.pandas_udf("ok boolean, error string")
-    def write(path: pd.Series, samples: pd.Series) -> pd.DataFrame:
-        done = [one(p, s) for p, s in zip(path, samples)]
-        return pd.DataFrame(done, columns=["ok", "error"])
+    def rows(path: pa.Array, samples: pa.Array) -> Iterator[tuple]:
+        for some in pieces((path, samples)):
+            names, sounds = (column.to_pandas() for column in some)
+            yield from zip(names, sounds)
+
+    @F.arrow_udf("ok boolean, error string")
+    def write(path: pa.Array, samples: pa.Array) -> pa.Array:
+        done = [one(p, s) for p, s in rows(path, samples)]
+        columns = [pa.array([ok for ok, _ in done], pa.bool_()), pa.array([error for _, error in done], pa.string())]
+        return pa.StructArray.from_arrays(columns, ["ok", "error"])
 
     # Writing is an effect: Spark must not run it twice or leave it out.
     return write.asNondeterministic()

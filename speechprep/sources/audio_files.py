@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..constants import SAMPLE_RATE
 from ..functions import wav
+from ..functions.codes import interleaved
 from ..functions.files import file_size, list_folder, read_bytes
 from ..operators.models import batched_calls
 from ..session import settled
@@ -25,7 +26,7 @@ TASK_BYTES = 128 << 20
 FILES_AT_ONCE = 64
 LISTED = 10_000
 DECODED = "samples array<float>, source_rate int, decode_ok boolean, error string"
-CODED = "struct<l1: array<int>, l2: array<int>, l3: array<int>, fault: string>"
+CODED = "struct<codes: array<int>, fault: string>"
 
 
 def audio_inventory(spark: SparkSession, *folders: str) -> DataFrame:
@@ -134,7 +135,7 @@ def decoder(rate: int = SAMPLE_RATE, on_error: str = "silence"):
 def from_path(encoder, rate: int = SAMPLE_RATE, on_error: str = "silence", budget: int | None = None):
     """Factory of an encoder that takes a path: read, decode and encode in one go.
 
-    Neither bytes nor samples leave the Python worker; only codes do, with the ``fault`` of a file that was
+    Neither bytes nor samples leave the Python worker; only flat codes do (as ``interleave`` makes them), with the ``fault`` of a file that was
     coded as silence. With a ``budget`` it takes a list of rows, and the encoder lists of waveforms.
     """
 
@@ -144,7 +145,7 @@ def from_path(encoder, rate: int = SAMPLE_RATE, on_error: str = "silence", budge
 
     def coded(layers, fault: str | None) -> dict:
         named = layers if isinstance(layers, dict) else dict(zip(("l1", "l2", "l3"), layers or (None,) * 3))
-        return named | {"fault": fault}
+        return {"codes": interleaved(*[named.get(n) for n in ("l1", "l2", "l3")]), "fault": fault}
 
     def build():
         encode = encoder()

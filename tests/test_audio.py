@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.standins import dequantiser, echo, quantiser, without_top_p
 from speechprep.functions import wav
 from speechprep.functions.audio import first_channel
-from speechprep.operators import models
+from speechprep.operators import models, vocab
 from speechprep.operators.audio import or_silence, peak_normalise
 from speechprep.plans import generation, training
 from speechprep.sinks.tables import export_manifest
@@ -452,3 +452,59 @@ def test_ingest_writes_compact_tables(spark, tmp_path):
     incremental_ingest(spark, str(source), str(target), str(tmp_path / "marks")).awaitTermination()
     assert [f.name for f in target.rglob("*.parquet") if ".zstd." not in f.name] == []
     assert [r.audio for r in spark.read.parquet(str(target)).collect()] == ["a.wav"]
+
+
+def test_long_rows_become_python_values_by_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 300_000, None, "y"] * 40)
+    parts = [some for (some,) in models.pieces((texts,))]
+    assert len(parts) > 2 and pa.concat_arrays(parts).equals(texts)
+    assert all(sum(len(t or "") for t in part.to_pylist()[:-1]) < models.BYTES_AT_ONCE for part in parts)
+    assert [len(some) for some, _ in models.pieces((pa.array(range(2500)), pa.array([[1]] * 2500)))] == [1024, 1024, 452]
+    assert list(models.pieces((pa.array([], pa.string()),))) == []
+    monkeypatch.setattr(models, "BYTES_AT_ONCE", 1)
+    df = spark.createDataFrame([(n, "a b " * n or None) for n in range(9)], "n int, text string").coalesce(1)
+    known = spark.createDataFrame([("a", 4)], "token string, id int")
+    got = {r.n: r.text_ids for r in vocab.tokenise(df, known, special=False).collect()}
+    assert got == {n: [4, 0] * n if n else None for n in range(9)}
+
+
+def test_slots_are_walked_by_stretches_of_rows(spark, monkeypatch):
+    from speechprep.functions import slots
+
+    df = spark.createDataFrame([(n, [128266 + 4096 * k + n for k in range(n % 9)] if n % 4 else None) for n in range(50)], "n int, ids array<int>")
+    told = lambda: {r.n: r.c for r in df.coalesce(1).select("n", slots.in_slot_codes("ids").alias("c")).collect()}
+    whole = told()
+    monkeypatch.setattr(slots, "ROWS_AT_ONCE", 3)
+    assert told() == whole and sum(c is None for c in whole.values()) == 13
+
+
+def test_numpy_results_go_to_arrow_as_the_numbers_asked_for():
+    import numpy as np
+    import pyarrow as pa
+
+    kind = pa.struct([("codes", pa.list_(pa.int32())), ("fault", pa.string())])
+    made = models._narrowed({"codes": np.arange(3), "fault": None}, kind)
+    assert made["codes"].dtype == np.int32 and pa.array([made], kind).to_pylist() == [{"codes": [0, 1, 2], "fault": None}]
+    with pytest.raises(pa.ArrowInvalid):
+        models._narrowed(np.array([2**40]), pa.list_(pa.int32()))
+
+
+def test_codes_are_interleaved_where_files_are_read(spark, folder):
+    import random
+
+    from speechprep.functions.codes import interleaved
+    from speechprep.operators.frames import interleave
+    from speechprep.plans.training import encode_files
+
+    pick = random.Random(3)
+    rows = [[[pick.randrange(4096) for _ in range(pick.randrange(n * 4))] for n in (1, 2, 4)] for _ in range(60)]
+    rows += [[[1], [2, 3], [4, None, 5, 6]], [None, [1], [2]], [[], [], []], [[1], [2], [3, 4, 5, 6]]]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, l1 array<int>, l2 array<int>, l3 array<int>")
+    for r in interleave(df).collect():
+        got = interleaved(*rows[r.k])
+        assert r.codes == (None if got is None else list(got))
+    coded = encode_files(lambda: lambda x: ([1], [2, 3], [4, 5, 6, 7]))(spark.createDataFrame([("/none.wav",)], "path string"))
+    assert "lambda" not in coded._jdf.queryExecution().toString()
+    assert [len(r.codes) for r in coded.collect()] == [7]
