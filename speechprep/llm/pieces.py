@@ -37,11 +37,11 @@ SENT, SENT_CHARS = 200_000, 48
 UNIT_BYTES, ENTRY = 112 << 20, 200
 #: Bytes of ids in a batch that leaves a task.
 OUT_BYTES = 4 << 20
-#: Units that a task counts before it hands its counts on.
-COUNTED = 400_000
+#: Words that a task counts before it hands the counts of their units on; words of several units that a worker remembers.
+COUNTED, JOINED = 400_000, 1 << 16
 MOST_PIECES = 1_000_000
 #: No merge: less than any key. What is no beginning of a piece: no code, no merges, nothing goes on.
-NONE, ABSENT = -(1 << 80), (-1, [], False)
+NONE, ABSENT = -(1 << 80), (-1, [], None)
 #: Places in a word; scores down to -1e9 then still fit 64 bits.
 PLACES = 1 << 32
 
@@ -111,9 +111,14 @@ class Pieces:
                 raise ValueError(f"a piece crosses words: {piece!r}")
         self.longest = max(map(len, self.table))
         self.units = unit_pattern(self.table)
-        #: Pieces and beginnings of pieces: id (-1 for no piece), weight, and whether some piece goes on from here.
-        going = {p[:k] for p in self.table for k in range(1, len(p))}
-        self.steps = {p: (*self.table.get(p, (-1, [])), p in going) for p in going | self.table.keys()}
+        #: By first character, pieces and beginnings of pieces: id (-1 for no piece), weight, and the same by the next
+        #: character (None where no piece goes on).
+        beginnings = {p[:k] for p in self.table for k in range(1, 1 + len(p))}
+        following: dict[str, dict] = {}
+        for p in sorted(beginnings, key=len, reverse=True):
+            step = (*self.table.get(p, (-1, [])), following.pop(p, None))
+            following.setdefault(p[:-1], {})[p[-1]] = step
+        self.steps: dict[str, tuple] = following.get("", {})
 
 
 def pack(pieces: Pieces, codes: list[int]) -> bytes:
@@ -135,13 +140,14 @@ def fold(pieces: Pieces, word: str) -> list[int]:
     Sums compare from the front, so an edge whose best merge is worse than that of the sum already found is passed by
     before its sum is put together.
     """
-    get, n = pieces.steps.get, len(word)
+    n = len(word)
     sums: list = [[]] + [None] * n
     tops, starts, codes = [NONE] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     for start in range(n):
         weight, best = sums[start], tops[start]
+        steps = pieces.steps
         for end in range(start + 1, n + 1):
-            code, more, goes_on = get(word[start:end], ABSENT)
+            code, more, steps = steps.get(word[end - 1], ABSENT)
             if code >= 0 or end - start == 1:
                 top = more[0] - start if more else NONE
                 if best > top:
@@ -157,7 +163,7 @@ def fold(pieces: Pieces, word: str) -> list[int]:
                     if sums[end] is None or here >= sums[end]:
                         sums[end], tops[end], starts[end] = here, top, start
                         codes[end] = code if code >= 0 else -1 - ord(word[start])
-            if not goes_on:
+            if steps is None:
                 break
     out, at = [], n
     while at:
@@ -213,13 +219,29 @@ def split_units(text: str, units: re.Pattern) -> list[str]:
     return units.findall((" " + text).replace(" ", MARK)) if text else []
 
 
+def split_words(text: str, units: re.Pattern) -> list[str]:
+    """A text in order as words and line breaks, whose units are those of the text; as units where marks stand side by side."""
+    if not text or text[0] == " " or "  " in text or MARK in text:
+        return split_units(text, units)
+    return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+
+
 def unit_counts(texts: DataFrame, units: re.Pattern) -> DataFrame:
-    """(word, n) for the units of a column ``text``, counted in each task before the shuffle."""
+    """(word, n) for the units of a column ``text``, counted in each task before the shuffle.
+
+    Words are counted first, and each distinct one is cut into its units when counts are handed on.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
+            for word in list(seen):
+                parts = units.findall(word)
+                if parts != [word]:
+                    n = seen.pop(word)
+                    for unit in parts:
+                        seen[unit] += n
             items = iter([(u, n) for u, n in seen.items() if len(u) <= SENT_CHARS])
             while some := list(islice(items, 50_000)):
                 yield pa.RecordBatch.from_arrays(
@@ -229,7 +251,10 @@ def unit_counts(texts: DataFrame, units: re.Pattern) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(split_units(text.as_py() or "", units))
+                words = split_words(text.as_py() or "", units)
+                if max(map(len, words), default=0) > SENT_CHARS:  # whole lines without a space are not held
+                    words = [u for w in words for u in (units.findall(w) if len(w) > SENT_CHARS else [w])]
+                seen.update(words)
                 if len(seen) > COUNTED:
                     yield from out()
         yield from out()
@@ -257,15 +282,20 @@ def encode_units(texts: DataFrame, pieces: Pieces, most: int = SENT) -> dict[str
 
 
 class Encoder(dict):
-    """Packed ids by unit: those sent, and those folded since, of which the older half is let go when they are too many."""
+    """Packed ids by unit: those sent, and those folded since, of which the older half is let go when they are too many;
+    and by word of several units, all of which are let go when they are too many."""
 
     def __init__(self, pieces: Pieces, sent: dict[str, bytes]):
         super().__init__(sent)
         self.pieces, self.held = pieces, 0
         self.recent: list[str] = []
         self.older: dict[str, bytes] = {}
+        self.joined: list[str] = []
 
     def __missing__(self, unit: str) -> bytes:
+        parts = self.pieces.units.findall(unit)
+        if parts != [unit]:
+            return self._join(unit, parts)
         packed = self.older.get(unit)
         if packed is None:
             packed = pack(self.pieces, fold(self.pieces, unit))
@@ -278,8 +308,19 @@ class Encoder(dict):
             self.recent.append(unit)
         return packed
 
+    def _join(self, word: str, parts: list[str]) -> bytes:
+        packed = b"".join(map(self.__getitem__, parts))
+        if len(word) <= SENT_CHARS:
+            if len(self.joined) >= JOINED:
+                for w in self.joined:
+                    del self[w]
+                self.joined.clear()
+            self[word] = packed
+            self.joined.append(word)
+        return packed
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, split_units(text, self.pieces.units)))
+        return b"".join(map(self.__getitem__, split_words(text, self.pieces.units)))
 
 
 def decode(pieces: Pieces, ids: np.ndarray) -> str:

@@ -591,6 +591,25 @@ def test_bounded_memories_give_the_same(spark, model, monkeypatch):
     assert got == {k: reader.encode(t) for k, t, _ in rows}
 
 
+def test_words_have_the_units_of_the_text(spark, model, monkeypatch):
+    """Texts are cut at spaces and line breaks; a distinct word is cut into units once, and only so many are remembered."""
+    monkeypatch.setattr(sp, "JOINED", 8)
+    monkeypatch.setattr(sp, "COUNTED", 30)
+    monkeypatch.setattr(sp, "SENT_CHARS", 6)
+    units = sp.Pieces(model).units
+    reader, encoder = sentencepiece.SentencePieceProcessor(model_proto=model), sp.Encoder(sp.Pieces(model), {})
+    r = random.Random(8)
+    texts = ["", " ", "\n", "a\n", "\n\na b", "a  b", " a", "a,b▁ c"]
+    texts += ["".join(r.choice("abcé,.1 \n" + "  ▁" * (k % 2)) for _ in range(r.randint(1, 30))) for k in range(400)]
+    for text in texts:
+        assert [u for w in sp.split_words(text, units) for u in units.findall(w)] == sp.split_units(text, units), text
+        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == reader.encode(text), text
+        assert len(encoder.joined) <= 8 and all(w in encoder for w in encoder.joined)
+    counted = Counter(u for t in texts for u in sp.split_units(t, units) if len(u) <= 6)
+    df = docs(spark, [(k, t, "s") for k, t in enumerate([*texts, None])]).repartition(2)
+    assert {x.word: x.n for x in sp.unit_counts(df, units).collect()} == counted
+
+
 def test_mark_itself_does_not_come_back(spark, model):
     assert not sp.encode_digest(docs(spark, [(1, "a▁b", "s")]), model).first().round_trip
 
