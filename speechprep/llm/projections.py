@@ -6,14 +6,17 @@ and their collisions with it (windows around its value) are counted over many mo
 collisions are verified by their cosine. Windows and the count are calibrated by the binomial formula, so that a
 pair just at the threshold passes with the asked probability.
 
-A label of very many vectors is first dealt by several tables of leading projections, cut into cells with random
-offsets, as many as make cells small; a pair meets in one table at least with the asked probability, and is counted
-in the first one it meets in. A crowded cell is compared block against block, so that no task holds it whole.
+A pair must also meet in one of several tables of leading projections, cut into cells with random offsets. Their number
+is fixed, and so large that about no pair fails. Vectors of a large label are dealt by these cells, and a pair is counted
+in the first one it meets in; a smaller label is one cell, where the tables are only looked up. So whether a pair is found
+depends on its two vectors alone, however many others there are. A crowded cell is compared block against block, so that
+no task holds it whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, comb, erf, log, sqrt
 
 import numpy as np
@@ -28,12 +31,15 @@ from speechprep.session import settled
 LEAST, RECALL, SEED = 0.98, 0.98, 11
 #: Projections that are counted, and half their window in spreads of a pair at the threshold; half the window of the
 #: one that vectors are sorted by.
-COUNTED, WINDOW, WIDE = 16, 2.5, 4.0
+COUNTED, WINDOW, WIDE = 16, 2.5, 5.0
 #: Projections that are counted for all partners; the others for those that can still pass.
 ALWAYS = 6
-#: Width of a table's cells, in spreads of all unit vectors; vectors that a cell may hold on average before leading
-#: projections are added; vectors of a block.
-CELL, ROOMY, BLOCK = 2.0, 16_384, 2048
+#: Width of a table's cells, in spreads of all unit vectors; vectors that a label may hold before it is dealt by tables;
+#: vectors of a block.
+CELL, ROOMY, BLOCK = 2.0, 32_768, 2048
+#: Leading projections of a table, at all sizes; the share of what ``recall`` leaves that the tables may lose; tables
+#: that vectors of large labels are dealt by at once.
+LEADS, LOST, DEALT = 10, 1e-4, 6
 #: Vectors whose partners are looked up at once, and pairs verified at once.
 TILE, VERIFIED = 64, 16_384
 
@@ -56,7 +62,7 @@ def least_count(counted: int = COUNTED, window: float = WINDOW, recall: float =
 
 
 def tables_for(vectors: int, apart: float, recall: float = RECALL, roomy: int = ROOMY) -> tuple[int, int]:
-    """(leading projections of a table, tables) for the vectors of the largest label; (0, 1) if one cell will do."""
+    """(leading projections of a table, tables) that make cells of ``vectors`` roomy; (0, 1) if one cell will do."""
     if vectors <= roomy:
         return 0, 1
     leads = ceil(log(vectors / roomy) / log(2))  # a cut at least halves a cell on average
@@ -65,6 +71,11 @@ def tables_for(vectors: int, apart: float, recall: float = RECALL, roomy: int =
     return leads, ceil(log((1 - recall) / 2) / log(1 - together))
 
 
+def all_tables(apart: float, recall: float = RECALL) -> tuple[int, int]:
+    """(leading projections of a table, tables) of all labels, whatever their size."""
+    return tables_for(ROOMY << LEADS, apart, 1 - LOST * (1 - recall))
+
+
 def directions(size: int, count: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng([seed, size]).standard_normal((size, count))
 
@@ -124,9 +135,11 @@ def meet(x: np.ndarray, y: np.ndarray | None, apart: float, least: float, count:
             left = still <= missed
             a, b, still = a[left], b[left], still[left]
         a += at
+        # What else the tile's window holds would depend on the neighbours of a.
+        own_window = np.abs(p[a, 0] - columns[0, b]) <= wide
         if within:
-            once = a < b
-            a, b = a[once], b[once]
+            own_window &= a < b
+        a, b = a[own_window], b[own_window]
         a, b = order[a], partners[b]
         for some in range(0, len(a), VERIFIED):
             i, j = a[some : some + VERIFIED], b[some : some + VERIFIED]
@@ -139,7 +152,7 @@ def _group(least: float, apart: float, count: int):
         table, _, size, _, low, high = (k.as_py() for k in key)
         vectors = unit_vectors(_lists(group.column("vector")), size)
         node, block, copies = (group.column(n).to_numpy() for n in ("node", "block", "copies"))
-        cell = np.stack(group.column("cells").to_numpy())[:, :table]
+        cell = np.stack(group.column("cells").to_numpy())[:, : None if table < 0 else table]
         left = np.flatnonzero(block == low)
         right = None if low == high else np.flatnonzero(block == high)
         links = np.zeros(len(node), np.int64)
@@ -149,9 +162,9 @@ def _group(least: float, apart: float, count: int):
         place[np.argsort(node)] = np.arange(len(node))
         for a, b in meet(vectors[left], None if right is None else vectors[right], apart, least, count):
             a, b = left[a], (left if right is None else right)[b]
-            if table:  # met in an earlier table
-                new = ~(cell[a] == cell[b]).any(axis=1)
-                a, b = a[new], b[new]
+            met = (cell[a] == cell[b]).any(axis=1)
+            new = met if table < 0 else ~met  # in any table, or in none before this
+            a, b = a[new], b[new]
             links += np.bincount(a, copies[b], len(node)).astype(np.int64) + np.bincount(b, copies[a], len(node)).astype(np.int64)
             label = _join(label, place[a], place[b])
         linked = np.flatnonzero(links)
@@ -190,7 +203,8 @@ def near_vectors(
     """One row per row of ``df``: vec_id, n_links, component_id, kept.
 
     Vectors of equal, not null labels (and equal lengths) are linked at a cosine of at least ``least``, in double
-    precision; pairs are found with a probability of at least ``recall``, and every link that is found is exact.
+    precision; pairs are found with a probability of at least ``recall``, and every link that is found is exact. Whether
+    a pair is found does not depend on the other rows; ``roomy`` and ``block`` only part the work.
     n_links counts the other rows linked directly; component_id is the smallest vec_id that links lead to, its own if
     there are none; kept is whether that is the row's own. Vectors that are null, empty, zero, or hold null, NaN or
     infinite components link with nothing. Equal vectors are worked on once and linked with each other. A null vec_id
@@ -200,43 +214,49 @@ def near_vectors(
     apart = sqrt(2 - 2 * least)
     rows, nodes = vector_nodes(df, vector_col, label_col, id_col)
     space = nodes.select("node", "label", "copies", F.size("vector").alias("size"), "vector")
-    largest = space.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
-    leads, tables = tables_for(largest, apart, recall, roomy)
+    leads, tables = all_tables(apart, recall)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 some = batch.filter(pa.array(sizes == size))
-                found = cells(unit_vectors(_lists(some.column("vector")), int(size)), leads, tables)
-                listed = pa.array(list(found), pa.list_(pa.int64()))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [*some.columns, pa.array(np.full(len(found), t, np.int32)), pa.array(found[:, t]), listed],
-                        [*some.schema.names, "t", "cell", "cells"],
-                    )
+                found = cells(unit_vectors(_lists(some.column("vector")), int(size)), leads, tables) >> 32
+                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * tables)
+                listed = pa.ListArray.from_arrays(ends, pa.array(found.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([*some.columns, listed], [*some.schema.names, "cells"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    dealt = space.mapInArrow(
-        deal, f"node long, label {kind}, copies long, size int, vector array<double>, t int, cell long, cells array<long>"
+    coded = settled(
+        space.mapInArrow(code, f"node long, label {kind}, copies long, size int, vector array<double>, cells array<int>"),
+        "vector-cells",
     )
-    dealt = settled(dealt, "vector-cells")
+    large = settled(space.groupBy("label", "size").count().filter(F.col("count") > roomy).drop("count"), "vector-labels")
+    one = coded.join(large, ["label", "size"], "left_anti").withColumns({"t": F.lit(-1), "cell": F.lit(0)})
+    parts = [one]
+    if not large.isEmpty():
+        apart_by = coded.join(large, ["label", "size"], "left_semi")
+        for first in range(0, tables, DEALT):
+            some = apart_by.select("*", F.posexplode(F.slice("cells", first + 1, DEALT)).alias("t", "cell"))
+            parts.append(some.withColumn("t", F.col("t") + first))
     keys = ["t", "label", "size", "cell"]
-    met = settled(dealt.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "vector-groups")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = dealt.join(met, keys).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    # A row meets its own block and each other one.
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select(
-        *keys, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "node", "copies", "vector", "cells",
-    )
-    found = settled(
-        placed.groupBy(*keys, "low", "high").applyInArrow(
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        met = settled(dealt.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "vector-groups")
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        placed = dealt.join(met, keys).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        # A row meets its own block and each other one.
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.select(
+            *keys, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            "block", "node", "copies", "vector", "cells",
+        )
+        links = placed.groupBy(*keys, "low", "high").applyInArrow(
             _group(least, apart, least_count(recall=recall)), "node long, root long, links long"
-        ),
-        "vector-links",
-    )
+        )
+        return settled(links, "vector-links")
+
+    found = reduce(DataFrame.unionByName, map(linked, parts))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = settled(

@@ -94,6 +94,20 @@ def test_vectors_dealt_by_tables_and_blocks(spark):
     assert sum(r.component_id == root[k] for k, r in enumerate(sorted(got, key=lambda r: r.vec_id))) >= 0.98 * len(rows)
 
 
+def test_links_do_not_depend_on_the_size_of_a_label(spark, monkeypatch):
+    """One cell, tables and small blocks find the same pairs, also with tables that lose many; as tables are, about none is lost."""
+    assert projections.all_tables(0.2)[0] == projections.LEADS
+    rows = clustered(7)
+    links, _ = links_of(rows)
+    for fixed in (None, (6, 2)):
+        if fixed:
+            monkeypatch.setattr(projections, "all_tables", lambda *_: fixed)
+        found = [got_of(near_vectors(vectors(spark, rows), roomy=r, block=b)) for r, b in ((10**6, 2048), (60, 2048), (20, 16))]
+        assert found[0] == found[1] == found[2]
+        total = sum(n * times for (_, n, _, _), times in found[0].items())
+        assert (total == sum(map(len, links.values()))) == (fixed is None)
+
+
 def test_vectors_odd_cases(spark):
     one, near = [1.0, 0.0, 0.0, 0.0], [1.0, 0.05, 0.0, 0.0]
     rows = [
