@@ -18,7 +18,7 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -34,12 +34,16 @@ MARK = "▁"
 #: How many units are sent to the tasks, and how long they may be.
 SENT, SENT_CHARS = 200_000, 48
 #: Bytes of further units that a worker remembers, about: ENTRY for each and what it holds.
-UNIT_BYTES, ENTRY = 112 << 20, 200
+UNIT_BYTES, ENTRY = 80 << 20, 200
 #: Bytes of ids in a batch that leaves a task.
 OUT_BYTES = 4 << 20
 #: Words that a task counts before it hands the counts of their units on; words of several units that a worker remembers.
 COUNTED, JOINED = 400_000, 1 << 16
 MOST_PIECES = 1_000_000
+#: Units whose lengths differ by less than LIKE are folded together, so many characters at once; the edges of two characters and more of such a unit, and no edge.
+LIKE, FOLDED, EDGES, NO_EDGE = 4, 1 << 15, 62, -(1 << 62)
+#: Characters of texts, and words of them, that are encoded at once; ids that are decoded at once.
+TEXT_CHARS, TEXT_WORDS, DECODED = 1 << 19, 1 << 17, 1 << 16
 #: No merge: less than any key. What is no beginning of a piece: no code, no merges, nothing goes on.
 NONE, ABSENT = -(1 << 80), (-1, [], None)
 #: Places in a word; scores down to -1e9 then still fit 64 bits.
@@ -79,6 +83,18 @@ def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
         joining |= more
 
 
+def unit_test(units: re.Pattern) -> Callable[[str], bool]:
+    """Whether a word is one unit. Most are letters after a mark, which needs no pattern where no letter counts as joining."""
+    base = unit_pattern(()).pattern
+    joins = any(c.isalpha() for c in set(units.pattern) - set(base))
+    plain = not joins and units.fullmatch("a" + "".join(c for c in base if c.isalpha())) is not None
+
+    def whole(word: str) -> bool:
+        return plain and word[word[:1] == MARK :].isalpha() or units.fullmatch(word) is not None
+
+    return whole
+
+
 class Pieces:
     """The tables of a model: id and weight of each piece, bytes of each id, ids of single bytes."""
 
@@ -109,8 +125,13 @@ class Pieces:
         for piece in self.table:
             if "\n" in piece or MARK in piece.lstrip(MARK):
                 raise ValueError(f"a piece crosses words: {piece!r}")
+        #: The bytes of all ids, and where those of each begin and how many they are.
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.sizes = np.array([len(raw) for raw in self.raw], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.longest = max(map(len, self.table))
         self.units = unit_pattern(self.table)
+        self.whole = unit_test(self.units)
         #: By first character, pieces and beginnings of pieces: id (-1 for no piece), weight, and the same by the next
         #: character (None where no piece goes on).
         beginnings = {p[:k] for p in self.table for k in range(1, 1 + len(p))}
@@ -119,6 +140,137 @@ class Pieces:
             step = (*self.table.get(p, (-1, [])), following.pop(p, None))
             following.setdefault(p[:-1], {})[p[-1]] = step
         self.steps: dict[str, tuple] = following.get("", {})
+        self.lattice = Lattice(self.table, scores) if self.longest < 64 else None
+
+
+class Lattice:
+    """The pieces as arrays: an automaton that reads many units at once, and how each piece is put together.
+
+    A state is a beginning of pieces. The last merge of a piece joins two parts that have the pieces' merges inside them,
+    so the merges of a piece that stands in a unit are edges of the unit's lattice too.
+    """
+
+    def __init__(self, table: dict[str, tuple[int, list[int]]], scores: dict[str, tuple[int, int]]):
+        alphabet = sorted({c for piece in table for c in piece})
+        self.kinds = np.zeros(ord(alphabet[-1]) + 2, np.int64)  # the last for all characters beyond
+        self.kinds[[ord(c) for c in alphabet]] = np.arange(1, 1 + len(alphabet))
+        self.width = 1 + len(alphabet)
+        states = {"": 0}
+        for piece in table:
+            for k in range(1, 1 + len(piece)):
+                states.setdefault(piece[:k], len(states))
+        kind = {c: k for k, c in enumerate(alphabet, 1)}
+        keys = np.array([states[p[:-1]] * self.width + kind[p[-1]] for p in states if p], np.int64)
+        self.shift = 64 - max(4, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.next = np.full(len(self.keys), -1, np.int32)
+        left, at = np.arange(len(keys)), self._slots(keys)
+        while len(left):  # linear probing: of the keys that want a free slot, one has it
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[left[free]]
+            self.next[at[free]] = left[free] + 1
+            lost = self.keys[at] != keys[left]
+            left, at = left[lost], (at[lost] + 1) & (len(self.keys) - 1)
+        #: By state: id (-1 for no piece), length of the first of its two parts, place of its score, best first.
+        self.ids, self.first, self.rank = (np.full(len(states), -1, np.int32), *np.zeros((2, len(states)), np.int64))
+        ranks = {score: k for k, score in enumerate(sorted({score for _, score in scores.values()}, reverse=True))}
+        shared = Counter(score for piece, (_, score) in scores.items() if len(piece) > 1)
+        #: Where another merge has the same score, so that score and place do not tell merges apart.
+        self.alike = np.zeros(len(states), bool)
+        for piece, (i, weight) in table.items():
+            self.ids[states[piece]] = i
+            if weight:
+                score = scores[piece][1]
+                self.rank[states[piece]] = ranks[score]
+                for k in range(1, len(piece)):
+                    parts = table.get(piece[:k], ABSENT)[1] + [key - k for key in table.get(piece[k:], ABSENT)[1]]
+                    if len(parts) == len(weight) - 1 and sorted([*parts, score * PLACES], reverse=True) == weight:
+                        self.first[states[piece]] = k
+                        break
+                self.alike[states[piece]] = shared[score] > 1 or not self.first[states[piece]]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def step(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The states after these characters, -1 where no piece goes on so."""
+        keys = states * self.width + kinds
+        at = self._slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.next[at], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.next[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+    def fold(self, chars: np.ndarray, lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi over units, a row of code points each, filled up: codes as ``fold`` has them, one unit after the other;
+        how many a unit has; and which units are left out, their codes not being right: those that have too many edges, or
+        one like others.
+
+        A sum of merges is a whole number here: a unit's edges of two characters and more are put in order, best first,
+        and have a bit each. The weight of an edge is its bit and the weights of its two parts.
+        """
+        units, n = chars.shape
+        longest = min(longest, n)
+        kinds = self.kinds[np.minimum(chars, len(self.kinds) - 1)]
+        kinds[np.arange(n) >= lengths[:, None]] = 0
+        # By length less 1 and start: weight and code of each unit's edge. A single character is always one.
+        weights = np.full((longest, n, units), NO_EDGE, np.int64)
+        codes = np.empty((longest, n, units), np.int32)
+        weights[0] = 0
+        unit, start = np.repeat(np.arange(units), n), np.tile(np.arange(n), units)
+        state, found = np.zeros(units * n, np.int64), []
+        for size in range(1, longest + 1):
+            state = self.step(state, kinds[unit, start + size - 1])
+            here = state >= 0
+            if size == 1:
+                ids = np.where(here, self.ids[state], -1)
+                codes[0, start, unit] = np.where(ids >= 0, ids, -1 - chars[unit, start].astype(np.int32))
+            here &= start + size <= n
+            unit, start, state = unit[here], start[here], state[here]
+            if size > 1:
+                piece = self.ids[state] >= 0
+                found.append((unit[piece], start[piece], state[piece]))
+                codes[size - 1, start[piece], unit[piece]] = self.ids[state[piece]]
+            more = start + size < n
+            unit, start, state = unit[more], start[more], state[more]
+        out = np.zeros(units, bool)
+        if found:
+            unit, start, state = map(np.concatenate, zip(*found))
+            size = np.repeat(np.arange(2, 2 + len(found)), [len(some) for some, _, _ in found])
+            order = np.argsort((unit * (int(self.rank.max()) + 1) + self.rank[state]) * n + start)
+            edges = np.bincount(unit, minlength=units)
+            out = edges > EDGES
+            out[unit[self.alike[state]]] = True
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order)) - np.repeat(np.cumsum(edges) - edges, edges)
+            bits = np.int64(1) << np.maximum(EDGES - 1 - place, 0)
+            for k in range(2, 2 + len(found)):
+                own = np.flatnonzero(size == k)
+                u, s, first = unit[own], start[own], self.first[state[own]]
+                weights[k - 1, s, u] = bits[own] + weights[first - 1, s, u] + weights[k - first - 1, s + first, u]
+        best, last = np.full((n + 1, units), NO_EDGE, np.int64), np.ones((n + 1, units), np.int64)
+        best[0] = 0
+        for end in range(1, n + 1):
+            for size in range(min(longest, end), 0, -1):  # a later start wins among equal sums
+                sums = best[end - size] + weights[size - 1, end - size]
+                better = sums >= best[end]
+                np.copyto(best[end], sums, where=better)
+                np.copyto(last[end], size, where=better)
+        ends, at, some = np.zeros((units, n + 1), bool), lengths, np.arange(units)
+        while len(some):
+            ends[some, at] = True
+            at = at - last[at, some]
+            some, at = some[at > 0], at[at > 0]
+        unit, end = np.nonzero(ends)
+        size = last[end, unit]
+        return codes[size - 1, end - size, unit], ends.sum(axis=1), out
+
 
 
 def pack(pieces: Pieces, codes: list[int]) -> bytes:
@@ -172,6 +324,37 @@ def fold(pieces: Pieces, word: str) -> list[int]:
     return out[::-1]
 
 
+def fold_all(pieces: Pieces, units: Iterable[str]) -> dict[str, bytes]:
+    """Packed ids of distinct units, as ``fold`` finds them: units of like length are folded together.
+
+    Left to ``fold`` are long units, those with too many edges, and those with pieces of one score.
+    """
+    out: dict[str, bytes] = {}
+    sizes: dict[int, list[str]] = {}
+    for unit in units:
+        sizes.setdefault(-(-len(unit) // LIKE) * LIKE, []).append(unit)
+    for size, like in sizes.items():
+        if not 0 < size <= SENT_CHARS or pieces.lattice is None:
+            out.update((unit, pack(pieces, fold(pieces, unit))) for unit in like)
+            continue
+        most = FOLDED // size
+        for k in range(0, len(like), most):
+            some = like[k : k + most]
+            chars = np.array(some, f"<U{size}").view("<u4").reshape(len(some), size)
+            lengths = np.array(list(map(len, some)))
+            codes, counts, left = pieces.lattice.fold(chars, lengths, pieces.longest)
+            ends = np.cumsum(counts)
+            spelt = np.zeros(len(some), bool)
+            spelt[np.searchsorted(ends, np.flatnonzero(codes < 0), side="right")] = True
+            raw, cuts = codes.astype("<i4").tobytes(), [0, *(4 * ends).tolist()]
+            out.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            for at in np.flatnonzero(spelt & ~left).tolist():
+                out[some[at]] = pack(pieces, np.frombuffer(out[some[at]], "<i4").tolist())
+            for at in np.flatnonzero(left).tolist():
+                out[some[at]] = pack(pieces, fold(pieces, some[at]))
+    return out
+
+
 def lattice_encode(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, codes) for distinct words of a column ``word`` (marks instead of spaces): the relational lattice."""
     spark = words.sparkSession
@@ -234,14 +417,13 @@ def unit_counts(texts: DataFrame, units: re.Pattern) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        whole = unit_test(units)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for word in list(seen):
-                parts = units.findall(word)
-                if parts != [word]:
-                    n = seen.pop(word)
-                    for unit in parts:
-                        seen[unit] += n
+            for word in [word for word in seen if not whole(word)]:
+                n = seen.pop(word)
+                for unit in units.findall(word):
+                    seen[unit] += n
             items = iter([(u, n) for u, n in seen.items() if len(u) <= SENT_CHARS])
             while some := list(islice(items, 50_000)):
                 yield pa.RecordBatch.from_arrays(
@@ -292,40 +474,69 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         self.joined: list[str] = []
 
-    def __missing__(self, unit: str) -> bytes:
-        parts = self.pieces.units.findall(unit)
-        if parts != [unit]:
-            return self._join(unit, parts)
-        packed = self.older.get(unit)
-        if packed is None:
-            packed = pack(self.pieces, fold(self.pieces, unit))
-        if len(unit) <= SENT_CHARS:
-            self.held += ENTRY + len(unit) + len(packed)
-            if 2 * self.held > UNIT_BYTES:
-                self.older = {u: self.pop(u) for u in self.recent}
-                self.recent, self.held = [], 0
-            self[unit] = packed
-            self.recent.append(unit)
-        return packed
-
-    def _join(self, word: str, parts: list[str]) -> bytes:
-        packed = b"".join(map(self.__getitem__, parts))
-        if len(word) <= SENT_CHARS:
-            if len(self.joined) >= JOINED:
-                for w in self.joined:
-                    del self[w]
-                self.joined.clear()
-            self[word] = packed
-            self.joined.append(word)
-        return packed
+    def words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words and of new units in them; units that are not remembered are folded together."""
+        units, whole, out, new, several = self.pieces.units, self.pieces.whole, {}, set(), {}
+        for word in words:
+            known = self.get(word)
+            if known is not None:
+                out[word] = known
+            elif whole(word):
+                new.add(word)
+            else:
+                several[word] = units.findall(word)
+                new.update(several[word])
+        new = {unit for unit in new if unit not in self}
+        found = {unit: self.older[unit] for unit in new & self.older.keys()}
+        found |= fold_all(self.pieces, new.difference(found))
+        out |= found
+        for word, parts in several.items():
+            out[word] = b"".join([found[unit] if unit in found else self[unit] for unit in parts])
+        self._remember(found, [(word, out[word]) for word in several])
+        return out
+
+    def _remember(self, units: dict[str, bytes], words: list[tuple[str, bytes]]) -> None:
+        for unit, packed in units.items():
+            if len(unit) <= SENT_CHARS:
+                self.held += ENTRY + len(unit) + len(packed)
+                if 2 * self.held > UNIT_BYTES:
+                    self.older = {u: self.pop(u) for u in self.recent}
+                    self.recent, self.held = [], 0
+                self[unit] = packed
+                self.recent.append(unit)
+        for word, packed in words:
+            if len(word) <= SENT_CHARS:
+                if len(self.joined) >= JOINED:
+                    for w in self.joined:
+                        del self[w]
+                    self.joined.clear()
+                self[word] = packed
+                self.joined.append(word)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; the words of all are held at once, and looked up ``TEXT_WORDS`` at a time."""
+        words, ends, packed = [], [], []
+        for text in texts:
+            words += split_words(text, self.pieces.units)
+            ends.append(len(words))
+        for k in range(0, len(words), TEXT_WORDS):
+            some = words[k : k + TEXT_WORDS]
+            packed += map(self.words(dict.fromkeys(some)).__getitem__, some)
+        return [b"".join(packed[a:b]) for a, b in zip([0, *ends], ends)]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, split_words(text, self.pieces.units)))
+        return self.encode_all([text])[0]
 
 
 def decode(pieces: Pieces, ids: np.ndarray) -> str:
     """The text of ids: pieces joined, bytes put together, the space before the text taken off."""
-    joined = b"".join(map(pieces.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    parts = []
+    for k in range(0, len(ids), DECODED):
+        some = ids[k : k + DECODED]
+        sizes = pieces.sizes[some]
+        shifts = pieces.begins[some] - np.cumsum(sizes) + sizes
+        parts.append(pieces.bytes[np.repeat(shifts, sizes) + np.arange(sizes.sum())].tobytes())
+    joined = b"".join(parts).decode("utf-8", "replace")
     return joined[1:] if joined.startswith(" ") else joined
 
 
@@ -358,6 +569,21 @@ def encode_digest(
     )
 
 
+def few_texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, null as empty, some ``TEXT_CHARS`` at once or one longer text."""
+    docs, texts, chars = [], [], 0
+    for doc, text in zip(batch.column(0), batch.column(1)):
+        text = text.as_py() or ""
+        if texts and chars + len(text) > TEXT_CHARS:
+            yield docs, texts
+            docs, texts, chars = [], [], 0
+        docs.append(doc.as_py())
+        texts.append(text)
+        chars += 64 + len(text)
+    if texts:
+        yield docs, texts
+
+
 def _with_encoder(df, model, id_col, text_col, most, schema, digest) -> DataFrame:
     """Encode whole texts in their tasks; ids stay packed until they leave as Arrow buffers, a few megabytes at once."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -376,16 +602,16 @@ def _with_encoder(df, model, id_col, text_col, most, schema, digest) -> DataFram
         encoder = shared.made("piece_encoders", lambda value: Encoder(Pieces(value[0]), value[1]))
         docs, packed, more, held = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py() or ""
-                docs.append(doc.as_py())
-                packed.append(encoder.encode(text))
-                held += 64 + len(packed[-1])
-                if digest:
-                    more.append(digest(encoder, text, packed[-1]))
-                if held >= OUT_BYTES:
-                    yield table(docs, packed, more)
-                    docs, packed, more, held = [], [], [], 0
+            for ids, some in few_texts(batch):
+                for doc, text, codes in zip(ids, some, encoder.encode_all(some)):
+                    docs.append(doc)
+                    packed.append(codes)
+                    held += 64 + len(codes)
+                    if digest:
+                        more.append(digest(encoder, text, codes))
+                    if held >= OUT_BYTES:
+                        yield table(docs, packed, more)
+                        docs, packed, more, held = [], [], [], 0
         if docs:
             yield table(docs, packed, more)
 

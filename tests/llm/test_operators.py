@@ -570,6 +570,31 @@ def test_lattice_equals_fold(spark, model):
     assert got == {w: sp.fold(tables, w) for w in words}
 
 
+def test_units_folded_together_equal_the_fold(model, monkeypatch):
+    """All pieces beside each other, unknown characters, equal scores and too many edges; few units, and all, at once."""
+    tables = sp.Pieces(model)
+    r = random.Random(12)
+    pieces, known = list(tables.table), sorted({c for piece in tables.table for c in piece})
+    units = ["".join(r.choice(pieces) for _ in range(r.randint(1, 9)))[:52] for _ in range(3000)]
+    units += ["".join(r.choice(known) if r.random() < 0.8 else r.choice("aeio漢🙂\x00") for _ in range(r.randint(1, 50))) for _ in range(1500)]
+    units = list({*units, *pieces[:3000], *(c * k for c in "a▁=é" for k in range(1, 50)), "andthe" * 8, "\n"})
+    expected = {unit: sp.pack(tables, sp.fold(tables, unit)) for unit in units}
+    assert sp.fold_all(tables, units) == expected
+    monkeypatch.setattr(sp, "FOLDED", 100)
+    assert sp.fold_all(tables, units[:300]) == {unit: expected[unit] for unit in units[:300]}
+
+
+def test_unknown_units_of_texts_are_folded_together(model, monkeypatch):
+    tables, calls = sp.Pieces(model), []
+    reader, encoder = sentencepiece.SentencePieceProcessor(model_proto=model), sp.Encoder(tables, {})
+    folded = sp.fold_all
+    monkeypatch.setattr(sp, "fold_all", lambda *args: calls.append(1) or folded(*args))
+    monkeypatch.setattr(sp, "fold", lambda *args: calls.append("alone"))
+    texts = ["Thretist, onhationble antibleble.", "", "ershthwh\n\nThretist", "漢 ershthwh"]
+    assert [np.frombuffer(p, "<i4").tolist() for p in encoder.encode_all(texts)] == [reader.encode(t) for t in texts]
+    assert calls == [1]
+
+
 def test_mark_is_a_space(model):
     reader, encoder = sentencepiece.SentencePieceProcessor(model_proto=model), sp.Encoder(sp.Pieces(model), {})
     r = random.Random(31)
