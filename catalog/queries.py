@@ -99,6 +99,9 @@ def write_manifests(spark: SparkSession, sf: str) -> str:
     def put(df: DataFrame, kind: str, **options) -> None:
         df.write.options(header=True, escape='"', compression="gzip", **options).csv(f"{folder}/{kind}")
 
+    raw = manifest_lines(spark, sf).repartition("file").sortWithinPartitions("file", "pos")
+    # Unlike gzip, many tasks can share such a file.
+    raw.select("file", "line").write.partitionBy("file").text(f"{folder}/raw", compression="bzip2")
     put(lines.select("uuid", "sentence"), "quoted", quoteAll=True)
     put(lines.select("sentence", "lang", "uuid"), "wide")
     whole = table(spark, sf, "documents").filter("text is not null")
@@ -108,8 +111,6 @@ def write_manifests(spark: SparkSession, sf: str) -> str:
     plain = plain.filter((F.col("sentence") != "") & (text_fn.strip(F.col("sentence")) == F.col("sentence")))
     line = F.concat_ws(",", "uuid", "sentence").alias(HEADER)
     put(plain.select(line), "plain", sep="\x01", quote="\x00")
-    raw = manifest_lines(spark, sf).repartition("file").sortWithinPartitions("file", "pos")
-    raw.select("file", "line").write.partitionBy("file").text(f"{folder}/raw")
     return f"{folder}/{{quoted,wide,whole,plain,raw/*}}"
 
 

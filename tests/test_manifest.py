@@ -246,3 +246,73 @@ def test_whole_lines_are_written_few_times(spark, tmp_path, broken):
     assert sorted(int(r.audio.split(".")[0]) for r in parsed.select("audio").collect()) == list(range(1000))
     # Lines once; with line breaks in fields also as read again, with their record's place, and put together.
     assert held() - before < (4 if broken else 1) * source.stat().st_size
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_lines_are_not_written_to_parse_them(spark, tmp_path, broken):
+    from pathlib import Path
+
+    from speechprep.session import shared_dir
+    from speechprep.sources.manifest import parse_manifest
+
+    pick = random.Random(11)
+    text = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz0123456789+-", k=2000)) for _ in range(500)]
+    rows = [f'{n}.wav,"{t[:1000]}{chr(10) if broken else " "}{t[1000:]}"' for n, t in enumerate(text)]
+    source = tmp_path / "m.csv"
+    source.write_text("\n".join(["uuid,sentence", *rows]) + "\n")
+    folder = Path(shared_dir(spark)) / "speechprep"
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = held()
+    assert parse_manifest(spark, str(source)).filter("reason is null").count() == 500
+    assert held() - before < 0.1 * source.stat().st_size
+
+
+def test_lines_read_again_have_the_same_places(spark, tmp_path):
+    """Whatever blocks files are cut into by the time of a later job."""
+    (tmp_path / "m.csv").write_text("\n".join(f"f{n}.wav,text {n}, end" for n in range(3000)))
+    lines = read_lines(spark, str(tmp_path))
+    assert lines.sparkSession is spark
+    once_read = {r.pos: r.line for r in lines.collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    small_blocks(spark)
+    try:
+        assert read_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        assert {r.pos: r.line for r in lines.collect()} == once_read and len(once_read) == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_records_longer_than_blocks_and_files_side_by_side(spark, tmp_path):
+    """Blocks without the start of a record, texts of bytes that are no characters, many small files."""
+    long = "\n".join(f"line {n}" for n in range(600))
+    rows = [f'{n}.wav,"{long if n % 3 == 0 else n}"' for n in range(12)]
+    (tmp_path / "long.csv").write_text("\n".join(["uuid,sentence", *rows]) + "\n")
+    for n in range(9):
+        (tmp_path / f"s{n}.csv").write_bytes(b'uuid,sentence\ns%d.wav,"a\n\xff"\n' % n)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for small in (False, True):
+        if small:
+            small_blocks(spark)
+        try:
+            rows, rejects = read_manifest(spark, str(tmp_path))
+            got = {r.audio: r.text for r in rows.collect()}
+            assert got == {f"{n}.wav": long if n % 3 == 0 else str(n) for n in range(12)} | {f"s{n}.wav": "a\n�" for n in range(9)}
+            assert rejects.count() == 0
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_out_of_their_blocks_order_are_refused():
+    import pyarrow as pa
+
+    from speechprep.sources.manifest import _CUT_LINES, _block_records
+
+    def batch(*rows):
+        return pa.RecordBatch.from_pylist([dict(zip(_CUT_LINES, ("f", 0, r, 0, odd, line))) for r, odd, line in rows])
+
+    made = _block_records([batch((0, 0, b"h"), (1, 1, b'a"')), batch((2, 1, b'"b'), (3, 0, b"c"))])
+    assert [r["line"] for b in made for r in b.to_pylist()] == [b"h", b'a"\n"b', b"c"]
+    with pytest.raises(ValueError):
+        list(_block_records([batch((1, 0, b"h"), (0, 1, b"a"))]))
