@@ -454,6 +454,35 @@ def test_ingest_writes_compact_tables(spark, tmp_path):
     assert [r.audio for r in spark.read.parquet(str(target)).collect()] == ["a.wav"]
 
 
+def test_ingest_writes_lines_only_into_its_target(spark, tmp_path):
+    import random
+    from pathlib import Path
+
+    from speechprep.session import shared_dir
+
+    pick = random.Random(3)
+    known = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(pick.choices(known, k=150)) for _ in range(3000)]
+    landed, target = tmp_path / "landed", tmp_path / "taken"
+    landed.mkdir()
+    for n in range(2):
+        kept = [f'{k}.wav,"{t}\n{t[:9]}"' if n else f"{k}.wav,{t}" for k, t in enumerate(texts)]
+        (landed / f"m{n}.csv").write_text("\n".join(["uuid,sentence", *kept, "bad.wav"]) + "\n")
+    held = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    shared = Path(shared_dir(spark)) / "speechprep"
+    before = held(shared)
+    incremental_ingest(spark, str(landed), str(target), str(tmp_path / "marks"), files_per_trigger=1).awaitTermination()
+    source = sum(f.stat().st_size for f in landed.iterdir())
+    assert held(shared) - before < 0.1 * source
+    taken = spark.read.parquet(str(target))
+    assert taken.groupBy("ok").count().orderBy("ok").collect() == [("false", 2), ("true", 6000)]
+    # Whole lines and texts are there, and smaller than the writer's own zstd makes them.
+    assert taken.filter("ok = 'true' and (line is null or not contains(line, text))").count() == 0
+    plain = tmp_path / "plain"
+    taken.write.partitionBy("batch_id", "ok").option("compression", "zstd").parquet(str(plain))
+    assert held(target) < held(plain)
+
+
 def test_long_rows_become_python_values_by_pieces(spark, monkeypatch):
     import pyarrow as pa
 
